@@ -94,7 +94,7 @@ def presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"),
         F.col("event_type").alias("topic"),
         F.col("ts").alias("shown_at"),
-        F.timestampadd("MICROSECOND", F.round(F.col("value") * 250000).cast("bigint"),
+        F.timestamp_add("MICROSECOND", F.round(F.col("value") * 250000).cast("bigint"),
                        F.col("ts")).alias("answered_at"),
         _letter(F.col("event_id") % 4).alias("selected"),
         _letter(F.col("user_id") % 4).alias("correct"),
