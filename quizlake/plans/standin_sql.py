@@ -46,10 +46,10 @@ STANDINS = {
   FROM events""",
     "conv_assistant": """
   SELECT conv_id, turn, CAST((conv_id + turn) % 5 AS INTEGER) AS kind,
-         to_json({'question': substr(text, 1, 80),
+         CAST(to_json({'question': substr(text, 1, 80),
                   'options': {'A': 'first ' || CAST(turn AS VARCHAR), 'B': 'second ' || CAST(conv_id AS VARCHAR),
                               'C': 'third', 'D': 'none'},
-                  'answer': substr('ABCD', CAST(turn % 4 AS INTEGER) + 1, 1)}) AS qjson
+                  'answer': substr('ABCD', CAST(turn % 4 AS INTEGER) + 1, 1)}) AS VARCHAR) AS qjson
   FROM conversations WHERE role = 'assistant'""",
     "llm_attempts": f"""
   SELECT conv_id AS request_id,
@@ -57,12 +57,12 @@ STANDINS = {
          1 AS http_try,
          CASE WHEN kind = 4 THEN 502 ELSE 200 END AS status,
          CASE WHEN kind = 4 THEN ''
-              ELSE to_json({{'content': [{{'type': 'text', 'text':
+              ELSE CAST(to_json({{'content': [{{'type': 'text', 'text':
                    CASE kind WHEN 0 THEN qjson
                              WHEN 1 THEN '```json' || chr(10) || qjson || chr(10) || '```'
                              WHEN 2 THEN substr(qjson, 1, length(qjson) // 2)
                              WHEN 3 THEN '   '
-                             ELSE '' END}}]}}) END AS raw_body,
+                             ELSE '' END}}]}}) AS VARCHAR) END AS raw_body,
          {TOPICS}[CAST(conv_id % 5 AS INTEGER) + 1] AS topic,
          {LEVELS}[CAST(conv_id % 3 AS INTEGER) + 1] AS difficulty
   FROM conv_assistant""",
