@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy_queries, practice_queries, session_queries
+from . import accuracy_queries, io_queries, practice_queries, session_queries
 
-_FAMILIES = [accuracy_queries, session_queries, practice_queries]
+_FAMILIES = [accuracy_queries, session_queries, practice_queries, io_queries]
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
