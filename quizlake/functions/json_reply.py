@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import REPLY_BODY_SCHEMA, REPLY_QUESTION_SCHEMA
-from .text import _NONBLANK_RE, col_, py_strip
+from .text import col_, non_blank, py_strip
 
 FENCE = "```"
 
@@ -16,9 +16,9 @@ def reply_text(raw_body) -> Column:
     """D3 — first ``type='text'`` block with a non-blank text, else the first
     block's text when non-blank, else NULL (the caller retries)."""
     content = F.from_json(col_(raw_body), REPLY_BODY_SCHEMA)["content"]
-    first_text = F.get(F.filter(content, lambda b: (b["type"] == "text") & b["text"].rlike(_NONBLANK_RE)), 0)["text"]
+    first_text = F.get(F.filter(content, lambda b: (b["type"] == "text") & non_blank(b["text"])), 0)["text"]
     first_any = F.get(content, 0)["text"]
-    return F.coalesce(first_text, F.when(first_any.rlike(_NONBLANK_RE), first_any))
+    return F.coalesce(first_text, F.when(non_blank(first_any), first_any))
 
 
 def unfence(text) -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-# (?U) makes \s Unicode-aware, which is closer to Python's str.strip()
-# than Spark's trim (spaces only).
-_STRIP_RE = r"(?U)^\s+|\s+$"
-_NONBLANK_RE = r"(?U)\S"
+# FIXED VALUES: the characters Python's str.strip() removes by default
+# (str.isspace): ASCII tab, newline, vertical tab, form feed, carriage return,
+# the four ASCII separators, space, NEL, no-break space, and the Unicode
+# space separators and line/paragraph separators.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_(c) -> Column:
@@ -18,14 +21,22 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """N1 — ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    """N1 — ``str.strip()``: remove leading and trailing whitespace. Spark's
+    ``trim`` alone strips spaces only; ``btrim`` with the full set is exact
+    and needs no regular expression."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def is_blank(c) -> Column:
-    """True when the text is NULL or has no non-space character."""
+    """True when the text is NULL or ``not text.strip()``."""
     c = col_(c)
-    return c.isNull() | ~c.rlike(_NONBLANK_RE)
+    return c.isNull() | (py_strip(c) == F.lit(""))
+
+
+def non_blank(c) -> Column:
+    """``text and text.strip()`` as a predicate (NULL counts as blank)."""
+    c = col_(c)
+    return c.isNotNull() & (py_strip(c) != F.lit(""))
 
 
 def pad_right(c, width: int) -> Column:

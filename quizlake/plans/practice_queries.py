@@ -12,7 +12,7 @@ from ..operators import replies as R
 from ..operators import sessions as SE
 from ..sources import standins as S
 from .session_queries import _G
-from .standin_sql import with_standins
+from .standin_sql import STRIP_SQL, with_standins
 
 SEED = C.QuizConfig.seed
 N = C.QUESTIONS_PER_TOPIC
@@ -86,15 +86,15 @@ _INSTR = "CASE d {cases} ELSE '{default}' END".format(
     default=C.DIFFICULTY_INSTRUCTIONS_SHORT[C.DEFAULT_DIFFICULTY])
 _SEED_HINT = f"CAST({C.SEED_HINT_MIN} + {seeded_int_sql(SEED, 'student_name', 'topic', 'slot')} % {C.SEED_HINT_MAX - C.SEED_HINT_MIN + 1} AS BIGINT)"
 
-_STRIP = "regexp_replace({x}, '^[[:space:]]+|[[:space:]]+$', '', 'g')"
-_NB = "'[^[:space:]]'"
+_STRIP = STRIP_SQL
+
 _REPLY = [
     ("att", """SELECT *, from_json(CASE WHEN json_valid(raw_body) THEN raw_body END,
                   '{"content":[{"type":"VARCHAR","text":"VARCHAR"}]}') AS body
            FROM llm_attempts"""),
     ("rt", f"""SELECT *, COALESCE(
-                  (list_filter(body.content, lambda b: b.type = 'text' AND regexp_matches(b.text, {_NB})))[1].text,
-                  CASE WHEN regexp_matches(body.content[1].text, {_NB}) THEN body.content[1].text END) AS reply_text
+                  (list_filter(body.content, lambda b: b.type = 'text' AND {_STRIP.format(x='b.text')} <> ''))[1].text,
+                  CASE WHEN {_STRIP.format(x='body.content[1].text')} <> '' THEN body.content[1].text END) AS reply_text
            FROM att"""),
     ("st", f"SELECT *, {_STRIP.format(x='reply_text')} AS s FROM rt"),
     ("dr", "SELECT *, regexp_replace(s, '^```[^\\n]*\\n', '') AS d FROM st"),

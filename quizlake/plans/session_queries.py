@@ -9,11 +9,11 @@ from ..functions import text as X
 from ..operators import sessions as SE
 from ..sources import standins as S
 from ..sources.tables import read_table
-from .standin_sql import LEVELS, with_standins
+from .standin_sql import LEVELS, STRIP_SQL, with_standins
 
 T = C.WEAK_THRESHOLD
 _MSGS = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in C.BAND_MESSAGES) + "]"
-_STRIP = "regexp_replace({x}, '^[[:space:]]+|[[:space:]]+$', '', 'g')"
+_STRIP = STRIP_SQL
 
 
 def _graded(spark, sf):

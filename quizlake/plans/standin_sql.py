@@ -4,6 +4,7 @@ as a ``WITH`` prefix for the oracle queries (FIXTURES.md §2)."""
 from __future__ import annotations
 
 from .. import config as C
+from ..functions.text import PY_WHITESPACE
 
 
 def _arr(values) -> str:
@@ -11,6 +12,8 @@ def _arr(values) -> str:
 
 
 LEVELS = _arr(C.DIFFICULTY_LEVELS)
+# str.strip() in DuckDB: trim the same character set, spelled with chr()
+STRIP_SQL = "trim({x}, " + " || ".join(f"chr({ord(ch)})" for ch in PY_WHITESPACE) + ")"
 TOPICS = _arr(C.TOPICS)
 
 STANDINS = {
