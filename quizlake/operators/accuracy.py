@@ -78,24 +78,23 @@ def class_summary(answers: DataFrame) -> DataFrame:
     """A6 — per student, per topic and overall totals from ONE scan.
 
     ``GROUPING SETS ((student_name), (topic), ())`` with ``grouping_id`` to tell
-    a subtotal row from a NULL key. The distinct-student count of the overall
-    row is the number of student-level rows with a non-NULL name, taken from
-    the same aggregate (the exchange is reused, the log is scanned once).
+    a subtotal row from a NULL key (1 = per student, 2 = per topic, 3 = overall).
+    The distinct-student count is a distinct aggregate inside the same
+    grouping-sets aggregate (Spark expands it once; partial aggregation keeps a
+    hot student or topic from landing whole in one task); it is reported on
+    the overall row, as the original's ``COUNT(DISTINCT student_name)``.
     """
     gs = (answers.groupingSets([["student_name"], ["topic"], []], "student_name", "topic")
           .agg(F.count(F.lit(1)).alias("total"),
                F.sum("is_correct").cast("bigint").alias("correct"),
+               F.count_distinct("student_name").alias("n_students"),
                F.grouping_id("student_name", "topic").alias("gid")))
     level = (F.when(F.col("gid") == 1, F.lit("student"))
              .when(F.col("gid") == 2, F.lit("topic"))
              .otherwise(F.lit("overall")))
-    rows = gs.select(level.alias("level"), "student_name", "topic", "total", "correct",
-                     N.pct_sql("correct", "total").alias("pct"))
-    n_students = (rows.filter((F.col("level") == "student") & F.col("student_name").isNotNull())
-                  .agg(F.count(F.lit(1)).alias("total_students"))
-                  .withColumn("level", F.lit("overall")))
-    # exactly one row on the right: a keyed join, not a cross join
-    return rows.join(n_students, "level", "left")
+    return gs.select(level.alias("level"), "student_name", "topic", "total", "correct",
+                     N.pct_sql("correct", "total").alias("pct"),
+                     F.when(F.col("gid") == 3, F.col("n_students")).alias("total_students"))
 
 
 def weak_topics_rounded(answers: DataFrame, student: str | None = None,
