@@ -116,3 +116,15 @@ def test_sum_over_topics_property(spark):
     assert diff == 0
     wl = A.weak_topic_list(ans).filter(F.col("n_weak") > F.col("n_topics")).count()
     assert wl == 0
+
+
+def test_named_reports(spark, golden):
+    from quizlake.operators import reports as RP
+    rep = RP.get_student_report(golden, "ana")
+    text = RP.render(rep, ["pct", "topic"]).collect()[0].text.split("\n")
+    assert text[0].startswith("  functions ") and text[0].endswith("WEAK ⚠️")
+    assert len(text) == 3
+    assert {r.topic for r in RP.get_weak_topics(golden, "ana").collect()} == {"functions"}
+    assert RP.get_recent_activity(golden, 3).count() == 3
+    assert RP.list_students(golden).count() == 3
+    assert RP.find_weak_topics(golden, "bo").collect()[0].weak_topics == ["numpy"]
