@@ -117,6 +117,11 @@ SELECT student_name, topic AS "Topic", correct AS "Correct", total AS "Total",
        CASE WHEN ROUND_EVEN(CAST(correct AS DOUBLE) / total * 100.0, 1) >= {T} THEN '✅ OK' ELSE '⚠️ Weak' END AS "Status"
 FROM (SELECT student_name, topic, COUNT(*) AS total, CAST(SUM(is_correct) AS BIGINT) AS correct
       FROM answers GROUP BY student_name, topic)"""),
+    "accuracy_map": with_standins("""
+SELECT student_name,
+       CAST(to_json(map_from_entries(list(struct_pack(k := topic, v := acc) ORDER BY topic))) AS VARCHAR) AS accuracy
+FROM (SELECT student_name, topic, ROUND_EVEN(CAST(SUM(is_correct) AS DOUBLE) / COUNT(*) * 100.0, 1) AS acc
+      FROM answers GROUP BY student_name, topic) GROUP BY student_name"""),
     "report_lines": with_standins(f"""
 SELECT topic, '  ' || printf('%-20s', topic) || ' | ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR)
        || ' correct | ' || printf('%5.1f', pct) || '%' AS line
