@@ -1,12 +1,16 @@
 """Reply-body columns (D3-D5): extract the text block, remove a code fence,
-parse strictly to a question struct. All built-in expressions."""
+parse strictly to a question struct. All built-in expressions (no UDF)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..schemas import REPLY_BODY_SCHEMA, REPLY_QUESTION_SCHEMA
+
+QUESTION_FIELDS = REPLY_QUESTION_SCHEMA
 from .text import col_, non_blank, py_strip
 
 FENCE = "```"
@@ -32,27 +36,33 @@ def unfence(text) -> Column:
     return F.when(F.startswith(s, F.lit(FENCE)), py_strip(cut)).otherwise(s)
 
 
-def parse_question(text) -> Column:
-    """D5 — parse to ``struct<question, options, answer, explanation, _corrupt_record>``
-    with single quotes disallowed."""
-    return F.from_json(col_(text), REPLY_QUESTION_SCHEMA,
-                       {"allowSingleQuotes": "false", "mode": "PERMISSIVE",
-                        "columnNameOfCorruptRecord": "_corrupt_record"})
+def _wrapped(text) -> Column:
+    # '[' + text + ']' is one valid JSON array of exactly one element iff the
+    # text is exactly one JSON value: trailing junk, a second object or a
+    # stray bracket make the array invalid or longer (from_json alone would
+    # keep the first object and ignore the rest).
+    return F.concat(F.lit("["), col_(text), F.lit("]"))
 
 
-def is_object_text(text) -> Column:
-    t = col_(text)
-    return F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
+def is_single_json_value(text) -> Column:
+    """``json.loads(text)`` succeeds (strict, whole string)."""
+    w = _wrapped(text)
+    return F.coalesce(F.try_parse_json(w).isNotNull() & (F.json_array_length(w) == 1), F.lit(False))
+
+
+def parse_question(text) -> Column:
+    """D5 — the reply's fields (``question, options, answer, explanation``)."""
+    arr = F.from_json(_wrapped(text), T.ArrayType(QUESTION_FIELDS),
+                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.get(arr, 0)
 
 
-def parsed_ok(text, parsed) -> Column:
-    """A strict parse: one JSON object, no corrupt record."""
-    p = col_(parsed)
-    return (is_object_text(text) & p.isNotNull() & p["_corrupt_record"].isNull())
+def parsed_ok(text, parsed=None) -> Column:
+    """Strict parse to a JSON object (a valid value that starts with '{')."""
+    return is_single_json_value(text) & F.startswith(col_(text), F.lit("{"))
 
 
 def non_object_json(text) -> Column:
-    """Valid JSON that is not an object (array, scalar): the original fails on
-    tagging with a TypeError, which is not retried."""
-    t = col_(text)
-    return (~F.startswith(t, F.lit("{"))) & F.try_parse_json(t).isNotNull()
+    """Valid JSON that is not an object (array, scalar, null): the original
+    fails on tagging with a TypeError, which is not retried."""
+    return is_single_json_value(text) & ~F.startswith(col_(text), F.lit("{"))

@@ -55,11 +55,10 @@ REPLY_BODY_SCHEMA = T.StructType([
     ])), True),
 ])
 
-# parsed reply text; _corrupt_record marks text that is not one JSON object
+# the fields read from a reply text
 REPLY_QUESTION_SCHEMA = T.StructType([
     T.StructField("question", T.StringType(), True),
     T.StructField("options", OPTIONS_TYPE, True),
     T.StructField("answer", T.StringType(), True),
     T.StructField("explanation", T.StringType(), True),
-    T.StructField("_corrupt_record", T.StringType(), True),
 ])
