@@ -1,9 +1,9 @@
 """Sessions: grading, scores, numbering, running score, deadlines
 (J1, J2, J6, A9, P7-P9, W1-W3, W5, N5, N8, N11-N12, N15-N18, N22-N23).
 
-Window operators are always partitioned by session: a session is one quiz
-(at most a few dozen questions), so every window group is bounded by
-construction; there is no unpartitioned window. Grading joins the bank by
+Ordered operators are partitioned by session, never global. A session is
+normally one quiz (a few dozen questions); a session above ``hot_rows`` rows
+is split over many tasks by ``ordered.ordered_prefix`` with exact carries. Grading joins the bank by
 key and leaves the strategy to AQE (broadcast when the bank is below the
 broadcast threshold at run time, otherwise sort-merge with skew splitting).
 """
@@ -17,6 +17,7 @@ from .. import config as C
 from ..functions import numeric as N
 from ..functions.text import (correct_icon, levels_array, normalise_letter, preview,
                               selected_symbol)
+from .ordered import DEFAULT_HOT_ROWS, ordered_prefix
 
 ORDER = ["slot", "question_id", "supplier_key", "quantity", "price"]
 
@@ -69,30 +70,31 @@ def session_scores(graded: DataFrame) -> DataFrame:
     )
 
 
-def question_numbers(graded: DataFrame, order=ORDER) -> DataFrame:
-    """W1 — ``enumerate(start=1)`` within a session."""
-    return graded.withColumn("question_no", F.row_number().over(_session_window(order)))
+def question_numbers(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """W1 — ``enumerate(start=1)`` within a session (hot sessions are split, see ordered.py)."""
+    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows)
+    return p.withColumnRenamed("_rn", "question_no").drop("_cum")
 
 
-def running_score(graded: DataFrame, order=ORDER) -> DataFrame:
-    """W2 — correct answers before question k, and the feedback-mode numerator."""
-    w = _session_window(order)
-    before = F.coalesce(F.sum("is_correct").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("is_correct").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = (graded.withColumn("question_no", F.row_number().over(w))
-           .withColumn("score_before", before.cast("bigint"))
-           .withColumn("score_feedback", after.cast("bigint")))
+def running_score(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """W2 — correct answers before question k, and the feedback-mode numerator
+    (which already counts question k while the denominator stays k-1)."""
+    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows)
+    out = (p.withColumnRenamed("_rn", "question_no")
+            .withColumn("score_feedback", F.col("_cum").cast("bigint"))
+            .withColumn("score_before", (F.col("_cum") - F.col("is_correct")).cast("bigint"))
+            .drop("_cum"))
     return out.withColumn("badge", F.concat(
         F.lit("⭐ "), F.col("score_before").cast("string"), F.lit("/"),
         (F.col("question_no") - 1).cast("string")))
 
 
-def session_progress(graded: DataFrame, order=ORDER) -> DataFrame:
-    """W3 — ``q_num / total`` for the progress bar."""
-    w = _session_window(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    return (graded.withColumn("question_no", F.row_number().over(w))
-            .withColumn("n_questions", n)
+def session_progress(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """W3 — ``q_num / total`` for the progress bar; the session size is an
+    aggregate joined back by key (AQE splits a skewed key on the big side)."""
+    numbered = question_numbers(graded, order, hot_rows)
+    sizes = graded.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    return (numbered.join(sizes, "session_id")
             .withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))
 
 
