@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import numeric as N
-from ..functions.text import (correct_icon, levels_array, normalise_letter, preview,
+from ..functions.text import (correct_icon, levels_array, normalise_letter, preview, py_strip,
                               selected_symbol)
 from .ordered import DEFAULT_HOT_ROWS, ordered_prefix
 
@@ -177,8 +177,8 @@ def difficulty_lookup(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def difficulty_decode(choice) -> F.Column:
-    """P9 — '1'/'2'/'3' to a level, anything else NULL (asked again)."""
-    c = F.col(choice) if isinstance(choice, str) else choice
+    """P9 — ``input().strip()`` in '1'/'2'/'3' to a level, anything else NULL (asked again)."""
+    c = py_strip(F.col(choice) if isinstance(choice, str) else choice)
     return F.when(c.isin("1", "2", "3"), F.element_at(levels_array(), c.try_cast("int")))
 
 

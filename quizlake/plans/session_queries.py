@@ -133,10 +133,10 @@ FROM (SELECT qid, e, greatest(0.0, {C.ANSWER_DEADLINE_SECONDS}.0 - e) AS l
             vals=", ".join(f"('{lv}', '{C.DIFFICULTY_SYMBOLS[lv]}', '{C.DIFFICULTY_INSTRUCTIONS_SHORT[lv]}')"
                            for lv in C.DIFFICULTY_LEVELS))),
     "difficulty_decode": f"""
-SELECT o_orderkey AS session_id, substr(o_orderpriority, 1, 1) AS choice,
-       CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3')
-            THEN {LEVELS}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] END AS difficulty
-FROM orders""",
+SELECT session_id, choice,
+       CASE WHEN c IN ('1', '2', '3') THEN {LEVELS}[CAST(c AS INTEGER)] END AS difficulty
+FROM (SELECT o_orderkey AS session_id, substr(o_orderpriority, 1, 1) AS choice,
+             {_STRIP.format(x='substr(o_orderpriority, 1, 1)')} AS c FROM orders)""",
     "bank_defaults": with_standins(f"""
 SELECT question_id, COALESCE(difficulty, '{C.DEFAULT_DIFFICULTY}') AS difficulty, COALESCE(explanation, '') AS explanation
 FROM bank"""),
