@@ -88,19 +88,19 @@ FROM (SELECT *, CASE WHEN total > 0 AND score = total THEN 0 WHEN total > 0 AND
             FROM graded GROUP BY session_id, student_name))""", _G),
     "question_numbers": with_standins(f"""
 SELECT session_id, slot, question_id, supplier_key,
-       CAST(row_number() OVER (PARTITION BY session_id ORDER BY {_ORDER}) AS INTEGER) AS question_no
+       CAST(row_number() OVER (PARTITION BY session_id ORDER BY {_ORDER}) AS BIGINT) AS question_no
 FROM graded""", _G),
     "running_score": with_standins(f"""
 SELECT session_id, question_no, question_id, is_correct, score_before, score_feedback,
        '⭐ ' || CAST(score_before AS VARCHAR) || '/' || CAST(question_no - 1 AS VARCHAR) AS badge
 FROM (SELECT session_id, question_id, is_correct,
-             CAST(row_number() OVER w AS INTEGER) AS question_no,
+             CAST(row_number() OVER w AS BIGINT) AS question_no,
              CAST(COALESCE(SUM(is_correct) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS score_before,
              CAST(SUM(is_correct) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS score_feedback
       FROM graded WINDOW w AS (PARTITION BY session_id ORDER BY {_ORDER}))""", _G),
     "session_progress": with_standins(f"""
 SELECT session_id, question_no, n_questions, ROUND(question_no / n_questions, 6) AS progress
-FROM (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY {_ORDER}) AS INTEGER) AS question_no,
+FROM (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY {_ORDER}) AS BIGINT) AS question_no,
              COUNT(*) OVER (PARTITION BY session_id) AS n_questions FROM graded)""", _G),
     "last_answer": with_standins(f"""
 SELECT session_id, question_id, selected, answer, is_correct
