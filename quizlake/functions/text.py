@@ -92,3 +92,11 @@ def letters_array() -> Column:
 
 def levels_array() -> Column:
     return F.array(*[F.lit(x) for x in C.DIFFICULTY_LEVELS])
+
+
+def iso_timestamp(ts) -> Column:
+    """N14 — ``datetime.isoformat()``: 'T' separator, microseconds only when non-zero."""
+    t = col_(ts)
+    frac = F.date_format(t, "SSSSSS")
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))

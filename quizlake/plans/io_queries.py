@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.hashing import seeded_key_sql
+from ..functions.text import iso_timestamp
 from ..operators import practice as P
 from ..operators import sessions as SE
 from ..session import scratch_path
@@ -88,15 +89,9 @@ def q_bank_scan(spark, sf):
                     *[F.element_at("options", F.lit(k)).alias(f"option_{k.lower()}") for k in C.LETTERS])
 
 
-def _iso(c):
-    frac = F.date_format(c, "SSSSSS")
-    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
-
-
 def q_recent_activity(spark, sf):
     ra = L.recent_activity(S.answers(spark, sf), C.RECENT_LIMIT_DEFAULT)
-    return ra.select("id", "student_name", "topic", "icon", _iso("answered_at").alias("answered_at"))
+    return ra.select("id", "student_name", "topic", "icon", iso_timestamp("answered_at").alias("answered_at"), "line")
 
 
 def q_all_answers(spark, sf):
@@ -184,9 +179,11 @@ FROM (SELECT DISTINCT student_name FROM drawn)""", _P),
 SELECT question_id, topic, question, difficulty, answer, opt_a AS option_a, opt_b AS option_b,
        opt_c AS option_c, opt_d AS option_d FROM bank"""),
     "recent_activity": with_standins(f"""
-SELECT id, student_name, topic, CASE WHEN is_correct = 1 THEN '{C.ICON_CORRECT}' ELSE '{C.ICON_WRONG}' END AS icon,
-       {_ISO} AS answered_at
-FROM answers ORDER BY id DESC LIMIT {C.RECENT_LIMIT_DEFAULT}"""),
+SELECT id, student_name, topic, icon, answered_at,
+       '  ' || answered_at || ' | ' || printf('%-10s', student_name) || ' | ' || printf('%-20s', topic) || ' | ' || icon AS line
+FROM (SELECT id, student_name, topic, CASE WHEN is_correct = 1 THEN '{C.ICON_CORRECT}' ELSE '{C.ICON_WRONG}' END AS icon,
+             {_ISO} AS answered_at
+      FROM answers ORDER BY id DESC LIMIT {C.RECENT_LIMIT_DEFAULT})"""),
     "all_answers": with_standins("""
 SELECT student_name, topic, question, is_correct, difficulty, 'quiz' AS source FROM answers
 UNION ALL

@@ -53,8 +53,8 @@ SPARK = {
     ).withColumn("difficulty", SE.difficulty_decode("choice")),
     "bank_defaults": lambda spark, sf: SE.bank_defaults(S.bank(spark, sf)),
     "option_lines": lambda spark, sf: S.bank(spark, sf).select(
-        "question_id", F.posexplode(X.option_lines("options")).alias("pos", "line")).withColumn(
-        "pos", F.col("pos").cast("int")),
+        "question_id", F.posexplode(X.option_lines("options")).alias("pos", "line")).select(
+        "question_id", F.col("pos").cast("int").alias("pos"), "line", X.first_letter("line").alias("letter")),
     "bank_answer_text": lambda spark, sf: S.bank(spark, sf).select(
         "question_id", "answer", F.element_at("options", F.col("answer")).alias("answer_text")),
     "clean_names": lambda spark, sf: read_table(spark, sf, "customer").select(
@@ -141,10 +141,11 @@ FROM (SELECT o_orderkey AS session_id, substr(o_orderpriority, 1, 1) AS choice,
 SELECT question_id, COALESCE(difficulty, '{C.DEFAULT_DIFFICULTY}') AS difficulty, COALESCE(explanation, '') AS explanation
 FROM bank"""),
     "option_lines": with_standins("""
+SELECT question_id, pos, line, substr(line, 1, 1) AS letter FROM (
 SELECT question_id, 0 AS pos, 'A. ' || opt_a AS line FROM bank UNION ALL
 SELECT question_id, 1, 'B. ' || opt_b FROM bank UNION ALL
 SELECT question_id, 2, 'C. ' || opt_c FROM bank UNION ALL
-SELECT question_id, 3, 'D. ' || opt_d FROM bank"""),
+SELECT question_id, 3, 'D. ' || opt_d FROM bank)"""),
     "bank_answer_text": with_standins("""
 SELECT question_id, answer, CASE answer WHEN 'A' THEN opt_a WHEN 'B' THEN opt_b WHEN 'C' THEN opt_c
                                         WHEN 'D' THEN opt_d END AS answer_text FROM bank"""),

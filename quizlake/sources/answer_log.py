@@ -90,10 +90,10 @@ def union_logs(*frames: DataFrame) -> DataFrame:
 def recent_activity(answers: DataFrame, limit: int = C.RECENT_LIMIT_DEFAULT) -> DataFrame:
     """L3 + P11 — the newest answers by insertion id (top-k, no full sort)."""
     from ..functions.numeric import clamp_value
-    from ..functions.text import correct_icon, pad_right
+    from ..functions.text import correct_icon, iso_timestamp, pad_right
     k = clamp_value(limit)
     top = answers.orderBy(F.desc("id")).limit(k)
-    line = F.concat(F.lit("  "), F.col("answered_at").cast("string"), F.lit(" | "),
+    line = F.concat(F.lit("  "), iso_timestamp("answered_at"), F.lit(" | "),
                     pad_right("student_name", 10), F.lit(" | "), pad_right("topic", 20),
                     F.lit(" | "), correct_icon("is_correct"))
     return top.select("id", "answered_at", "student_name", "topic",
