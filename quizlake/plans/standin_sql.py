@@ -49,7 +49,7 @@ STANDINS = {
   FROM events""",
     "conv_assistant": """
   SELECT conv_id, turn, CAST((conv_id + turn) % 5 AS INTEGER) AS kind,
-         CAST(to_json({'question': substr(text, 1, 80),
+         CAST(to_json({'question': text,
                   'options': {'A': 'first ' || CAST(turn AS VARCHAR), 'B': 'second ' || CAST(conv_id AS VARCHAR),
                               'C': 'third', 'D': 'none'},
                   'answer': substr('ABCD', CAST(turn % 4 AS INTEGER) + 1, 1)}) AS VARCHAR) AS qjson

@@ -111,7 +111,7 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     kind = ((F.col("conv_id") + F.col("turn")) % 5).cast("int")
     qjson = F.to_json(F.named_struct(
-        F.lit("question"), F.substring("text", 1, 80),
+        F.lit("question"), F.col("text"),
         F.lit("options"), F.create_map(
             F.lit("A"), F.concat(F.lit("first "), F.col("turn").cast("string")),
             F.lit("B"), F.concat(F.lit("second "), F.col("conv_id").cast("string")),
