@@ -89,8 +89,10 @@ def practice_candidates(weak: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def weak_for_anyone(bank: DataFrame, weak: DataFrame) -> DataFrame:
-    """J5 (semi) — bank questions whose topic is weak for at least one student."""
-    return bank.join(weak.select("topic"), "topic", "left_semi")
+    """J5 (semi) — bank questions whose topic is weak for at least one student.
+    The weak side is first reduced to its distinct topics (a partial aggregate),
+    so the semi-join build side is as small as the topic list."""
+    return bank.join(weak.select("topic").distinct(), "topic", "left_semi")
 
 
 def _instruction(difficulty_col, long: bool) -> F.Column:
