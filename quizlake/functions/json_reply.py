@@ -44,16 +44,23 @@ def _wrapped(text) -> Column:
     return F.concat(F.lit("["), col_(text), F.lit("]"))
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false",
+           "allowUnquotedFieldNames": "false", "allowComments": "false",
+           "allowUnquotedControlChars": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
+
+
 def is_single_json_value(text) -> Column:
-    """``json.loads(text)`` succeeds (strict, whole string)."""
-    w = _wrapped(text)
-    return F.coalesce(F.try_parse_json(w).isNotNull() & (F.json_array_length(w) == 1), F.lit(False))
+    """``json.loads(text)`` succeeds (strict, whole string). Each element of
+    the wrapped array is read as raw text, so any value type is accepted;
+    like Python, NaN/Infinity and duplicate keys are allowed, single quotes,
+    comments, leading zeros and raw control characters are not."""
+    values = F.from_json(_wrapped(text), T.ArrayType(T.StringType()), _STRICT)
+    return F.coalesce(F.size(values) == 1, F.lit(False))
 
 
 def parse_question(text) -> Column:
     """D5 — the reply's fields (``question, options, answer, explanation``)."""
-    arr = F.from_json(_wrapped(text), T.ArrayType(QUESTION_FIELDS),
-                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    arr = F.from_json(_wrapped(text), T.ArrayType(QUESTION_FIELDS), _STRICT)
     return F.get(arr, 0)
 
 
