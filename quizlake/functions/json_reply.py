@@ -49,13 +49,24 @@ _STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false",
            "allowUnquotedControlChars": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
 
 
+_END = "#end-of-reply#"
+
+
 def is_single_json_value(text) -> Column:
-    """``json.loads(text)`` succeeds (strict, whole string). Each element of
-    the wrapped array is read as raw text, so any value type is accepted;
-    like Python, NaN/Infinity and duplicate keys are allowed, single quotes,
-    comments, leading zeros and raw control characters are not."""
-    values = F.from_json(_wrapped(text), T.ArrayType(T.StringType()), _STRICT)
-    return F.coalesce(F.size(values) == 1, F.lit(False))
+    """``json.loads(text)`` succeeds (strict, whole string).
+
+    Elements are read as raw text, so any value type is accepted; like Python,
+    NaN/Infinity and duplicate keys are allowed, single quotes, comments,
+    leading zeros and raw control characters are not. The JSON reader stops
+    after the first complete root value, so one wrapping is not enough: a text
+    ``V]junk`` would close ``[V]junk]`` early. ``[t]`` must hold exactly one
+    value AND ``[t,"<end>"]`` exactly that value followed by the end marker;
+    both hold only when nothing follows the value inside the text.
+    """
+    arr = T.ArrayType(T.StringType())
+    one = F.from_json(_wrapped(text), arr, _STRICT)
+    two = F.from_json(F.concat(F.lit("["), col_(text), F.lit(f',"{_END}"]')), arr, _STRICT)
+    return F.coalesce((F.size(one) == 1) & (F.size(two) == 2) & (F.get(two, 1) == F.lit(_END)), F.lit(False))
 
 
 def parse_question(text) -> Column:
