@@ -5,24 +5,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
-from ..schemas import REPLY_BODY_SCHEMA, REPLY_QUESTION_SCHEMA
+from ..schemas import REPLY_QUESTION_SCHEMA
+from .text import col_, non_blank, py_strip
 
 QUESTION_FIELDS = REPLY_QUESTION_SCHEMA
-from .text import col_, non_blank, py_strip
+# blocks as maps, so a block without a "text" key can be told from one whose
+# text is null (the first raises in the original, the second is skipped)
+BLOCKS_SCHEMA = T.StructType([T.StructField("content", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
 
 FENCE = "```"
 
 
+def _reply_parts(raw_body):
+    content = F.from_json(col_(raw_body), BLOCKS_SCHEMA)["content"]
+    # the first text block that either returns (non-blank text) or raises (no text key)
+    hit = F.get(F.filter(content, lambda b: (b["type"] == "text")
+                         & (~F.map_contains_key(b, "text") | non_blank(b["text"]))), 0)
+    first_any = F.get(content, 0)["text"]
+    return content, hit, first_any
+
+
 def reply_text(raw_body) -> Column:
     """D3 — first ``type='text'`` block with a non-blank text, else the first
     block's text when non-blank, else NULL (the caller retries)."""
-    content = F.from_json(col_(raw_body), REPLY_BODY_SCHEMA)["content"]
-    first_text = F.get(F.filter(content, lambda b: (b["type"] == "text") & non_blank(b["text"])), 0)["text"]
-    first_any = F.get(content, 0)["text"]
-    return F.coalesce(first_text, F.when(non_blank(first_any), first_any))
+    content, hit, first_any = _reply_parts(raw_body)
+    return F.when(hit.isNotNull(), F.when(F.map_contains_key(hit, "text"), hit["text"])).otherwise(
+        F.when(non_blank(first_any), first_any))
+
+
+def reply_raises(raw_body) -> Column:
+    """True when reading the body raises in the original (not a JSON object,
+    no ``content``, a text block without ``text`` before any usable one, or an
+    empty ``content`` with no text to fall back on): a retried attempt."""
+    content, hit, _ = _reply_parts(raw_body)
+    return F.coalesce(
+        content.isNull()
+        | (hit.isNotNull() & ~F.map_contains_key(hit, "text"))
+        | (hit.isNull() & (F.size(content) == 0)),
+        F.lit(True))
 
 
 def unfence(text) -> Column:

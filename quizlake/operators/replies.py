@@ -17,6 +17,7 @@ from ..functions import json_reply as J
 OK = "parsed"
 RETRY_502 = "retry_502"
 RETRY_EMPTY = "retry_empty"
+RETRY_ERROR = "retry_error"
 PARSE_ERROR = "parse_error"
 FATAL_HTTP = "fatal_http"
 FATAL_TYPE = "fatal_type"
@@ -30,14 +31,16 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
          .withColumn("clean_text", J.unfence("reply_text"))
          .withColumn("parsed", J.parse_question("clean_text")))
     status = F.col("status")
-    base = (F.when(status == C.RETRY_STATUS, F.lit(RETRY_502))
+    base = (F.when(status.isNull(), F.lit(RETRY_ERROR))  # no HTTP response at all
+            .when(status == C.RETRY_STATUS, F.lit(RETRY_502))
             .when(status >= 400, F.lit(FATAL_HTTP))
+            .when(J.reply_raises("raw_body"), F.lit(RETRY_ERROR))
             .when(F.col("reply_text").isNull(), F.lit(RETRY_EMPTY))
             .when(J.parsed_ok("clean_text", "parsed"), F.lit(OK))
             .when(J.non_object_json("clean_text"), F.lit(FATAL_TYPE))
             .otherwise(F.lit(PARSE_ERROR)))
     a = a.withColumn("base_outcome", base)
-    retry = F.col("base_outcome").isin(RETRY_502, RETRY_EMPTY)
+    retry = F.col("base_outcome").isin(RETRY_502, RETRY_EMPTY, RETRY_ERROR)
     # three failed HTTP tries end the request (the inner error is not caught outside)
     outcome = F.when(retry & (F.col("http_try") >= C.MAX_HTTP_TRIES), F.lit(EXHAUSTED)).otherwise(F.col("base_outcome"))
     attempt_s = F.col("http_try").cast("string")
@@ -45,6 +48,7 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
            .when(F.col("base_outcome") == FATAL_HTTP,
                  F.concat(F.lit("API error "), status.cast("string"), F.lit(": "), F.coalesce("raw_body", F.lit(""))))
            .when(F.col("base_outcome") == RETRY_EMPTY, F.concat(F.lit("Empty response from API (attempt "), attempt_s, F.lit(")")))
+           .when(F.col("base_outcome") == RETRY_ERROR, F.concat(F.lit("Unreadable response (attempt "), attempt_s, F.lit(")")))
            .when(F.col("base_outcome") == PARSE_ERROR,
                  F.concat(F.lit("JSON parse error (attempt "), F.col("parse_attempt").cast("string"), F.lit(")")))
            .when(F.col("base_outcome") == FATAL_TYPE, F.lit("reply is not a JSON object")))

@@ -101,16 +101,19 @@ _REPLY = [
     ("un", f"""SELECT *, CASE WHEN starts_with(s, '```')
                   THEN {_STRIP.format(x="CASE WHEN ends_with(d, '```') THEN substr(d, 1, length(d) - 3) ELSE d END")}
                   ELSE s END AS clean_text FROM dr"""),
-    ("oc", """SELECT *, CASE WHEN status = 502 THEN 'retry_502' WHEN status >= 400 THEN 'fatal_http'
+    ("oc", """SELECT *, CASE WHEN status IS NULL THEN 'retry_error'
+                  WHEN status = 502 THEN 'retry_502' WHEN status >= 400 THEN 'fatal_http'
+                  WHEN body IS NULL OR body.content IS NULL OR (reply_text IS NULL AND len(body.content) = 0) THEN 'retry_error'
                   WHEN reply_text IS NULL THEN 'retry_empty'
                   WHEN starts_with(clean_text, '{') AND ends_with(clean_text, '}') AND json_valid(clean_text) THEN 'parsed'
                   WHEN NOT starts_with(clean_text, '{') AND json_valid(clean_text) THEN 'fatal_type'
                   ELSE 'parse_error' END AS base FROM un"""),
-    ("o1", f"""SELECT *, CASE WHEN base IN ('retry_502', 'retry_empty') AND http_try >= {C.MAX_HTTP_TRIES}
+    ("o1", f"""SELECT *, CASE WHEN base IN ('retry_502', 'retry_empty', 'retry_error') AND http_try >= {C.MAX_HTTP_TRIES}
                   THEN 'fatal_exhausted' ELSE base END AS outcome,
                   CASE base WHEN 'retry_502' THEN '502 Bad Gateway (attempt ' || CAST(http_try AS VARCHAR) || ')'
                             WHEN 'fatal_http' THEN 'API error ' || CAST(status AS VARCHAR) || ': ' || COALESCE(raw_body, '')
                             WHEN 'retry_empty' THEN 'Empty response from API (attempt ' || CAST(http_try AS VARCHAR) || ')'
+                            WHEN 'retry_error' THEN 'Unreadable response (attempt ' || CAST(http_try AS VARCHAR) || ')'
                             WHEN 'parse_error' THEN 'JSON parse error (attempt ' || CAST(parse_attempt AS VARCHAR) || ')'
                             WHEN 'fatal_type' THEN 'reply is not a JSON object' END AS err0
            FROM oc"""),
