@@ -32,3 +32,9 @@ def seeded_int_sql(seed: str, *cols: str) -> str:
 def seeded_key_sql(seed: str, *cols: str) -> str:
     parts = " || '|' || ".join([f"'{seed}'"] + [f"CAST({c} AS VARCHAR)" for c in cols])
     return f"md5({parts})"
+
+
+def question_key(topic, question) -> Column:
+    """H8 — a stable key for a question stored only as text:
+    sha2(topic <US> question, 256), so equal texts in different topics differ."""
+    return F.sha2(F.concat_ws(chr(31), col_(topic), col_(question)), 256)

@@ -120,19 +120,25 @@ def _deadline(shown_col: str, deadline: int):
 
 
 def timed_answers(shown: DataFrame, answered: DataFrame,
-                  deadline: int = C.ANSWER_DEADLINE_SECONDS) -> DataFrame:
+                  deadline: int = C.ANSWER_DEADLINE_SECONDS, abandoned: str = "timeout") -> DataFrame:
     """J6 — a presentation is answered iff an answer arrives within the deadline;
     otherwise it is a timeout: wrong, with ``selected`` NULL.
 
     ``shown``: (qid, session_id, shown_at, correct); ``answered``: (qid, answered_at, selected).
     The join is on the question key plus the time range, so a stream version
-    (streaming/streams.py) can keep bounded state.
+    (streaming/streams.py) can keep bounded state. ``abandoned="drop"`` keeps
+    the original page's behaviour for a question with no answer at all (never
+    recorded); the default records it as a timeout.
     """
     s = shown.alias("s")
     a = answered.alias("a")
     cond = ((F.col("s.qid") == F.col("a.qid"))
             & (F.col("a.answered_at") >= F.col("s.shown_at"))
             & (F.col("a.answered_at") < _deadline("s.shown_at", deadline)))
+    if abandoned == "drop":
+        s = s.join(answered.select("qid").distinct(), "qid", "left_semi").alias("s")
+    elif abandoned != "timeout":
+        raise ValueError("abandoned must be 'timeout' or 'drop'")
     j = s.join(a, cond, "left")
     on_time = F.col("a.qid").isNotNull()
     return j.select(

@@ -62,3 +62,21 @@ def test_lookup_default_and_decode(spark):
     ch = spark.createDataFrame([("1",), ("3",), ("4",), ("x",), (" 2",)], "c string")
     got = [r.d for r in ch.select(SE.difficulty_decode("c").alias("d")).collect()]
     assert got == ["beginner", "advanced", None, None, "intermediate"]
+
+
+def test_abandoned_drop(spark):
+    shown = spark.createDataFrame([(i, 1, T0, "A") for i in range(3)],
+                                  "qid long, session_id long, shown_at timestamp_ntz, correct string")
+    answered = spark.createDataFrame([(0, T0, "A"), (1, T0 + dt.timedelta(seconds=30), "B")],
+                                     "qid long, answered_at timestamp_ntz, selected string")
+    keep = {r.qid: r.status for r in SE.timed_answers(shown, answered).collect()}
+    drop = {r.qid: r.status for r in SE.timed_answers(shown, answered, abandoned="drop").collect()}
+    assert keep == {0: "answered", 1: "timed_out", 2: "timed_out"}
+    assert drop == {0: "answered", 1: "timed_out"}
+
+
+def test_question_key(spark):
+    from quizlake.functions.hashing import question_key
+    df = spark.createDataFrame([("lists", "Q?"), ("numpy", "Q?"), ("lists", "Q?")], "t string, q string")
+    keys = [r.k for r in df.select(question_key("t", "q").alias("k")).collect()]
+    assert keys[0] == keys[2] != keys[1] and len(keys[0]) == 64
