@@ -53,25 +53,32 @@ def _split(df: DataFrame, group: str, order: list[str], value: str, pieces: int)
                .drop("_piece", "_ln", "_lc", "_carry_n", "_carry_c"))
 
 
+def hot_keys(sizes: DataFrame, group: str, size_col: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """Keys whose size exceeds ``hot_rows``: at most (total rows / hot_rows) of
+    them, a proven bound for broadcasting."""
+    return sizes.filter(F.col(size_col) > hot_rows).select(group)
+
+
 def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str,
-                   hot_rows: int | None = DEFAULT_HOT_ROWS, pieces: int | None = None) -> DataFrame:
+                   hot_rows: int | None = DEFAULT_HOT_ROWS, pieces: int | None = None,
+                   hot: DataFrame | None = None) -> DataFrame:
     """Adds ``_rn`` (1-based position in the group by ``order``) and ``_cum``
     (running sum of ``value`` up to and including the row).
 
     ``hot_rows=None`` forces the plain window (groups known to be bounded).
+    ``hot`` may give the hot keys directly: any superset of the groups with
+    more than ``hot_rows`` rows is exact (e.g. sizes taken from a cheaper
+    upstream table that has at least as many rows per key); otherwise the
+    sizes are counted on ``df`` itself, one extra pass.
     """
     if hot_rows is None:
         return _plain(df, group, order, value)
     spark = df.sparkSession
     pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the input is recomputed for the size pass rather than cached: at scale a
-    # scan plus key joins is cheaper than persisting every row
-    base = df
-    sizes = base.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    # at most (total rows / hot_rows) keys: a proven bound for the broadcast
-    hot = F.broadcast(sizes.filter(F.col("_size") > hot_rows).select(group))
-    cold = _plain(base.join(hot, group, "left_anti"), group, order, value)
-    hot_rows_df = base.join(hot, group, "left_semi")
-    if hot_rows_df.isEmpty():
-        return cold
-    return cold.unionByName(_split(hot_rows_df, group, order, value, pieces))
+    if hot is None:
+        hot = hot_keys(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), group, "_size", hot_rows)
+    if hot.isEmpty():
+        return _plain(df, group, order, value)
+    hot_b = F.broadcast(hot)
+    cold = _plain(df.join(hot_b, group, "left_anti"), group, order, value)
+    return cold.unionByName(_split(df.join(hot_b, group, "left_semi"), group, order, value, pieces))

@@ -70,16 +70,18 @@ def session_scores(graded: DataFrame) -> DataFrame:
     )
 
 
-def question_numbers(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+def question_numbers(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
+                     hot: DataFrame | None = None) -> DataFrame:
     """W1 — ``enumerate(start=1)`` within a session (hot sessions are split, see ordered.py)."""
-    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows)
+    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows, hot=hot)
     return p.withColumnRenamed("_rn", "question_no").drop("_cum")
 
 
-def running_score(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+def running_score(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
+                  hot: DataFrame | None = None) -> DataFrame:
     """W2 — correct answers before question k, and the feedback-mode numerator
     (which already counts question k while the denominator stays k-1)."""
-    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows)
+    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows, hot=hot)
     out = (p.withColumnRenamed("_rn", "question_no")
             .withColumn("score_feedback", F.col("_cum").cast("bigint"))
             .withColumn("score_before", (F.col("_cum") - F.col("is_correct")).cast("bigint"))
@@ -89,10 +91,11 @@ def running_score(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT
         (F.col("question_no") - 1).cast("string")))
 
 
-def session_progress(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+def session_progress(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
+                     hot: DataFrame | None = None) -> DataFrame:
     """W3 — ``q_num / total`` for the progress bar; the session size is an
     aggregate joined back by key (AQE splits a skewed key on the big side)."""
-    numbered = question_numbers(graded, order, hot_rows)
+    numbered = question_numbers(graded, order, hot_rows, hot)
     sizes = graded.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_questions"))
     return (numbered.join(sizes, "session_id")
             .withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))

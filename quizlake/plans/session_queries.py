@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..operators import sessions as SE
+from ..operators.ordered import DEFAULT_HOT_ROWS
 from ..sources import standins as S
 from ..sources.tables import read_table
 from .standin_sql import LEVELS, STRIP_SQL, with_standins
@@ -20,6 +21,10 @@ def _graded(spark, sf):
     return SE.graded_responses(S.responses(spark, sf), S.bank(spark, sf))
 
 
+def _hot(spark, sf):
+    return S.hot_sessions(spark, sf, DEFAULT_HOT_ROWS)
+
+
 def _shown(spark, sf):
     return S.presentations(spark, sf).select("qid", "session_id", "shown_at", "correct")
 
@@ -35,11 +40,11 @@ SPARK = {
     "graded_responses": lambda spark, sf: _graded(spark, sf).select(
         "session_id", "student_name", "question_id", "slot", "selected", "answer", "topic", "is_correct"),
     "session_scores": lambda spark, sf: SE.session_scores(_graded(spark, sf)),
-    "question_numbers": lambda spark, sf: SE.question_numbers(_graded(spark, sf)).select(
+    "question_numbers": lambda spark, sf: SE.question_numbers(_graded(spark, sf), hot=_hot(spark, sf)).select(
         "session_id", "slot", "question_id", "supplier_key", "question_no"),
-    "running_score": lambda spark, sf: SE.running_score(_graded(spark, sf)).select(
+    "running_score": lambda spark, sf: SE.running_score(_graded(spark, sf), hot=_hot(spark, sf)).select(
         "session_id", "question_no", "question_id", "is_correct", "score_before", "score_feedback", "badge"),
-    "session_progress": lambda spark, sf: SE.session_progress(_graded(spark, sf)).select(
+    "session_progress": lambda spark, sf: SE.session_progress(_graded(spark, sf), hot=_hot(spark, sf)).select(
         "session_id", "question_no", "n_questions", "progress"),
     "last_answer": lambda spark, sf: SE.last_answer(_graded(spark, sf)),
     "answer_review": lambda spark, sf: SE.answer_review(_graded(spark, sf)),

@@ -135,3 +135,13 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(t) for t in C.TOPICS]), (F.col("conv_id") % 5).cast("int") + 1).alias("topic"),
         F.element_at(levels_array(), (F.col("conv_id") % 3).cast("int") + 1).alias("difficulty"),
     )
+
+
+def hot_sessions(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+    """Sessions with more than ``hot_rows`` response rows, counted on the
+    ``lineitem`` key column alone (a pruned one-column scan and a partial
+    aggregate): every session has at least as many rows there as after the
+    orders join and the validity filter, so this is a safe superset."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"))
+    sizes = li.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.filter(F.col("n_rows") > hot_rows).select("session_id")
