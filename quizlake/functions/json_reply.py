@@ -59,18 +59,15 @@ def unfence(text) -> Column:
 
 
 def _wrapped(text) -> Column:
-    # '[' + text + ']' is one valid JSON array of exactly one element iff the
-    # text is exactly one JSON value: trailing junk, a second object or a
-    # stray bracket make the array invalid or longer (from_json alone would
-    # keep the first object and ignore the rest).
+    # from_json on the bare text would read the first value and ignore the
+    # rest; inside an array a second value or trailing junk becomes visible
     return F.concat(F.lit("["), col_(text), F.lit("]"))
 
 
+# strict reader options, matching what json.loads accepts
 _STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false",
            "allowUnquotedFieldNames": "false", "allowComments": "false",
            "allowUnquotedControlChars": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
-
-
 _END = "#end-of-reply#"
 
 

@@ -39,3 +39,15 @@ def test_running_score_split_on_real_sessions(spark):
     a = SE.running_score(graded, hot_rows=None).select("session_id", "question_id", "question_no", "score_before")
     b = SE.running_score(graded, hot_rows=3).select("session_id", "question_id", "question_no", "score_before")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_explicit_hot_superset_is_exact(spark):
+    hot = spark.range(2000).select(F.lit(7).alias("session_id"), F.lit(0).alias("k1"),
+                                   F.col("id").alias("k2"), (F.col("id") % 5 == 0).cast("int").alias("v"))
+    cold = spark.range(300).select((F.col("id") % 30 + 100).alias("session_id"), F.lit(1).alias("k1"),
+                                   F.col("id").alias("k2"), F.lit(1).alias("v"))
+    df = hot.unionByName(cold)
+    keys = spark.createDataFrame([(7,), (100,), (101,), (999,)], "session_id long")  # superset of the hot set
+    a = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=None)
+    b = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=500, pieces=6, hot=keys)
+    assert _rows(a) == _rows(b)
