@@ -8,7 +8,7 @@ tables and add no shuffle of their own except that join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -107,8 +107,11 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per attempt: ``(request_id, parse_attempt, http_try, status, raw_body)``
     plus the request's ``topic`` and ``difficulty`` (derived from the id).
     """
-    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    from ..operators.ordered import ordered_prefix
+    conv = (read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+            .select("conv_id", "turn", "text", F.lit(1).alias("_one")))
+    # row_number per conversation, split over tasks for a conversation with very many turns
+    conv = ordered_prefix(conv, "conv_id", ["turn"], "_one")
     kind = ((F.col("conv_id") + F.col("turn")) % 5).cast("int")
     qjson = F.to_json(F.named_struct(
         F.lit("question"), F.col("text"),
@@ -128,7 +131,7 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), inner))))
     return conv.select(
         F.col("conv_id").alias("request_id"),
-        F.row_number().over(w).alias("parse_attempt"),
+        F.col("_rn").cast("int").alias("parse_attempt"),
         F.lit(1).alias("http_try"),
         F.when(kind == 4, F.lit(C.RETRY_STATUS)).otherwise(F.lit(200)).alias("status"),
         F.when(kind == 4, F.lit("")).otherwise(body).alias("raw_body"),
