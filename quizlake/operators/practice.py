@@ -40,10 +40,16 @@ def bank_positions(bank: DataFrame, seed: str, bucket_digits: int = 3):
     keyed = (bank.withColumn("draw_key", seeded_key(seed, "question_id"))
                  .withColumn("bucket", F.substring("draw_key", 1, bucket_digits)))
     counts = keyed.groupBy("topic", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
-    w = Window.partitionBy("topic").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("topic", "bucket",
-                            F.coalesce(F.sum("n_bucket").over(w), F.lit(0)).alias("offset"))
-    sizes = counts.groupBy("topic").agg(F.sum("n_bucket").cast("bigint").alias("n_topic"))
+    # one window pass over the small count table gives both the offset of each
+    # bucket and the topic size (at most 16^digits rows per topic)
+    w = Window.partitionBy("topic").orderBy("bucket")
+    offsets = counts.select(
+        "topic", "bucket",
+        F.coalesce(F.sum("n_bucket").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("n_bucket").over(Window.partitionBy("topic")).cast("bigint").alias("n_topic"))
+    # already partitioned by topic: the distinct adds no shuffle
+    sizes = offsets.select("topic", "n_topic").distinct()
+    offsets = offsets.drop("n_topic")
     within = Window.partitionBy("topic", "bucket").orderBy("draw_key", "question_id")
     positioned = (keyed.join(offsets, ["topic", "bucket"])
                   .withColumn("pos", (F.col("offset") + F.row_number().over(within) - 1).cast("bigint"))
