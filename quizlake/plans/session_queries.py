@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import sessions as SE
 from ..operators.ordered import DEFAULT_HOT_ROWS
 from ..sources import standins as S
+from ..sources.answer_log import clean_names
 from ..sources.tables import read_table
 from .standin_sql import LEVELS, STRIP_SQL, with_standins
 
@@ -62,8 +63,8 @@ SPARK = {
         "question_id", F.col("pos").cast("int").alias("pos"), "line", X.first_letter("line").alias("letter")),
     "bank_answer_text": lambda spark, sf: S.bank(spark, sf).select(
         "question_id", "answer", F.element_at("options", F.col("answer")).alias("answer_text")),
-    "clean_names": lambda spark, sf: read_table(spark, sf, "customer").select(
-        X.py_strip("c_name").alias("student_name")).filter(F.col("student_name") != ""),
+    "clean_names": lambda spark, sf: clean_names(
+        read_table(spark, sf, "customer").select(F.col("c_name").alias("student_name"))),
 }
 
 _NR = f"""SELECT *, upper({_STRIP.format(x='selected_raw')}) AS selected FROM responses"""

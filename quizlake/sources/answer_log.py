@@ -79,6 +79,12 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
          .otherwise(F.col("difficulty")))
 
 
+def clean_names(df: DataFrame, column: str = "student_name") -> DataFrame:
+    """N1 + P10 — ``name.strip()``, and an empty name is rejected."""
+    from ..functions.text import py_strip
+    return df.withColumn(column, py_strip(column)).filter(F.col(column) != F.lit(""))
+
+
 def union_logs(*frames: DataFrame) -> DataFrame:
     """U2 — main-quiz and practice answers into one log."""
     out = frames[0]

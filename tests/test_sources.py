@@ -109,3 +109,10 @@ def test_documents_round_trip_and_manifest(spark, scratch):
     assert man["khin a"].file_name == "practice_khin_a_2026-06-18_172926.json"
     assert man["khin a"].file_name == man["khin_a"].file_name  # the original's collision
     assert man["khin a"].unique_name != man["khin_a"].unique_name
+
+
+def test_clean_names(spark):
+    names = [" Alex", "Alex\t", "", "   ", "alex", None, "a name of seventeen+"]
+    df = spark.createDataFrame([(n,) for n in names], "student_name string")
+    got = [r.student_name for r in L.clean_names(df).collect()]
+    assert got == ["Alex", "Alex", "alex", "a name of seventeen+"]
