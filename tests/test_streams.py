@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from quizlake.operators import accuracy as A
 from quizlake.operators import sessions as SE
