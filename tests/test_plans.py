@@ -46,3 +46,21 @@ def test_no_cartesian_anywhere(spark):
     for name in sorted(set(E.queries()) - SKIP):
         plan = _plan(E.queries()[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name,partial", [
+    ("class_weak_topics", "partial_count"), ("class_summary", "partial_count"),
+    ("session_scores", "partial_sum"), ("first_valid_reply", "partial_min"),
+    ("last_answer", "partial_max_by"), ("student_status", "partial_count"),
+])
+def test_hot_keys_are_pre_aggregated(spark, name, partial):
+    """A key holding a third of the rows is reduced map-side before the shuffle."""
+    plan = _plan(E.queries()[name](spark, SF))
+    assert partial in plan, name
+
+
+def test_practice_draw_has_no_all_pairs_join(spark):
+    plan = _plan(E.queries()["quiz_draw"](spark, SF))
+    # the only joins are keyed on (topic, pos), (topic), (topic, bucket) and the grading keys
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "Generate explode(sequence(0" in plan  # n keys per (student, topic)
