@@ -1,8 +1,9 @@
 """Structured Streaming operators.
 
 Sources are file folders (Parquet) with explicit schemas; sinks are Parquet
-file sinks with a checkpoint (exactly-once across restarts). Runs in tests
-and the registered queries use ``availableNow``.
+file sinks with a checkpoint (exactly-once across restarts). Tests and the
+registered queries run with ``availableNow``; pass ``processing_time`` (e.g.
+"30 seconds") to start a continuous query and get its handle back.
 """
 
 from __future__ import annotations
@@ -29,27 +30,34 @@ ANSWERED_SCHEMA = T.StructType([
 TOPIC_STATE_SCHEMA = "student_name string, topic string, total bigint, correct bigint, batch_id bigint"
 
 
-def _run(writer, available_now: bool = True):
-    q = writer.trigger(availableNow=True).start() if available_now else writer.start()
-    q.awaitTermination()
-    return q
+def _run(writer, processing_time: str | None = None):
+    """``processing_time=None``: process what is there now and stop (tests,
+    batch-like runs). Otherwise start a continuous query with that trigger
+    interval and return its handle without waiting."""
+    if processing_time is None:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    return writer.trigger(processingTime=processing_time).start()
 
 
 # ----------------------------------------------------------------- T2
 
-def answer_append_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
+def answer_append_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                         processing_time: str | None = None):
     """T2 — every arriving answer is normalised (S2) and appended to the log."""
     src = spark.readStream.schema(ANSWER_SCHEMA).parquet(source)
     out = answer_log.normalise(src)
     w = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", sink)
          .partitionBy("answer_date", "schema_version"))
-    _run(w)
+    return _run(w, processing_time)
 
 
 # ----------------------------------------------------------------- T3
 
-def topic_accuracy_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
+def topic_accuracy_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                          processing_time: str | None = None):
     """T3 — running (student, topic) totals over the whole history.
 
     Update mode: each micro-batch emits only the keys it changed; they are
@@ -68,7 +76,7 @@ def topic_accuracy_stream(spark: SparkSession, source: str, sink: str, checkpoin
 
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(upsert))
-    _run(w)
+    return _run(w, processing_time)
 
 
 def topic_accuracy_snapshot(spark: SparkSession, sink: str) -> DataFrame:
@@ -83,7 +91,7 @@ def topic_accuracy_snapshot(spark: SparkSession, sink: str) -> DataFrame:
 
 def timed_answer_stream(spark: SparkSession, shown_dir: str, answered_dir: str, sink: str,
                         checkpoint: str, deadline: int = C.ANSWER_DEADLINE_SECONDS,
-                        lateness: str = "1 minute") -> None:
+                        lateness: str = "1 minute", processing_time: str | None = None):
     """T1 — stream-stream left outer join of shown questions with answers that
     arrive within the deadline. An unmatched question is emitted as a timeout
     once the watermark passes its deadline. Duplicate answer events (at-least-
@@ -110,4 +118,4 @@ def timed_answer_stream(spark: SparkSession, shown_dir: str, answered_dir: str,
         F.when(on_time, F.lit("answered")).otherwise(F.lit("timed_out")).alias("status"))
     w = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", sink))
-    _run(w)
+    return _run(w, processing_time)
