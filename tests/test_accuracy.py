@@ -128,3 +128,17 @@ def test_named_reports(spark, golden):
     assert RP.get_recent_activity(golden, 3).count() == 3
     assert RP.list_students(golden).count() == 3
     assert RP.find_weak_topics(golden, "bo").collect()[0].weak_topics == ["numpy"]
+
+
+def test_hot_student_third_of_rows(spark):
+    """One student holding a third of all answers: results equal a pandas brute force."""
+    from quizlake.sources import standins as S
+    ans = S.answers(spark, "/root/testdata/sf0.01")
+    hot = ans.withColumn("student_name", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("student_name")))
+    pdf = hot.select("student_name", "topic", "is_correct").toPandas()
+    want = pdf.groupby(["student_name", "topic"]).is_correct.agg(["count", "sum"]).reset_index()
+    want = {(r.student_name, r.topic): (r["count"], r["sum"]) for _, r in want.iterrows()}
+    got = {(r.student_name, r.topic): (r.total, r.correct) for r in A.topic_breakdown(hot).collect()}
+    assert got == want
+    summary = {(r.level, r.student_name, r.topic): r.total for r in A.class_summary(hot).collect()}
+    assert summary[("student", "hot", None)] == int((pdf.student_name == "hot").sum())
