@@ -58,7 +58,13 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
 
 def parsed_questions(outcomes: DataFrame) -> DataFrame:
     """D5 + D6 — every parsable attempt, tagged with the request's topic and difficulty."""
-    p = outcomes.filter(F.col("outcome") == OK)
+    # The filter would otherwise be pushed below the projections that build
+    # the outcome, inlining the whole extract/unfence/parse chain into it many
+    # times over (a plan hundreds of times larger). A nondeterministic column
+    # (the partition id, free to compute) keeps the filter above them.
+    p = (outcomes.withColumn("_keep_filter_above", F.spark_partition_id())
+         .filter((F.col("outcome") == OK) & (F.col("_keep_filter_above") >= 0))
+         .drop("_keep_filter_above"))
     return p.select("request_id", "parse_attempt", "http_try",
                     F.col("parsed.question").alias("question"), F.col("parsed.options").alias("options"),
                     F.col("parsed.answer").alias("answer"), F.col("parsed.explanation").alias("explanation"),

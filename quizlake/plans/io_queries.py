@@ -109,6 +109,11 @@ def _stage_answers(spark, sf, path):
     ans.filter(~_older()).write.mode("append").parquet(path)
 
 
+def _state_partitions(spark):
+    # one state partition per core of the cluster (8 locally)
+    return spark.sparkContext.defaultParallelism
+
+
 def q_stream_answer_append(spark, sf):
     base = scratch_path(spark, "stream-append")
     _stage_answers(spark, sf, f"{base}/in")
@@ -119,7 +124,8 @@ def q_stream_answer_append(spark, sf):
 def q_stream_topic_accuracy(spark, sf):
     base = scratch_path(spark, "stream-accuracy")
     _stage_answers(spark, sf, f"{base}/in")
-    ST.topic_accuracy_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    ST.topic_accuracy_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+                             state_partitions=_state_partitions(spark))
     return ST.topic_accuracy_snapshot(spark, f"{base}/out")
 
 
@@ -128,11 +134,14 @@ def q_stream_timed_answers(spark, sf):
     pres = S.presentations(spark, sf)
     pres.select("qid", "session_id", "shown_at", "correct").write.parquet(f"{base}/shown")
     pres.select("qid", "answered_at", "selected").write.parquet(f"{base}/answered")
-    ST.timed_answer_stream(spark, f"{base}/shown", f"{base}/answered", f"{base}/out", f"{base}/ckpt")
+    parts = _state_partitions(spark)
+    ST.timed_answer_stream(spark, f"{base}/shown", f"{base}/answered", f"{base}/out", f"{base}/ckpt",
+                           state_partitions=parts)
     # a heartbeat far in the future moves both watermarks past every deadline
     spark.createDataFrame([(-1, -1, FAR_FUTURE, None)], ST.SHOWN_SCHEMA).write.mode("append").parquet(f"{base}/shown")
     spark.createDataFrame([(-1, FAR_FUTURE, None)], ST.ANSWERED_SCHEMA).write.mode("append").parquet(f"{base}/answered")
-    ST.timed_answer_stream(spark, f"{base}/shown", f"{base}/answered", f"{base}/out", f"{base}/ckpt")
+    ST.timed_answer_stream(spark, f"{base}/shown", f"{base}/answered", f"{base}/out", f"{base}/ckpt",
+                           state_partitions=parts)
     return spark.read.parquet(f"{base}/out").filter(F.col("qid") >= 0)
 
 

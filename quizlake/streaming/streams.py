@@ -30,6 +30,18 @@ ANSWERED_SCHEMA = T.StructType([
 TOPIC_STATE_SCHEMA = "student_name string, topic string, total bigint, correct bigint, batch_id bigint"
 
 
+def _stream_session(spark: SparkSession, state_partitions: int | None) -> SparkSession:
+    """A session for one stateful stream. The number of state partitions is
+    fixed by ``spark.sql.shuffle.partitions`` when a checkpoint is created;
+    a separate session (same SparkContext) sets it without changing the
+    caller's session. Restarts keep the checkpoint's own value."""
+    if state_partitions is None:
+        return spark
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(int(state_partitions)))
+    return s
+
+
 def _run(writer, processing_time: str | None = None):
     """``processing_time=None``: process what is there now and stop (tests,
     batch-like runs). Otherwise start a continuous query with that trigger
@@ -57,7 +69,7 @@ def answer_append_stream(spark: SparkSession, source: str, sink: str, checkpoint
 # ----------------------------------------------------------------- T3
 
 def topic_accuracy_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                          processing_time: str | None = None):
+                          processing_time: str | None = None, state_partitions: int | None = None):
     """T3 — running (student, topic) totals over the whole history.
 
     Update mode: each micro-batch emits only the keys it changed; they are
@@ -67,6 +79,7 @@ def topic_accuracy_stream(spark: SparkSession, source: str, sink: str, checkpoin
     A replayed batch rewrites identical rows under the same batch id, which the
     snapshot's max_by treats as one: the sink is idempotent.
     """
+    spark = _stream_session(spark, state_partitions)
     src = spark.readStream.schema(ANSWER_SCHEMA).parquet(source)
     agg = src.groupBy("student_name", "topic").agg(
         F.count(F.lit(1)).alias("total"), F.sum("is_correct").cast("bigint").alias("correct"))
@@ -91,11 +104,13 @@ def topic_accuracy_snapshot(spark: SparkSession, sink: str) -> DataFrame:
 
 def timed_answer_stream(spark: SparkSession, shown_dir: str, answered_dir: str, sink: str,
                         checkpoint: str, deadline: int = C.ANSWER_DEADLINE_SECONDS,
-                        lateness: str = "1 minute", processing_time: str | None = None):
+                        lateness: str = "1 minute", processing_time: str | None = None,
+                        state_partitions: int | None = None):
     """T1 — stream-stream left outer join of shown questions with answers that
     arrive within the deadline. An unmatched question is emitted as a timeout
     once the watermark passes its deadline. Duplicate answer events (at-least-
     once input) are dropped within the watermark first."""
+    spark = _stream_session(spark, state_partitions)
     # watermarks need TIMESTAMP (session time zone); the NTZ columns are kept for output
     shown = (spark.readStream.schema(SHOWN_SCHEMA).parquet(shown_dir)
              .withColumn("shown_ts", F.col("shown_at").cast("timestamp"))
