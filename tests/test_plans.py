@@ -64,3 +64,11 @@ def test_practice_draw_has_no_all_pairs_join(spark):
     # the only joins are keyed on (topic, pos), (topic), (topic, bucket) and the grading keys
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Generate explode(sequence(0" in plan  # n keys per (student, topic)
+
+
+def test_plans_stay_compact(spark):
+    """No filter pushdown or projection collapse may inline a long expression
+    chain many times over (it once made one plan 800 KB)."""
+    for name in sorted(set(E.queries()) - SKIP):
+        size = len(E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString())
+        assert size < 60_000, (name, size)
