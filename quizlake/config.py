@@ -108,9 +108,9 @@ class QuizConfig:
     questions_per_topic: int = QUESTIONS_PER_TOPIC
     deadline_seconds: int = ANSWER_DEADLINE_SECONDS
     seed: str = "quizlake"
-    # buckets used to give every bank question a dense per-topic position
-    # without a window over a whole topic (see operators/practice.py)
-    position_buckets: int = 4096
+    # hex digits of the md5 bucket used to give every bank question a dense
+    # per-topic position without a window over a whole topic (operators/practice.py)
+    position_bucket_digits: int = 4
 
 
 DEFAULT_CONFIG = QuizConfig()

@@ -34,14 +34,15 @@ def practice_slots(weak: DataFrame, per_topic: int = C.QUESTIONS_PER_TOPIC) -> D
                        F.explode(F.sequence(F.lit(1), F.lit(per_topic))).alias("slot"))
 
 
-def bank_positions(bank: DataFrame, seed: str, bucket_digits: int = 3):
+def bank_positions(bank: DataFrame, seed: str, bucket_digits: int = 4):
     """Dense 0-based position of every question inside its topic, ordered by
     ``(md5(seed|question_id), question_id)``; returns (positioned bank, topic sizes)."""
     keyed = (bank.withColumn("draw_key", seeded_key(seed, "question_id"))
                  .withColumn("bucket", F.substring("draw_key", 1, bucket_digits)))
     counts = keyed.groupBy("topic", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
     # one window pass over the small count table gives both the offset of each
-    # bucket and the topic size (at most 16^digits rows per topic)
+    # bucket and the topic size (at most 16^digits = 65,536 rows per topic; a
+    # topic of 10^10 questions still has only ~150k rows per bucket window)
     w = Window.partitionBy("topic").orderBy("bucket")
     offsets = counts.select(
         "topic", "bucket",
