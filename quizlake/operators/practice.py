@@ -34,7 +34,8 @@ def practice_slots(weak: DataFrame, per_topic: int = C.QUESTIONS_PER_TOPIC) -> D
                        F.explode(F.sequence(F.lit(1), F.lit(per_topic))).alias("slot"))
 
 
-def bank_positions(bank: DataFrame, seed: str, bucket_digits: int = 4):
+def bank_positions(bank: DataFrame, seed: str,
+                   bucket_digits: int = C.DEFAULT_CONFIG.position_bucket_digits):
     """Dense 0-based position of every question inside its topic, ordered by
     ``(md5(seed|question_id), question_id)``; returns (positioned bank, topic sizes)."""
     keyed = (bank.withColumn("draw_key", seeded_key(seed, "question_id"))
@@ -59,10 +60,11 @@ def bank_positions(bank: DataFrame, seed: str, bucket_digits: int = 4):
 
 
 def draw(targets: DataFrame, bank: DataFrame, per_topic: int = C.QUESTIONS_PER_TOPIC,
-         seed: str = C.QuizConfig.seed) -> DataFrame:
+         seed: str = C.QuizConfig.seed,
+         bucket_digits: int = C.DEFAULT_CONFIG.position_bucket_digits) -> DataFrame:
     """W4 — ``per_topic`` distinct questions for every (student_name, topic) target
     (fewer only when the topic has fewer questions). Repeatable for a seed."""
-    positioned, sizes = bank_positions(bank, seed)
+    positioned, sizes = bank_positions(bank, seed, bucket_digits)
     t = targets.select("student_name", "topic").join(sizes, "topic")
     start = F.pmod(seeded_int(seed, "student_name", "topic"), F.col("n_topic"))
     picks = t.select(
