@@ -70,33 +70,55 @@ DIFFICULTY_INSTRUCTIONS_SHORT = {
     "intermediate": "Ask about applying concepts, combining features, or reading code.",
     "advanced": "Ask about edge cases, performance trade-offs, or tricky behavior.",
 }
-PROMPT_HEAD = (
-    "Create one multiple-choice Python question for a data science student.\n"
-    "Topic: {topic}\n"
-    "Difficulty level: {difficulty}\n\n"
-    "{instruction}\n\n"
-)
-PROMPT_SEED_PART = (
-    "IMPORTANT: Make this question DIFFERENT from typical ones about this topic.\n"
-    "Use this random seed as inspiration for variety: seed-{seed}\n\n"
-)
-PROMPT_REPLY_SHAPE = (
-    "Reply with ONLY valid JSON, no other text, no markdown formatting,\n"
-    "in exactly this shape:\n\n"
-    "{{\n"
-    '  "question": "the question text",\n'
-    '  "options": {{\n'
-    '    "A": "option A text",\n'
-    '    "B": "option B text",\n'
-    '    "C": "option C text",\n'
-    '    "D": "option D text"\n'
-    "  }},\n"
-    '  "answer": "A"{explanation_field}\n'
-    "}}\n\n"
-    'The "answer" must be one of "A", "B", "C", or "D" — whichever option is correct.'
-)
-PROMPT_EXPLANATION_FIELD = ',\n  "explanation": "1-2 sentences explaining why the correct answer is right."'
-PROMPT_EXPLANATION_TAIL = '\nThe "explanation" should be clear and helpful for a student learning Python.'
+# prompt templates: {topic}, {difficulty}, {diff_instruction}, {seed_hint} are
+# filled per request; doubled braces are literal braces
+PROMPT_TEMPLATE = """Create one multiple-choice Python question for a data science student.
+Topic: {topic}
+Difficulty level: {difficulty}
+
+{diff_instruction}
+
+Reply with ONLY valid JSON, no other text, no markdown formatting,
+in exactly this shape:
+
+{{
+  "question": "the question text",
+  "options": {{
+    "A": "option A text",
+    "B": "option B text",
+    "C": "option C text",
+    "D": "option D text"
+  }},
+  "answer": "A",
+  "explanation": "1-2 sentences explaining why the correct answer is right."
+}}
+
+The "answer" must be one of "A", "B", "C", or "D" — whichever option is correct.
+The "explanation" should be clear and helpful for a student learning Python."""
+PROMPT_TEMPLATE_SEEDED = """Create one multiple-choice Python question for a data science student.
+Topic: {topic}
+Difficulty level: {difficulty}
+
+{diff_instruction}
+
+IMPORTANT: Make this question DIFFERENT from typical ones about this topic.
+Use this random seed as inspiration for variety: seed-{seed_hint}
+
+Reply with ONLY valid JSON, no other text, no markdown formatting,
+in exactly this shape:
+
+{{
+  "question": "the question text",
+  "options": {{
+    "A": "option A text",
+    "B": "option B text",
+    "C": "option C text",
+    "D": "option D text"
+  }},
+  "answer": "A"
+}}
+
+The "answer" must be one of "A", "B", "C", or "D" — whichever option is correct."""
 # ---------------------------------------------------------------------------
 
 

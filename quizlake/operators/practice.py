@@ -111,13 +111,11 @@ def _instruction(difficulty_col, long: bool) -> F.Column:
 
 
 def seeded_template() -> str:
-    return C.PROMPT_HEAD + C.PROMPT_SEED_PART + C.PROMPT_REPLY_SHAPE.replace("{explanation_field}", "")
+    return C.PROMPT_TEMPLATE_SEEDED
 
 
 def plain_template() -> str:
-    return (C.PROMPT_HEAD + C.PROMPT_REPLY_SHAPE.replace(
-        "{explanation_field}", C.PROMPT_EXPLANATION_FIELD.replace("{", "{{").replace("}", "}}"))
-        + C.PROMPT_EXPLANATION_TAIL)
+    return C.PROMPT_TEMPLATE
 
 
 def practice_requests(slots: DataFrame, difficulty: str = C.DEFAULT_DIFFICULTY,
@@ -130,8 +128,9 @@ def practice_requests(slots: DataFrame, difficulty: str = C.DEFAULT_DIFFICULTY,
     out = slots.withColumn("difficulty", diff).withColumn("seed_hint", seed_hint)
     if template == "seeded":
         prompt = fill(seeded_template(), topic=F.col("topic"), difficulty=F.col("difficulty"),
-                      instruction=_instruction(F.col("difficulty"), long=False), seed=F.col("seed_hint"))
+                      diff_instruction=_instruction(F.col("difficulty"), long=False),
+                      seed_hint=F.col("seed_hint"))
     else:
         prompt = fill(plain_template(), topic=F.col("topic"), difficulty=F.col("difficulty"),
-                      instruction=_instruction(F.col("difficulty"), long=True))
+                      diff_instruction=_instruction(F.col("difficulty"), long=True))
     return out.withColumn("prompt", prompt)

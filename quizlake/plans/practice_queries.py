@@ -158,7 +158,7 @@ FROM wp w LEFT JOIN (SELECT topic, COUNT(*) AS n FROM bank GROUP BY topic) s ON
 SELECT question_id, topic FROM bank b WHERE EXISTS (SELECT 1 FROM wp WHERE wp.topic = b.topic)""", _P),
     "practice_requests": with_standins(f"""
 SELECT student_name, topic, slot, d AS difficulty, seed_hint,
-       {fill_sql(P.seeded_template(), topic='topic', difficulty='d', instruction=_INSTR, seed='seed_hint')} AS prompt
+       {fill_sql(P.seeded_template(), topic='topic', difficulty='d', diff_instruction=_INSTR, seed_hint='seed_hint')} AS prompt
 FROM (SELECT *, '{C.DEFAULT_DIFFICULTY}' AS d, {_SEED_HINT} AS seed_hint FROM ({_SLOTS}))""", _P),
     "attempt_outcomes": with_standins(
         "SELECT request_id, parse_attempt, http_try, status, outcome, error FROM outc", _REPLY),

@@ -100,8 +100,8 @@ def test_prompts(spark):
     for r in reqs:
         assert C.SEED_HINT_MIN <= r.seed_hint <= C.SEED_HINT_MAX
         expected = P.seeded_template().format(topic="lists", difficulty="advanced",
-                                              instruction=C.DIFFICULTY_INSTRUCTIONS_SHORT["advanced"],
-                                              seed=r.seed_hint)
+                                              diff_instruction=C.DIFFICULTY_INSTRUCTIONS_SHORT["advanced"],
+                                              seed_hint=r.seed_hint)
         assert r.prompt == expected
         assert "seed-" in r.prompt and '"answer": "A"\n}' in r.prompt
     plain = P.practice_requests(slots, "unknown-level", SEED, template="plain").collect()[0].prompt
