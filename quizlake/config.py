@@ -22,8 +22,8 @@ ANSWER_DEADLINE_SECONDS = 20
 RECENT_LIMIT_DEFAULT = 10
 RECENT_LIMIT_MIN = 1
 RECENT_LIMIT_MAX = 50
-TIMER_WARNING_ABOVE = 5  # seconds left: > 10 normal, > 5 warning, else critical
-TIMER_NORMAL_ABOVE = 10
+TIMER_NORMAL_ABOVE = 10  # seconds left: > 10 normal, > 5 warning, else critical
+TIMER_WARNING_ABOVE = 5
 PREVIEW_CHARS = 60
 SEED_HINT_MIN = 1000
 SEED_HINT_MAX = 9999
