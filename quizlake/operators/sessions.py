@@ -3,14 +3,15 @@
 
 Ordered operators are partitioned by session, never global. A session is
 normally one quiz (a few dozen questions); a session above ``hot_rows`` rows
-is split over many tasks by ``ordered.ordered_prefix`` with exact carries. Grading joins the bank by
-key and leaves the strategy to AQE (broadcast when the bank is below the
-broadcast threshold at run time, otherwise sort-merge with skew splitting).
+is split over many tasks by ``ordered.ordered_prefix`` with exact carries.
+Grading joins the bank by key and leaves the strategy to AQE (broadcast when
+the bank is below the broadcast threshold at run time, otherwise sort-merge
+with skew splitting).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -22,10 +23,6 @@ from .ordered import DEFAULT_HOT_ROWS, ordered_prefix
 ORDER = ["slot", "question_id", "supplier_key", "quantity", "price"]
 
 
-def _session_window(order=ORDER):
-    return Window.partitionBy("session_id").orderBy(*order)
-
-
 def normalise_responses(responses: DataFrame) -> DataFrame:
     """N1+N2+P8 — ``strip().upper()`` and validity of the chosen letter."""
     sel = normalise_letter("selected_raw")
