@@ -221,3 +221,25 @@ def leaderboard_bar(answers: DataFrame) -> DataFrame:
                     F.lit(" "), F.format_string("%5.1f", "pct"), F.lit("% ("),
                     F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")"))
     return lb.select("student_name", "pct", line.alias("line"))
+
+
+def report_bundle(answers: DataFrame, threshold: int = C.WEAK_THRESHOLD) -> dict[str, DataFrame]:
+    """Several reports from ONE scan of the log: the (student, topic) breakdown
+    is persisted and every report is derived from it (per-student and per-topic
+    totals are sums of the breakdown, so they need no second pass). The caller
+    unpersists ``bundle["breakdown"]`` when done."""
+    bd = topic_breakdown(answers).persist()
+    per_student = bd.groupBy("student_name").agg(F.sum("total").alias("total"),
+                                                 F.sum("correct").cast("bigint").alias("correct"))
+    per_topic = bd.groupBy("topic").agg(F.sum("total").alias("total"),
+                                        F.sum("correct").cast("bigint").alias("correct"))
+    rep = with_accuracy(bd, threshold)
+    return {
+        "breakdown": bd,
+        "student_report": rep.select("student_name", "topic", "total", "correct", "pct", "status"),
+        "weak_topics_rounded": rep.filter("weak_rounded").select("student_name", "topic", "total", "correct", "pct"),
+        "weak_topics_raw": rep.filter("weak_raw").select("student_name", "topic", "total", "correct"),
+        "student_leaderboard": per_student.withColumn("pct", N.pct_sql("correct", "total"))
+                                          .withColumn("badge", N.badge("pct")),
+        "topic_difficulty": per_topic.withColumn("pct", N.pct_sql("correct", "total")),
+    }

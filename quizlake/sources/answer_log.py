@@ -68,6 +68,15 @@ def append(df: DataFrame, path: str, version: int = CURRENT_VERSION,
         .partitionBy("answer_date", "schema_version").parquet(path))
 
 
+def compact(spark: SparkSession, src: str, dst: str, files: int) -> None:
+    """Rewrite a log made of many small appends as about ``files`` files.
+    Range partitioning on (answer_date, id) keeps each date's rows together
+    but splits a hot date over several files instead of one task."""
+    log = spark.read.schema(LOG_SCHEMA).parquet(src)
+    (log.repartitionByRange(files, "answer_date", "id")
+        .write.mode("overwrite").partitionBy("answer_date", "schema_version").parquet(dst))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S4 — read every generation with one explicit schema; files written
     before ``difficulty`` existed read as 'beginner' (as SQLite's added default

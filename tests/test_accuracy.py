@@ -142,3 +142,15 @@ def test_hot_student_third_of_rows(spark):
     assert got == want
     summary = {(r.level, r.student_name, r.topic): r.total for r in A.class_summary(hot).collect()}
     assert summary[("student", "hot", None)] == int((pdf.student_name == "hot").sum())
+
+
+def test_report_bundle_matches_direct(spark, golden):
+    b = A.report_bundle(golden)
+    try:
+        direct = {r.student_name: (r.total, r.correct, r.pct, r.badge) for r in A.student_leaderboard(golden).collect()}
+        bundled = {r.student_name: (r.total, r.correct, r.pct, r.badge) for r in b["student_leaderboard"].collect()}
+        assert direct == bundled
+        assert {tuple(r) for r in A.student_report(golden).collect()} == {tuple(r) for r in b["student_report"].collect()}
+        assert {tuple(r) for r in A.topic_difficulty(golden).collect()} == {tuple(r) for r in b["topic_difficulty"].collect()}
+    finally:
+        b["breakdown"].unpersist()

@@ -116,3 +116,21 @@ def test_clean_names(spark):
     df = spark.createDataFrame([(n,) for n in names], "student_name string")
     got = [r.student_name for r in L.clean_names(df).collect()]
     assert got == ["Alex", "Alex", "alex", "a name of seventeen+"]
+
+
+def test_compaction_and_partition_pruning(spark, scratch):
+    src, dst = scratch("log-small"), scratch("log-compact")
+    df = spark.createDataFrame([(i, f"s{i % 3}", "lists", "q", i % 2, "beginner",
+                                 T0 + dt.timedelta(days=i % 4)) for i in range(40)],
+                               "id long, student_name string, topic string, question string, "
+                               "is_correct int, difficulty string, answered_at timestamp_ntz")
+    for k in range(4):  # many small appends
+        L.append(df.filter(F.col("id") % 4 == k), src)
+    L.compact(spark, src, dst, files=3)
+    a = sorted(map(tuple, L.scan(spark, src).collect()))
+    b = sorted(map(tuple, L.scan(spark, dst).collect()))
+    assert a == b
+    one_day = L.scan(spark, dst).filter(F.col("answer_date") == F.lit(T0.date()))
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(answer_date" in plan
+    assert one_day.count() == 10
