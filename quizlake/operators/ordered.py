@@ -69,7 +69,9 @@ def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str,
     ``hot`` may give the hot keys directly: any superset of the groups with
     more than ``hot_rows`` rows is exact (e.g. sizes taken from a cheaper
     upstream table that has at least as many rows per key); otherwise the
-    sizes are counted on ``df`` itself, one extra pass.
+    sizes are counted on ``df`` itself, one extra pass. Deciding whether any
+    key is hot runs one small job when the plan is built; with no hot key the
+    plan is exactly the plain window.
     """
     if hot_rows is None:
         return _plain(df, group, order, value)
