@@ -10,20 +10,20 @@ from quizlake.operators import accuracy as A
 from quizlake.sources import answer_log as L
 from quizlake.sources import practice_json as PJ
 
-T0 = dt.datetime(2026, 6, 17, 18, 9, 42)
+T0 = dt.datetime(2026, 1, 5, 10, 15, 0)
 
 
 def test_log_generations_and_backfill(spark, scratch):
     path = scratch("log")
-    old = spark.createDataFrame([(1, "khin", "lists", "q1", True, T0)],
+    old = spark.createDataFrame([(1, "ana", "lists", "q1", True, T0)],
                                 "id long, student_name string, topic string, question string, "
                                 "is_correct boolean, answered_at timestamp_ntz")
     L.append(old, path, version=1)  # written before the difficulty column existed
-    new = spark.createDataFrame([(2, "khin", "numpy", "q2", 0, "advanced", T0), (3, "mya", "lists", "q3", 5, None, T0)],
+    new = spark.createDataFrame([(2, "ana", "numpy", "q2", 0, "advanced", T0), (3, "cy", "lists", "q3", 5, None, T0)],
                                 "id long, student_name string, topic string, question string, "
                                 "is_correct int, difficulty string, answered_at timestamp_ntz")
     L.append(new, path)
-    no_diff = spark.createDataFrame([(4, "mya", "numpy", "q4", 1, None)],
+    no_diff = spark.createDataFrame([(4, "cy", "numpy", "q4", 1, None)],
                                     "id long, student_name string, topic string, question string, "
                                     "is_correct int, answered_at timestamp_ntz")
     L.append(no_diff, path)  # omitted column -> default, missing time -> now
@@ -36,12 +36,12 @@ def test_log_generations_and_backfill(spark, scratch):
 
 def test_student_filter_pushed_to_scan(spark, scratch):
     path = scratch("log-push")
-    df = spark.createDataFrame([(1, "khin", "lists", "q", 1, "beginner", T0)],
+    df = spark.createDataFrame([(1, "ana", "lists", "q", 1, "beginner", T0)],
                                "id long, student_name string, topic string, question string, "
                                "is_correct int, difficulty string, answered_at timestamp_ntz")
     L.append(df, path)
-    plan = A.student_report(L.scan(spark, path), "khin")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(student_name), EqualTo(student_name,khin)]" in plan
+    plan = A.student_report(L.scan(spark, path), "ana")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(student_name), EqualTo(student_name,ana)]" in plan
 
 
 def test_create_if_absent(spark, scratch):
@@ -70,7 +70,7 @@ def test_union_logs(spark):
 
 def _legacy_doc():
     # the shape of a committed practice set: no difficulty, no explanation
-    return {"student": "khin", "generated_on": "2026-06-17T18:09:42.123456", "total_questions": 2,
+    return {"student": "ana", "generated_on": "2026-01-05T10:15:00.123456", "total_questions": 2,
             "questions": [{"question": "Q1?", "options": {"A": "1", "B": "2", "C": "3", "D": "4"},
                            "answer": "A", "topic": "numpy"},
                           {"question": "Q2?", "options": {"A": "x", "B": "y", "C": "z", "D": "w"},
@@ -81,34 +81,34 @@ def test_legacy_multiline_documents(spark, scratch):
     path = scratch("legacy")
     local = path[len("file:"):] if path.startswith("file:") else path
     os.makedirs(local, exist_ok=True)
-    with open(os.path.join(local, "practice_khin_2026-06-17_180942.json"), "w") as f:
+    with open(os.path.join(local, "practice_ana_2026-01-05_101500.json"), "w") as f:
         json.dump(_legacy_doc(), f, indent=2)
     docs = PJ.read_documents(spark, path, multi_line=True)
     qs = PJ.document_questions(docs).orderBy("question_no").collect()
     assert [q.question for q in qs] == ["Q1?", "Q2?"]
     assert qs[0].options == {"A": "1", "B": "2", "C": "3", "D": "4"}
     assert qs[0].difficulty is None and qs[0].explanation is None
-    assert docs.collect()[0].generated_on == dt.datetime(2026, 6, 17, 18, 9, 42, 123456)
+    assert docs.collect()[0].generated_on == dt.datetime(2026, 1, 5, 10, 15, 0, 123456)
 
 
 def test_documents_round_trip_and_manifest(spark, scratch):
-    rows = [("khin a", 2, "Q2", {"A": "a"}, "A", None, "lists", "beginner"),
-            ("khin a", 1, "Q1", {"A": "a"}, "B", "why", "numpy", "advanced"),
-            ("khin_a", 1, "Q3", {"A": "a"}, "C", None, "lists", None)]
+    rows = [("ana b", 2, "Q2", {"A": "a"}, "A", None, "lists", "beginner"),
+            ("ana b", 1, "Q1", {"A": "a"}, "B", "why", "numpy", "advanced"),
+            ("ana_b", 1, "Q3", {"A": "a"}, "C", None, "lists", None)]
     ordered = spark.createDataFrame(rows, "student_name string, question_no int, question string, "
                                           "options map<string,string>, answer string, explanation string, "
                                           "topic string, difficulty string")
-    docs = PJ.practice_documents(ordered, "2026-06-18 17:29:26")
+    docs = PJ.practice_documents(ordered, "2026-01-06 08:30:05")
     path = scratch("sets")
     PJ.write_documents(docs, path)
     back = PJ.read_documents(spark, path)
     got = {r.student: r for r in back.collect()}
-    assert got["khin a"].total_questions == 2
-    assert [q.question for q in got["khin a"].questions] == ["Q1", "Q2"]
+    assert got["ana b"].total_questions == 2
+    assert [q.question for q in got["ana b"].questions] == ["Q1", "Q2"]
     man = {r.student: r for r in PJ.manifest(back).collect()}
-    assert man["khin a"].file_name == "practice_khin_a_2026-06-18_172926.json"
-    assert man["khin a"].file_name == man["khin_a"].file_name  # the original's collision
-    assert man["khin a"].unique_name != man["khin_a"].unique_name
+    assert man["ana b"].file_name == "practice_ana_b_2026-01-06_083005.json"
+    assert man["ana b"].file_name == man["ana_b"].file_name  # the original's collision
+    assert man["ana b"].unique_name != man["ana_b"].unique_name
 
 
 def test_clean_names(spark):

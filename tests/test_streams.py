@@ -13,7 +13,7 @@ T0 = dt.datetime(2026, 1, 1, 12, 0, 0)
 SF = "/root/testdata/sf0.001"
 
 
-def _answers(spark, ids, student="khin"):
+def _answers(spark, ids, student="ana"):
     return spark.createDataFrame([(i, student, "lists", f"q{i}", i % 2, "beginner", T0) for i in ids], ANSWER_SCHEMA)
 
 
