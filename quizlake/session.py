@@ -2,18 +2,21 @@
 
 Library code never creates its own session; tests and bench.py do, through
 ``build_session``. Scratch output (stream checkpoints, written tables that cut
-lineage) goes under the cluster's ``spark.checkpoint.dir``; a default is set
-only when the session has none (local tests).
+lineage) goes under the cluster's ``spark.checkpoint.dir``. Only a session on a
+local master may go without it (tests); on a cluster a machine-local folder
+would not be shared, so a missing setting is an error there.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DEFAULT_DIR = "/tmp/quizlake-checkpoints"
+_SCRATCH: dict[str, list[str]] = {}
 
 
 # Settings for a large cluster (e.g. 1,000 executors over ~100 TB of logs).
@@ -57,18 +60,50 @@ def build_session(master: str | None = None, app: str = "quizlake",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, setting a local one only if unset."""
+    """The shared checkpoint directory; a local one is set only on a local master."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = configured or _LOCAL_DEFAULT_DIR
+    target = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not target:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="quizlake-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory for one run."""
+    """A fresh folder under the shared checkpoint directory, removed by
+    ``clean_scratch`` or when the driver process ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quizlake/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/quizlake/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = []
+        atexit.register(clean_scratch, spark)
+    _SCRATCH[app].append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete this application's scratch folders; frames that read them end
+    here too. Returns how many were given out since the last call."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # already stopped
+        return 0
+    paths, _SCRATCH[sc.applicationId] = _SCRATCH.get(sc.applicationId, []), []
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a table in the shared folder and read it back: cuts
+    the lineage, survives lost executors and computes the plan a single time."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
