@@ -4,6 +4,7 @@ recent activity, no Python UDF in the relational operators, pushdown."""
 import pytest
 
 import __spark_entry__ as E
+from quizlake.plans.catalog import spark_queries
 from quizlake.operators import accuracy as A
 from quizlake.sources import standins as S
 
@@ -36,14 +37,14 @@ SKIP = {"stream_answer_append", "stream_topic_accuracy", "stream_timed_answers",
         "answer_append", "schema_backfill", "practice_sets", "practice_set_questions", "practice_manifest"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(spark_queries()) - SKIP))
 def test_no_python_in_plan(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert not any(n in plan for n in PYTHON_NODES), name
 
 
 def test_no_cartesian_anywhere(spark):
-    for name in sorted(set(E.queries()) - SKIP):
+    for name in sorted(set(spark_queries()) - SKIP):
         plan = _plan(E.queries()[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -69,6 +70,6 @@ def test_practice_draw_has_no_all_pairs_join(spark):
 def test_plans_stay_compact(spark):
     """No filter pushdown or projection collapse may inline a long expression
     chain many times over (it once made one plan 800 KB)."""
-    for name in sorted(set(E.queries()) - SKIP):
+    for name in sorted(set(spark_queries()) - SKIP):
         size = len(E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString())
         assert size < 60_000, (name, size)
