@@ -133,24 +133,64 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class UnitEncoder:
-    """Whole texts by a tokenizer that drops white space: spaces and line ends
-    never lie inside a token, so the units between them are encoded once each."""
+    """Whole texts by a tokenizer that drops white space and case: no token spans
+    a space or line end, so the units between them are encoded once each, A-Z
+    lower-cased; a unit that is a word and one mark, as those two."""
 
     def __init__(self, tokenizer_json: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.units: dict[str, tuple[int, ...]] = {"": ()}
+        self.units: dict[bytes, tuple[int, ...]] = {b"": ()}
+        self.words: dict[bytes, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.closing[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]):
+        """Ids of each word. Words of letters alone are encoded many to a text and
+        told apart by their closing tokens."""
+        plain = [w for w in words if w.isalpha()]
+        groups = [plain[k:k + 256] for k in range(0, len(plain), 256)]
+        other = [w for w in words if not w.isalpha()]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                other += group
+                continue
+            start = 0
+            for w, end in zip(group, ends, strict=True):
+                yield w, tuple(ids[start:end])
+                start = end
+        for w, ids in zip(other, self._encode(other), strict=True):
+            yield w, tuple(ids)
+
+    def _learn(self, units: list[bytes]) -> None:
+        cut = {u: (u[:-1], u[-1:]) if u[-1:] in b".,;:!?" and u[:-1].isalpha() else (u,) for u in units}
+        used = set(chain.from_iterable(cut.values()))
+        new = sorted(used.difference(self.words))
+        if len(self.words) + len(new) > MEMO_ENTRIES:
+            self.words = {w: self.words[w] for w in used.intersection(self.words)}
+        words = self.words
+        for w, ids in self._words([w.decode() for w in new]):
+            words[w.encode()] = ids
+        for u, found in cut.items():
+            self.units[u] = words[u] if len(found) == 1 else words[found[0]] + words[found[1]]
 
     def encode_all(self, texts: list[str | None]):
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        cut = []
+        for t in texts:
+            raw = (t or "").encode()
+            cut.append((raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ").split(b" "))
         wanted = set(chain.from_iterable(cut))
         new = wanted.difference(self.units)
         if len(self.units) + len(new) > MEMO_ENTRIES:
-            self.units = {"": ()} | {u: self.units[u] for u in wanted.difference(new)}
-        units, order = self.units, list(new)
-        for u, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-            units[u] = tuple(e.ids)
+            self.units = {b"": ()} | {u: self.units[u] for u in wanted.difference(new)}
+        self._learn(list(new))
+        units = self.units
         for x in cut:
             yield chain.from_iterable([units[u] for u in x])
 
