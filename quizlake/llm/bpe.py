@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, small_parts
+from .common import growing_tables, map_arrow, small_parts
 
 MEMO_ENTRIES = 600_000  # units, and pieces, kept per worker (memory bound only)
 PAIR_ENTRIES = 400_000
@@ -236,6 +236,11 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
 
 
 def _encode(batches, vocabulary, pattern, keep_ids):
+    with growing_tables():
+        yield from _encoded(batches, vocabulary, pattern, keep_ids)
+
+
+def _encoded(batches, vocabulary, pattern, keep_ids):
     c = codec(vocabulary.value, pattern)
     decimal = {i: str(i) for i in c.vocabulary.tokens}.__getitem__
     for b in batches:

@@ -8,9 +8,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -45,6 +47,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+@contextmanager
+def growing_tables():
+    """No search for reference cycles while a task fills large dictionaries of
+    tuples: there are none, and each search would walk all entries."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the
     body (or a lambda in it) refers to it."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, small_parts
+from .common import growing_tables, map_arrow, small_parts
 
 MAGIC, BLOCK, HEAD = b"PFR1", 128, struct.Struct("<4sQQQ")
 PERCENTILE = 0.9
@@ -214,6 +214,11 @@ READ = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_
 
 
 def _write(batches, tokenizer, end_id):
+    with growing_tables():
+        yield from _segments(batches, tokenizer, end_id)
+
+
+def _segments(batches, tokenizer, end_id):
     enc, part = _encoder(tokenizer.value), TaskContext.get().partitionId()
     seq, first, keys, docs, held = 0, 0, [], [], 0
 
