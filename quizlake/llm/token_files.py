@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import growing_tables, map_arrow, small_parts
+from .common import map_arrow, small_parts
 
 MAGIC, BLOCK, HEAD = b"PFR1", 128, struct.Struct("<4sQQQ")
 PERCENTILE = 0.9
@@ -141,8 +141,8 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.units: dict[bytes, tuple[int, ...]] = {b"": ()}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.units: dict[bytes, bytes] = {b"": b""}  # ids as little-endian u32
+        self.words: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
         self.closing[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
@@ -157,16 +157,17 @@ class UnitEncoder:
         groups = [plain[k:k + 256] for k in range(0, len(plain), 256)]
         other = [w for w in words if not w.isalpha()]
         for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
-            if len(ends) != len(group) or ends[-1] != len(ids):
+            ends = ((np.flatnonzero(self.closing[ids]) + 1) * 4).tolist()
+            raw = np.array(ids, dtype="<u4").tobytes()
+            if len(ends) != len(group) or ends[-1] != len(raw):
                 other += group
                 continue
             start = 0
             for w, end in zip(group, ends, strict=True):
-                yield w, tuple(ids[start:end])
+                yield w, raw[start:end]
                 start = end
         for w, ids in zip(other, self._encode(other), strict=True):
-            yield w, tuple(ids)
+            yield w, np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, units: list[bytes]) -> None:
         cut = {u: (u[:-1], u[-1:]) if u[-1:] in b".,;:!?" and u[:-1].isalpha() else (u,) for u in units}
@@ -181,6 +182,7 @@ class UnitEncoder:
             self.units[u] = words[u] if len(found) == 1 else words[found[0]] + words[found[1]]
 
     def encode_all(self, texts: list[str | None]):
+        """The ids of each text, as little-endian u32."""
         cut = []
         for t in texts:
             raw = (t or "").encode()
@@ -188,11 +190,11 @@ class UnitEncoder:
         wanted = set(chain.from_iterable(cut))
         new = wanted.difference(self.units)
         if len(self.units) + len(new) > MEMO_ENTRIES:
-            self.units = {b"": ()} | {u: self.units[u] for u in wanted.difference(new)}
+            self.units = {b"": b""} | {u: self.units[u] for u in wanted.difference(new)}
         self._learn(list(new))
         units = self.units
         for x in cut:
-            yield chain.from_iterable([units[u] for u in x])
+            yield b"".join([units[u] for u in x])
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -214,12 +216,7 @@ READ = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_
 
 
 def _write(batches, tokenizer, end_id):
-    with growing_tables():
-        yield from _segments(batches, tokenizer, end_id)
-
-
-def _segments(batches, tokenizer, end_id):
-    enc, part = _encoder(tokenizer.value), TaskContext.get().partitionId()
+    enc, part, end_mark = _encoder(tokenizer.value), TaskContext.get().partitionId(), struct.pack("<I", end_id)
     seq, first, keys, docs, held = 0, 0, [], [], 0
 
     def flush():
@@ -233,7 +230,7 @@ def _segments(batches, tokenizer, end_id):
     for b in batches:
         for p in small_parts(b, 1):
             for key, ids in zip(p.column(0).to_pylist(), enc.encode_all(p.column(1).to_pylist()), strict=True):
-                x = np.fromiter(chain(ids, (end_id,)), dtype=np.uint32)
+                x = np.frombuffer(ids + end_mark, dtype="<u4")
                 keys.append(key)
                 docs.append(x)
                 held += len(x)
