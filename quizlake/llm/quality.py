@@ -115,7 +115,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", length_col: str | No
     """The documents that pass, with the failing lines removed from their text
     (and their length, if they have that column, counted anew)."""
     columns = docs.columns
-    judged = docs.withColumn("__measures", measures(F.col(f"`{text_col}`"))).where(kept(F.col("__measures")))
+    # a generator, so that the measures are not computed once for the filter and again for the text
+    judged = docs.withColumn("__measures", F.explode(F.filter(F.array(measures(F.col(f"`{text_col}`"))), kept)))
     cleaned = F.col("__measures.cleaned")
     new = {text_col: cleaned} | ({length_col: F.length(cleaned).cast(docs.schema[length_col].dataType)} if length_col in columns else {})
     return judged.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in columns))
