@@ -175,13 +175,10 @@ def _cut(batches, split_bands, tile_rows, tile_bytes):
         t = pa.Table.from_batches(parts).combine_chunks()
         band, pos = t.column("band").to_numpy(), t.column("pos").to_numpy()
         body = t.drop_columns(["band", "pos"]).to_batches(max_chunksize=max(1, t.num_rows))[0]
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, body.schema) as w:
-            w.write_batch(body)
         out = pa.RecordBatch.from_pydict(
             {"tile": [(pid << 32) | seq], "lo": [float(pos.min())], "hi": [float(pos.max())],
              "first_band": [int(band.min())], "last_band": [int(band.max())],
-             "n_rows": pa.array([t.num_rows], type=pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], type=pa.binary())})
+             "n_rows": pa.array([t.num_rows], type=pa.int32()), "rows": pa.array([write_block(body)], type=pa.binary())})
         seq, parts, count, size = seq + 1, [], 0, 0
         return out
 
@@ -218,7 +215,7 @@ def cut_tiles(df: DataFrame, name: str, order: list[str], split_bands: bool = Tr
 
 
 def tile_pairs(tiles: DataFrame, reach: list[int], near) -> DataFrame:
-    """(left, right, left_rows, right_rows) for the tiles that share a band (or
+    """(left_rows, right_rows) for the different tiles that share a band (or
     lie ``reach`` bands apart) and for which ``near(l, r)``, a condition on the
     intervals, holds. An equi-join on the band over one small row a tile; the
     blocks are attached by tile id afterwards."""
@@ -227,13 +224,19 @@ def tile_pairs(tiles: DataFrame, reach: list[int], near) -> DataFrame:
     left = ends.select(F.col("band"), *(F.col(c).alias(f"l_{c}") for c in ("tile", "lo", "hi")))
     right = (ends.withColumn("step", F.explode(F.array(*(F.lit(x) for x in reach))))
              .select((F.col("band") - F.col("step")).alias("band"), *(F.col(c).alias(f"r_{c}") for c in ("tile", "lo", "hi"))))
-    pairs = (left.join(right, "band").where(F.col("l_tile") <= F.col("r_tile"))
-             .where(near(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")) | (F.col("l_tile") == F.col("r_tile")))
-             .select("l_tile", "r_tile").distinct())
+    pairs = (left.join(right, "band").where(F.col("l_tile") < F.col("r_tile"))
+             .where(near(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select("l_tile", "r_tile").distinct())
     body = tiles.select("tile", "rows")
     return (pairs.join(body.select(F.col("tile").alias("l_tile"), F.col("rows").alias("left_rows")), "l_tile")
             .join(body.select(F.col("tile").alias("r_tile"), F.col("rows").alias("right_rows")), "r_tile")
-            .select("l_tile", "r_tile", "left_rows", "right_rows"))
+            .select("left_rows", "right_rows"))
+
+
+def write_block(block: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema) as w:
+        w.write_batch(block)
+    return sink.getvalue().to_pybytes()
 
 
 def read_block(rows: bytes) -> pa.RecordBatch:
@@ -241,11 +244,12 @@ def read_block(rows: bytes) -> pa.RecordBatch:
 
 
 class Forest:
-    """Union-find over the rows of one tile pair, fed a row with its partners at
-    a time; keeps one edge for each union (a spanning forest)."""
+    """Union-find over the rows of one tile or tile pair, fed a row with its
+    partners at a time; keeps one edge for each union (a spanning forest). An
+    operator may also count each row's links."""
 
-    def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
+    def __init__(self, label: np.ndarray):
+        self.label, self.edges, self.links = label, [], np.zeros(len(label), dtype=np.int64)
 
     def unlinked(self, i: int, others: np.ndarray) -> np.ndarray:
         return others[self.label[others] != self.label[i]]
@@ -256,3 +260,67 @@ class Forest:
             roots, first = np.unique(self.label[others], return_index=True)
             self.edges += [(i, int(others[k])) for k in first]
             self.label[np.isin(self.label, np.append(roots, self.label[i]))] = self.label[i]
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("links", T.LongType())])
+
+
+def _column(block: pa.RecordBatch, name: str):
+    return block.column(block.schema.get_field_index(name))
+
+
+def _settled(batches, link):
+    """Each tile with the groups among its own rows: `local`, the number of the row
+    that stands for a row's group, and `links`."""
+    for b in batches:
+        for k in range(b.num_rows):
+            block = read_block(_column(b, "rows")[k].as_py())
+            forest = Forest(np.arange(block.num_rows))
+            link(block, None, forest)
+            block = block.append_column("local", pa.array(forest.label, pa.int64())).append_column("links", pa.array(forest.links, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [_column(b, n).slice(k, 1) if n != "rows" else pa.array([write_block(block)], pa.binary()) for n in TILE_SCHEMA.names],
+                names=TILE_SCHEMA.names)
+
+
+def _link_rows(fp: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([fp[a], fp[some]]), pa.int64()),
+                                       "b": pa.array(np.concatenate([fp[b], fp[some]]), pa.int64()),
+                                       "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[some]]), pa.int64())})
+
+
+def _within(batches):
+    for b in batches:
+        for rows in b.column(0):
+            block = read_block(rows.as_py())
+            local = _column(block, "local").to_numpy()
+            i = np.flatnonzero(local != np.arange(len(local)))
+            yield _link_rows(_column(block, "fp").to_numpy(), local[i], i, _column(block, "links").to_numpy())
+
+
+def _across(batches, link):
+    for b in batches:
+        for k in range(b.num_rows):
+            left, right = read_block(b.column(0)[k].as_py()), read_block(b.column(1)[k].as_py())
+            fp, local = (np.concatenate([_column(x, n).to_numpy() for x in (left, right)]) for n in ("fp", "local"))
+            local[left.num_rows:] += left.num_rows
+            forest = Forest(local)
+            link(left, right, forest)
+            e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+            yield _link_rows(fp, e[:, 0], e[:, 1], forest.links)
+
+
+def tile_links(tiles: DataFrame, name: str, reach: list[int], near, link) -> DataFrame:
+    """(a, b, links): edges that join the rows (column ``fp``) of each group of
+    linked rows, links 0, and for rows with counted links (a = b) their number
+    from one tile or tile pair.
+
+    ``link(left, right, forest)`` compares two blocks (right None: the rows of one
+    block). Tiles settle their own groups first; a tile pair then returns an edge
+    only where it joins two groups, so a group of g rows in t tiles makes about
+    g + t * t edges, and never a row a pair.
+    """
+    settled = stage(map_arrow(tiles, _settled, TILE_SCHEMA, link=link), name)
+    within = map_arrow(settled.select("rows"), _within, LINKS)
+    return within.unionByName(map_arrow(tile_pairs(settled, reach, near), _across, LINKS, link=link))

@@ -12,7 +12,7 @@ be linked. Products are taken tile by tile: first over the int8 rows of a label
 paired), which gives a spanning forest of the possible pairs; then, within the
 components of possible pairs, full vectors are put in tiles, and possible pairs
 are recomputed in double precision. Tile pairs return one row per vector that
-has links there (how many, copies counted) and a spanning forest, never pairs.
+has links there (how many, copies counted) and edges between groups, never pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and those with a null label link with nothing; copies of one vector
@@ -23,6 +23,8 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .common import Forest, components, cut_tiles, map_arrow, read_block, tile_pairs
+from .common import components, cut_tiles, map_arrow, tile_links
 
 SLACK = 1e-9  # over the rounding of any double computation below
-EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-FOUND = T.StructType([*EDGES.fields, T.StructField("links", T.LongType())])
 QUANT = T.StructType([T.StructField("band", T.LongType()), T.StructField("pos", T.DoubleType()), T.StructField("fp", T.LongType()),
                       T.StructField("q", T.BinaryType()), T.StructField("step", T.DoubleType()), T.StructField("err", T.DoubleType())])
 
@@ -94,73 +94,56 @@ def possible(lq, ls, le, rq, rs, re, threshold: float) -> np.ndarray:
     return near >= threshold - SLACK
 
 
-def _int8_block(rows: bytes):
-    t = read_block(rows)
-    col = {n: t.column(k) for k, n in enumerate(t.schema.names)}
-    q = np.frombuffer(b"".join(col["q"].to_pylist()), dtype=np.int8).reshape(t.num_rows, -1)
-    return col["fp"].to_numpy(), q, col["step"].to_numpy(), col["err"].to_numpy()
-
-
-def _candidates(batches, threshold):
-    for b in batches:
-        for k in range(b.num_rows):
-            same = b.column(0)[k].as_py() == b.column(1)[k].as_py()
-            lf, lq, ls, le = _int8_block(b.column(2)[k].as_py())
-            rf, rq, rs, re = (lf, lq, ls, le) if same else _int8_block(b.column(3)[k].as_py())
-            forest, base = Forest(len(lf) if same else len(lf) + len(rf)), 0 if same else len(lf)
-            for at in range(0, len(lf), 256):
-                ok = possible(lq[at:at + 256], ls[at:at + 256], le[at:at + 256], rq, rs, re, threshold)
-                for i in np.flatnonzero(ok.any(axis=1)):
-                    forest.link(at + i, base + np.flatnonzero(ok[i]))
-            fp = lf if same else np.concatenate([lf, rf])
-            e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(fp[e[:, 0]], pa.int64()), "b": pa.array(fp[e[:, 1]], pa.int64())})
-
-
-def _full_block(rows: bytes):
-    t = read_block(rows)
-    col = {n: t.column(k) for k, n in enumerate(t.schema.names)}
-    return col["fp"].to_numpy(), col["root"].to_numpy(), col["copies"].to_numpy(), _vectors(col["vector"])
-
-
-def _exact(batches, threshold):
-    for b in batches:
-        for k in range(b.num_rows):
-            same = b.column(0)[k].as_py() == b.column(1)[k].as_py()
-            blocks = [_full_block(b.column(c)[k].as_py()) for c in ((2,) if same else (2, 3))]
-            fp, root, copies = (np.concatenate([x[c] for x in blocks]) for c in range(3))
-            vectors, left = [v for x in blocks for v in x[3]], len(blocks[0][0])
-            base, forest = 0 if same else left, Forest(len(fp))
-            links = np.zeros(len(fp), dtype=np.int64)
-            lengths = np.array([len(v) for v in vectors])
-            for d in np.unique(lengths):
-                rows = np.flatnonzero(lengths == d)
-                v = np.stack([vectors[r] for r in rows])
-                norm = np.sqrt((v * v).sum(axis=1))
-                q, step, err = quantise(_unit(v))
-                one, two = np.flatnonzero(rows < left), np.flatnonzero(rows >= base)
-                for at in range(0, len(one), 256):
-                    i = one[at:at + 256]
-                    ok = possible(q[i], step[i], err[i], q[two], step[two], err[two], threshold)
-                    ok &= root[rows[i]][:, None] == root[rows[two]][None, :]
-                    x, y = np.nonzero(ok)
-                    hit = np.zeros(len(x), dtype=bool)
-                    for s in range(0, len(x), 1 << 16):  # full precision, possible pairs only
-                        a, c = i[x[s:s + 65536]], two[y[s:s + 65536]]
-                        hit[s:s + 65536] = (v[a] * v[c]).sum(axis=1) / (norm[a] * norm[c]) >= threshold
-                    hit &= i[x] != two[y]
-                    x, y = x[hit], y[hit]
-                    np.add.at(links, rows[i[x]], copies[rows[two[y]]])
-                    if not same:
-                        np.add.at(links, rows[two[y]], copies[rows[i[x]]])
-                    for r in np.unique(x):
-                        forest.link(int(rows[i[r]]), rows[two[y[x == r]]])
-            e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array(np.concatenate([fp[e[:, 0]], fp[some]]), pa.int64()),
-                "b": pa.array(np.concatenate([fp[e[:, 1]], fp[some]]), pa.int64()),
-                "links": pa.array(np.concatenate([np.zeros(len(e), np.int64), links[some]]), pa.int64())})
+def _columns(block: pa.RecordBatch) -> dict:
+    return {n: block.column(k) for k, n in enumerate(block.schema.names)}
+
+
+def _int8_block(block: pa.RecordBatch):
+    col = _columns(block)
+    q = np.frombuffer(b"".join(col["q"].to_pylist()), dtype=np.int8).reshape(block.num_rows, -1)
+    return q, col["step"].to_numpy(), col["err"].to_numpy()
+
+
+def _candidates(left, right, forest, threshold):
+    """Links vectors whose int8 product leaves the threshold possible."""
+    lq, ls, le = _int8_block(left)
+    rq, rs, re = (lq, ls, le) if right is None else _int8_block(right)
+    base = 0 if right is None else len(lq)
+    for at in range(0, len(lq), 256):
+        ok = possible(lq[at:at + 256], ls[at:at + 256], le[at:at + 256], rq, rs, re, threshold)
+        for i in np.flatnonzero(ok.any(axis=1)):
+            forest.link(at + i, base + np.flatnonzero(ok[i]))
+
+
+def _exact(left, right, forest, threshold):
+    """Links vectors of one candidate component by their cosine, and counts links."""
+    blocks = [_columns(x) for x in ((left,) if right is None else (left, right))]
+    root, copies = (np.concatenate([x[n].to_numpy() for x in blocks]) for n in ("root", "copies"))
+    vectors = [v for x in blocks for v in _vectors(x["vector"])]
+    base, n_left = 0 if right is None else left.num_rows, left.num_rows
+    lengths = np.array([len(v) for v in vectors])
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        v = np.stack([vectors[r] for r in rows])
+        norm = np.sqrt((v * v).sum(axis=1))
+        q, step, err = quantise(_unit(v))
+        one, two = np.flatnonzero(rows < n_left), np.flatnonzero(rows >= base)
+        for at in range(0, len(one), 256):
+            i = one[at:at + 256]
+            ok = possible(q[i], step[i], err[i], q[two], step[two], err[two], threshold)
+            ok &= root[rows[i]][:, None] == root[rows[two]][None, :]
+            x, y = np.nonzero(ok)
+            hit = np.zeros(len(x), dtype=bool)
+            for s in range(0, len(x), 1 << 16):  # full precision, possible pairs only
+                a, c = i[x[s:s + 65536]], two[y[s:s + 65536]]
+                hit[s:s + 65536] = (v[a] * v[c]).sum(axis=1) / (norm[a] * norm[c]) >= threshold
+            hit &= i[x] != two[y]
+            x, y = x[hit], y[hit]
+            np.add.at(forest.links, rows[i[x]], copies[rows[two[y]]])
+            if right is not None:
+                np.add.at(forest.links, rows[two[y]], copies[rows[i[x]]])
+            for r in np.unique(x):
+                forest.link(int(rows[i[r]]), rows[two[y[x == r]]])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 2048, id_col: str = "vec_id",
@@ -182,12 +165,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
     small = map_arrow(classes.select("band", "fp", "vector"), _quantise, QUANT)
     tiles = cut_tiles(small, "embed-tiles", ["band", "pos", "fp"], tile_rows=tile_rows)
     apart = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # unit vectors of a linked pair are no farther apart
-    pairs = tile_pairs(tiles, [0], lambda l, r: (r("lo") - l("hi") <= apart) & (l("lo") - r("hi") <= apart))
-    maybe = components(map_arrow(pairs, _candidates, EDGES, threshold=threshold), "embed-candidates")
+    near = tile_links(tiles, "embed-settled", [0], lambda l, r: (r("lo") - l("hi") <= apart) & (l("lo") - r("hi") <= apart),
+                      partial(_candidates, threshold=threshold))
+    maybe = components(near, "embed-candidates")
     full = classes.join(maybe, F.col("fp") == F.col("node")).select(
         F.col("root").alias("band"), F.lit(0.0).alias("pos"), "fp", "root", "copies", "vector")
     exact = cut_tiles(full, "embed-exact", ["band", "fp"], split_bands=False, tile_rows=tile_rows // 2)
-    found = stage(map_arrow(tile_pairs(exact, [0], lambda l, r: F.lit(True)), _exact, FOUND, threshold=threshold), "embed-links")
+    found = stage(tile_links(exact, "embed-verified", [0], lambda l, r: F.lit(True), partial(_exact, threshold=threshold)), "embed-links")
     roots = components(found.select("a", "b"), "embed-components")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     per_class = (classes.select("fp", "copies", "first_id").join(roots, F.col("fp") == F.col("node"), "left")

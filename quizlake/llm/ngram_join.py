@@ -7,7 +7,7 @@
    so the overlap is at most (|A| + |B| - differing bits) / 2.
 3. Tiles hold the bitmaps of classes of like size. Tiles whose size intervals
    allow the threshold are paired; pairs of classes whose bound reaches it are
-   candidates. A tile pair returns a spanning forest of its candidates.
+   candidates. Tiles and tile pairs return a spanning forest of their candidates.
 4. Within the components of candidates the sorted hash arrays are intersected
    exactly, again tile by tile; classes known to be in one component are not
    compared again. The components of these links are the result.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import stage
-from .common import Forest, components, cut_tiles, map_arrow, read_block, small_parts, tile_pairs
+from .common import components, cut_tiles, map_arrow, small_parts, tile_links
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 MEMO_ENTRIES = 500_000
@@ -87,7 +88,6 @@ ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_
                      T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.LongType()),
                      T.StructField("sketch", T.BinaryType())])
 SETS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("hashes", T.BinaryType())])
-EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _fingerprint(hashes: np.ndarray) -> int:
@@ -116,12 +116,10 @@ def _sets(batches, n):
                                               "hashes": pa.array([h.tobytes() for _, h in ok], pa.binary())})
 
 
-def _bitmaps(batch: pa.RecordBatch):
-    """(fp, size, {bits: (row numbers, words x rows)}) of a tile, rows by size."""
-    size = batch.column(batch.schema.get_field_index("n_shingles")).to_numpy()
-    order = np.argsort(size, kind="stable")
-    raw = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
-    return batch.column(batch.schema.get_field_index("fp")).to_numpy()[order], size[order], [raw[k] for k in order]
+def _bitmaps(block: pa.RecordBatch):
+    """Size and bitmap of a tile's classes, smallest size first."""
+    col = {n: block.column(k) for k, n in enumerate(block.schema.names)}
+    return col["n_shingles"].to_numpy(), col["sketch"].to_pylist()
 
 
 def _folded(raw: list[bytes], words: int) -> np.ndarray:
@@ -137,65 +135,51 @@ def _folded(raw: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def _candidates(batches, threshold):
+def _candidates(left, right, forest, threshold):
+    """Links classes whose bitmaps leave the threshold possible."""
     p, q = threshold
-    for b in batches:
-        for k in range(b.num_rows):
-            l_tile, r_tile = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-            lf, ls, lraw = _bitmaps(read_block(b.column(2)[k].as_py()))
-            rf, rs, rraw = (lf, ls, lraw) if l_tile == r_tile else _bitmaps(read_block(b.column(3)[k].as_py()))
-            same, forest = l_tile == r_tile, Forest(len(lf) + len(rf))
-            base = 0 if same else len(lf)
-            words = min(min(map(len, lraw)), min(map(len, rraw))) // 8
-            lw, rw = _folded(lraw, words), _folded(rraw, words)
-            # a linked pair has q * min(size) >= p * max(size)
-            begin = np.searchsorted(rs * q, ls * p)
-            end = np.searchsorted(rs * p, ls * q, side="right")
-            for i in range(len(lf)):
-                s, e = (max(i + 1, begin[i]) if same else begin[i]), end[i]
-                if s >= e:
-                    continue
-                differ = np.zeros(e - s, dtype=np.uint16 if words < 1000 else np.uint32)
-                for w in range(words):
-                    differ += np.bitwise_count(rw[w, s:e] ^ lw[w, i])
-                both = rs[s:e] + ls[i]
-                most = np.minimum((both - differ) >> 1, np.minimum(rs[s:e], ls[i]))
-                hits = np.flatnonzero((p + q) * most >= p * both)
-                if len(hits):
-                    forest.link(i, base + s + hits)
-            yield _edges(forest, lf if same else np.concatenate([lf, rf]))
-
-
-def _edges(forest: Forest, fp: np.ndarray) -> pa.RecordBatch:
-    e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_pydict({"a": pa.array(fp[e[:, 0]], pa.int64()), "b": pa.array(fp[e[:, 1]], pa.int64())})
-
-
-def _verified(batches, threshold):
+    same = right is None
+    ls, lraw = _bitmaps(left)
+    rs, rraw = (ls, lraw) if same else _bitmaps(right)
+    base = 0 if same else len(ls)
+    words = min(min(map(len, lraw)), min(map(len, rraw))) // 8
+    lw, rw = _folded(lraw, words), _folded(rraw, words)
+    # a linked pair has q * min(size) >= p * max(size)
+    begin, end = np.searchsorted(rs * q, ls * p), np.searchsorted(rs * p, ls * q, side="right")
+    for i in range(len(ls)):
+        s, e = (max(i + 1, begin[i]) if same else begin[i]), end[i]
+        if s >= e:
+            continue
+        differ = np.zeros(e - s, dtype=np.uint16 if words < 1000 else np.uint32)
+        for w in range(words):
+            differ += np.bitwise_count(rw[w, s:e] ^ lw[w, i])
+        both = rs[s:e] + ls[i]
+        most = np.minimum((both - differ) >> 1, np.minimum(rs[s:e], ls[i]))
+        hits = np.flatnonzero((p + q) * most >= p * both)
+        if len(hits):
+            forest.link(i, base + s + hits)
+
+
+def _verified(left, right, forest, threshold):
+    """Links classes of one candidate component whose sets reach the threshold."""
     p, q = threshold
-    for b in batches:
-        for k in range(b.num_rows):
-            same = b.column(0)[k] == b.column(1)[k]
-            tiles = [read_block(b.column(c)[k].as_py()) for c in ((2,) if same else (2, 3))]
-            fp = np.concatenate([t.column(t.schema.get_field_index("fp")).to_numpy() for t in tiles])
-            root = np.concatenate([t.column(t.schema.get_field_index("root")).to_numpy() for t in tiles])
-            sets = [np.frombuffer(x, dtype=np.uint64) for t in tiles for x in t.column(t.schema.get_field_index("hashes")).to_pylist()]
-            size = np.array([len(x) for x in sets])
-            left, forest = tiles[0].num_rows, Forest(len(fp))
-            for i in range(left):
-                s = i + 1 if same else left
-                others = s + np.flatnonzero(root[s:] == root[i])
-                others = others[(q * np.minimum(size[others], size[i]) >= p * np.maximum(size[others], size[i]))]
-                others = forest.unlinked(i, others)
-                for part in np.array_split(others, -(-len(others) // 512)) if len(others) else ():
-                    part = forest.unlinked(i, part)
-                    if len(part):
-                        flat = np.concatenate([sets[j] for j in part])
-                        at = np.searchsorted(sets[i], flat)
-                        hit = sets[i][np.minimum(at, size[i] - 1)] == flat
-                        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[part]) - size[part])
-                        forest.link(i, part[q * both >= p * (size[part] + size[i] - both)])
-            yield _edges(forest, fp)
+    tiles = [left] if right is None else [left, right]
+    root = np.concatenate([t.column(t.schema.get_field_index("root")).to_numpy() for t in tiles])
+    sets = [np.frombuffer(x, dtype=np.uint64) for t in tiles for x in t.column(t.schema.get_field_index("hashes")).to_pylist()]
+    size = np.array([len(x) for x in sets])
+    for i in range(left.num_rows):
+        s = i + 1 if right is None else left.num_rows
+        others = s + np.flatnonzero(root[s:] == root[i])
+        others = others[(q * np.minimum(size[others], size[i]) >= p * np.maximum(size[others], size[i]))]
+        others = forest.unlinked(i, others)
+        for part in np.array_split(others, -(-len(others) // 512)) if len(others) else ():
+            part = forest.unlinked(i, part)
+            if len(part):
+                flat = np.concatenate([sets[j] for j in part])
+                at = np.searchsorted(sets[i], flat)
+                hit = sets[i][np.minimum(at, size[i] - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[part]) - size[part])
+                forest.link(i, part[q * both >= p * (size[part] + size[i] - both)])
 
 
 def ngram_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90, 100), tile_rows: int = 4096,
@@ -214,8 +198,9 @@ def ngram_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90,
     tiles = cut_tiles(classes.select(band.cast("long").alias("band"), F.col("n_shingles").cast("double").alias("pos"), "fp",
                                      "n_shingles", "sketch"), "ngram-tiles", ["n_shingles", "fp"], tile_rows=tile_rows)
     # one band is one step of the threshold; the second neighbour covers rounding
-    pairs = tile_pairs(tiles, [0, 1, 2], lambda l, r: (F.least(l("hi"), r("hi")) * q >= F.greatest(l("lo"), r("lo")) * p))
-    maybe = components(map_arrow(pairs, _candidates, EDGES, threshold=threshold), "ngram-candidates")
+    near = tile_links(tiles, "ngram-settled", [0, 1, 2], lambda l, r: (F.least(l("hi"), r("hi")) * q >= F.greatest(l("lo"), r("lo")) * p),
+                      partial(_candidates, threshold=threshold))
+    maybe = components(near, "ngram-candidates")
     reps = classes.join(maybe, F.col("fp") == F.col("node")).select("of", "fp", "root")
     again = (rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
              .join(reps, F.col("_id").eqNullSafe(F.col("of.doc_id")) & (F.col("_key") == F.col("of.text_key")))
@@ -224,7 +209,7 @@ def ngram_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90,
     whole = stage(hashes.join(reps.select("fp", "root"), "fp"), "ngram-sets")
     exact = cut_tiles(whole.select(F.col("root").alias("band"), F.lit(0.0).alias("pos"), "fp", "root", "hashes"), "ngram-exact",
                       ["root", "fp"], split_bands=False, tile_rows=1024)
-    links = map_arrow(tile_pairs(exact, [0], lambda l, r: F.lit(True)), _verified, EDGES, threshold=threshold)
+    links = tile_links(exact, "ngram-verified", [0], lambda l, r: F.lit(True), partial(_verified, threshold=threshold))
     found = components(links, "ngram-links")
     return (sets.select("doc_id", "text_key", "n_shingles", "fp").join(found, F.col("fp") == F.col("node"), "left")
             .select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("root", "fp").alias("root")))
