@@ -77,16 +77,17 @@ def class_totals(answers: DataFrame) -> DataFrame:
 def class_summary(answers: DataFrame) -> DataFrame:
     """A6 — per student, per topic and overall totals from ONE scan.
 
-    ``GROUPING SETS ((student_name), (topic), ())`` with ``grouping_id`` to tell
+    The log is aggregated to (student, topic) first; ``GROUPING SETS ((student_name), (topic), ())`` with ``grouping_id`` to tell
     a subtotal row from a NULL key (1 = per student, 2 = per topic, 3 = overall).
     The distinct-student count is a distinct aggregate inside the same
-    grouping-sets aggregate (Spark expands it once; partial aggregation keeps a
-    hot student or topic from landing whole in one task); it is reported on
-    the overall row, as the original's ``COUNT(DISTINCT student_name)``.
+    grouping-sets aggregate; only the small breakdown is expanded, not the log.
+    It is reported on the overall row, as the original's
+    ``COUNT(DISTINCT student_name)``.
     """
-    gs = (answers.groupingSets([["student_name"], ["topic"], []], "student_name", "topic")
-          .agg(F.count(F.lit(1)).alias("total"),
-               F.sum("is_correct").cast("bigint").alias("correct"),
+    pairs = answers.groupBy("student_name", "topic").agg(F.count(F.lit(1)).alias("n"), F.sum("is_correct").alias("ok"))
+    gs = (pairs.groupingSets([["student_name"], ["topic"], []], "student_name", "topic")
+          .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+               F.sum("ok").cast("bigint").alias("correct"),
                F.count_distinct("student_name").alias("n_students"),
                F.grouping_id("student_name", "topic").alias("gid")))
     level = (F.when(F.col("gid") == 1, F.lit("student"))
@@ -179,7 +180,8 @@ def student_status(roster: DataFrame, answers: DataFrame,
 
 def students_without_history(roster: DataFrame, answers: DataFrame) -> DataFrame:
     """J4 (no-history branch) — roster names that never answered."""
-    return roster.join(answers.select("student_name"), "student_name", "left_anti")
+    answered = answers.select("student_name").distinct()  # pre-aggregated: a hot student is one row a task
+    return roster.join(answered, "student_name", "left_anti")
 
 
 def progress_table(answers: DataFrame, student: str | None = None,

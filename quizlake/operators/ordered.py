@@ -1,86 +1,35 @@
-"""Row numbers and running sums within ordered groups, safe for hot groups.
-
-A plain ``Window.partitionBy(group)`` puts a whole group in one task. That is
-right for quiz sessions (bounded by the quiz length) but not when one group
-may hold a large share of all rows. ``ordered_prefix`` therefore splits:
-
-* groups with at most ``hot_rows`` rows take the plain window;
-* larger groups are range-partitioned on ``(group, order...)``, so one group
-  spreads over many partitions; each piece is numbered by a window over
-  ``(piece, group)`` and then shifted by the exact totals of the earlier
-  pieces of the same group (a table of at most #hot groups + #pieces rows).
-
-The piece id is materialised with the rows by a reliable ``checkpoint()``
-(in ``spark.checkpoint.dir``), so both passes see the same pieces even when
-an executor is lost. Results equal the plain window exactly (for an order
-key that is unique within a group; ties are broken arbitrarily either way).
+"""Row numbers and running sums within ordered groups, one plan for every size.
+
+A plain ``Window.partitionBy(group)`` puts a whole group in one task. Here each
+row gets a block of its order key (``blocks``: columns that never decrease along
+the order), windows run per (group, block), and the totals of the earlier blocks
+are added: they come from a table with one row per (group, block), summed by a
+window over that small table and joined back by key. Results equal the plain
+window exactly for any blocks (for an order key that is unique within a group).
+A NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-DEFAULT_HOT_ROWS = 2_000_000
-
-
-def _plain(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w).cast("bigint"))
-              .withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")))
 
-
-def _split(df: DataFrame, group: str, order: list[str], value: str, pieces: int) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(pieces, F.col(group), *[F.col(c) for c in order])
-                .withColumn("_piece", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
-    w = Window.partitionBy("_piece", group).orderBy(*order)
-    local = (ranged.withColumn("_ln", F.row_number().over(w).cast("bigint"))
-                   .withColumn("_lc", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")))
-    runs = ranged.groupBy("_piece", group).agg(F.count(F.lit(1)).alias("_n"),
-                                               F.sum(value).cast("bigint").alias("_c"))
-    before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carry = runs.select("_piece", group,
+def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, blocks: list[Column]) -> DataFrame:
+    """Adds ``_rn`` (1-based position in the group by ``order``), ``_cum`` (running
+    sum of ``value`` up to and including the row) and ``_size`` (rows of the group)."""
+    tagged = df.withColumn("_block", F.struct(*[b.alias(f"b{i}") for i, b in enumerate(blocks)]))
+    runs = tagged.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).cast("bigint").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group)
+    carry = runs.select(F.col(group).alias("_g"), F.col("_block").alias("_b"),
                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry_n"),
-                        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_carry_c"))
-    # carry has one row per (piece, hot group): at most #hot groups + #pieces rows
-    out = local.join(F.broadcast(carry), ["_piece", group], "left")
+                        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_carry_c"),
+                        F.sum("_n").over(whole).cast("bigint").alias("_size"))
+    w = Window.partitionBy(group, "_block").orderBy(*order)
+    local = (tagged.withColumn("_ln", F.row_number().over(w))
+                   .withColumn("_lc", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    out = local.join(carry, F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_b")))
     return (out.withColumn("_rn", (F.col("_ln") + F.col("_carry_n")).cast("bigint"))
                .withColumn("_cum", (F.col("_lc") + F.col("_carry_c")).cast("bigint"))
-               .drop("_piece", "_ln", "_lc", "_carry_n", "_carry_c"))
-
-
-def hot_keys(sizes: DataFrame, group: str, size_col: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Keys whose size exceeds ``hot_rows``: at most (total rows / hot_rows) of
-    them, a proven bound for broadcasting."""
-    return sizes.filter(F.col(size_col) > hot_rows).select(group)
-
-
-def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str,
-                   hot_rows: int | None = DEFAULT_HOT_ROWS, pieces: int | None = None,
-                   hot: DataFrame | None = None) -> DataFrame:
-    """Adds ``_rn`` (1-based position in the group by ``order``) and ``_cum``
-    (running sum of ``value`` up to and including the row).
-
-    ``hot_rows=None`` forces the plain window (groups known to be bounded).
-    ``hot`` may give the hot keys directly: any superset of the groups with
-    more than ``hot_rows`` rows is exact (e.g. sizes taken from a cheaper
-    upstream table that has at least as many rows per key); otherwise the
-    sizes are counted on ``df`` itself, one extra pass. Deciding whether any
-    key is hot runs one small job when the plan is built; with no hot key the
-    plan is exactly the plain window.
-    """
-    if hot_rows is None:
-        return _plain(df, group, order, value)
-    spark = df.sparkSession
-    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if hot is None:
-        hot = hot_keys(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), group, "_size", hot_rows)
-    if hot.isEmpty():
-        return _plain(df, group, order, value)
-    hot_b = F.broadcast(hot)
-    cold = _plain(df.join(hot_b, group, "left_anti"), group, order, value)
-    return cold.unionByName(_split(df.join(hot_b, group, "left_semi"), group, order, value, pieces))
+               .drop("_block", "_g", "_b", "_ln", "_lc", "_carry_n", "_carry_c"))

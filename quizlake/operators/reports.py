@@ -74,8 +74,15 @@ def find_weak_topics(answers: DataFrame, student_name: str | None = None) -> Dat
     return A.weak_topic_list(A.for_student(answers, student_name), "raw")
 
 
-def save_result(rows: DataFrame, path: str) -> None:
-    answer_log.append(rows, path)
+def save_result(rows: DataFrame, path: str | None = None, table: str | None = None) -> None:
+    """Append answers (without ids, if they carry none) to a log folder or to the
+    table of ``setup_database``."""
+    if (path is None) == (table is None):
+        raise ValueError("give either a path or a table")
+    if table is not None:
+        answer_log.append_to_table(rows, table)
+    else:
+        answer_log.append(rows, path)
 
 
 def setup_database(spark, table: str, path: str) -> None:

@@ -2,8 +2,8 @@
 (J1, J2, J6, A9, P7-P9, W1-W3, W5, N5, N8, N11-N12, N15-N18, N22-N23).
 
 Ordered operators are partitioned by session, never global. A session is
-normally one quiz (a few dozen questions); a session above ``hot_rows`` rows
-is split over many tasks by ``ordered.ordered_prefix`` with exact carries.
+normally one quiz (a few dozen questions); ``ordered.ordered_prefix`` numbers
+it block by block, so that no session has to fit one task.
 Grading joins the bank by key and leaves the strategy to AQE (broadcast when
 the bank is below the broadcast threshold at run time, otherwise sort-merge
 with skew splitting).
@@ -18,16 +18,17 @@ from .. import config as C
 from ..functions import numeric as N
 from ..functions.text import (correct_icon, levels_array, normalise_letter, preview, py_strip,
                               selected_symbol)
-from .ordered import DEFAULT_HOT_ROWS, ordered_prefix
+from .ordered import ordered_prefix
 
-ORDER = ["slot", "question_id", "supplier_key", "quantity", "price"]
+ORDER = ["slot", "question_id"]
+BLOCK_KEYS = 65_536  # question keys a block; any value gives the same result
 
 
 def normalise_responses(responses: DataFrame) -> DataFrame:
     """N1+N2+P8 — ``strip().upper()`` and validity of the chosen letter."""
     sel = normalise_letter("selected_raw")
     return (responses.withColumn("selected", sel)
-            .withColumn("is_valid", F.col("selected").isin(*C.LETTERS)))
+            .withColumn("is_valid", F.coalesce(F.col("selected").isin(*C.LETTERS), F.lit(False))))
 
 
 def valid_responses(responses: DataFrame) -> DataFrame:
@@ -42,6 +43,19 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
                     F.lit("invalid_letter").alias("reason")))
 
 
+def unknown_questions(responses: DataFrame, bank: DataFrame) -> DataFrame:
+    """J1 reject output — valid letters for a question that the bank does not hold."""
+    known = bank.select("question_id").distinct()
+    return (valid_responses(responses).join(known, "question_id", "left_anti")
+            .select("session_id", "student_name", "question_id", "slot", "selected_raw", "selected",
+                    F.lit("unknown_question").alias("reason")))
+
+
+def all_rejects(responses: DataFrame, bank: DataFrame) -> DataFrame:
+    """Every response that is not graded: with ``graded_responses`` the whole input."""
+    return rejected_responses(responses).unionByName(unknown_questions(responses, bank))
+
+
 def graded_responses(responses: DataFrame, bank: DataFrame) -> DataFrame:
     """J1 — join the bank by key and compare the chosen letter with the answer."""
     b = bank.select("question_id", "topic", F.col("question").alias("question_text"),
@@ -67,35 +81,35 @@ def session_scores(graded: DataFrame) -> DataFrame:
     )
 
 
-def question_numbers(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
-                     hot: DataFrame | None = None) -> DataFrame:
-    """W1 — ``enumerate(start=1)`` within a session (hot sessions are split, see ordered.py)."""
-    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows, hot=hot)
-    return p.withColumnRenamed("_rn", "question_no").drop("_cum")
+def _numbered(graded: DataFrame, order) -> DataFrame:
+    order = list(order)
+    blocks = [F.col(order[0])] + [F.floor(F.col(c) / BLOCK_KEYS) for c in order[1:2]]
+    return ordered_prefix(graded, "session_id", order, "is_correct", blocks)
 
 
-def running_score(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
-                  hot: DataFrame | None = None) -> DataFrame:
+def question_numbers(graded: DataFrame, order=ORDER) -> DataFrame:
+    """W1 — ``enumerate(start=1)`` within a session (a session of any size is
+    numbered block by block, see ordered.py). ``order`` is the slot and a numeric
+    question key, then any tie-breaks."""
+    return _numbered(graded, order).withColumnRenamed("_rn", "question_no").drop("_cum", "_size")
+
+
+def running_score(graded: DataFrame, order=ORDER) -> DataFrame:
     """W2 — correct answers before question k, and the feedback-mode numerator
     (which already counts question k while the denominator stays k-1)."""
-    p = ordered_prefix(graded, "session_id", order, "is_correct", hot_rows, hot=hot)
-    out = (p.withColumnRenamed("_rn", "question_no")
-            .withColumn("score_feedback", F.col("_cum").cast("bigint"))
-            .withColumn("score_before", (F.col("_cum") - F.col("is_correct")).cast("bigint"))
-            .drop("_cum"))
+    out = (_numbered(graded, order).withColumnRenamed("_rn", "question_no")
+           .withColumn("score_feedback", F.col("_cum"))
+           .withColumn("score_before", F.col("_cum") - F.col("is_correct"))
+           .drop("_cum", "_size"))
     return out.withColumn("badge", F.concat(
         F.lit("⭐ "), F.col("score_before").cast("string"), F.lit("/"),
         (F.col("question_no") - 1).cast("string")))
 
 
-def session_progress(graded: DataFrame, order=ORDER, hot_rows: int | None = DEFAULT_HOT_ROWS,
-                     hot: DataFrame | None = None) -> DataFrame:
-    """W3 — ``q_num / total`` for the progress bar; the session size is an
-    aggregate joined back by key (AQE splits a skewed key on the big side)."""
-    numbered = question_numbers(graded, order, hot_rows, hot)
-    sizes = graded.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_questions"))
-    return (numbered.join(sizes, "session_id")
-            .withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))
+def session_progress(graded: DataFrame, order=ORDER) -> DataFrame:
+    """W3 — ``q_num / total`` for the progress bar; the session size comes with the numbers."""
+    return (_numbered(graded, order).withColumnRenamed("_rn", "question_no").withColumnRenamed("_size", "n_questions")
+            .drop("_cum").withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))
 
 
 def last_answer(graded: DataFrame, order=ORDER) -> DataFrame:
@@ -106,11 +120,11 @@ def last_answer(graded: DataFrame, order=ORDER) -> DataFrame:
         .select("session_id", "last.*")
 
 
-def answer_review(graded: DataFrame) -> DataFrame:
-    """N8 + N18 — one review line per answer."""
+def answer_review(graded: DataFrame, keep=("session_id", "question_id", "slot")) -> DataFrame:
+    """N8 + N18 — one review line per answer, with the columns of ``keep``."""
     line = F.concat(correct_icon("is_correct"), F.lit(" "), F.col("topic"), F.lit(" — "),
                     preview("question_text"), F.lit(" → You answered: "), selected_symbol("selected"))
-    return graded.select("session_id", "question_id", "slot", "supplier_key", line.alias("line"))
+    return graded.select(*keep, line.alias("line"))
 
 
 # ---------------------------------------------------------------- deadlines
@@ -130,25 +144,27 @@ def timed_answers(shown: DataFrame, answered: DataFrame,
     the original page's behaviour for a question with no answer at all (never
     recorded); the default records it as a timeout.
     """
-    s = shown.alias("s")
-    a = answered.alias("a")
-    cond = ((F.col("s.qid") == F.col("a.qid"))
-            & (F.col("a.answered_at") >= F.col("s.shown_at"))
-            & (F.col("a.answered_at") < _deadline("s.shown_at", deadline)))
-    if abandoned == "drop":
-        s = s.join(answered.select("qid").distinct(), "qid", "left_semi").alias("s")
-    elif abandoned != "timeout":
+    if abandoned not in ("timeout", "drop"):
         raise ValueError("abandoned must be 'timeout' or 'drop'")
-    j = s.join(a, cond, "left")
-    on_time = F.col("a.qid").isNotNull()
+    a = answered.select(F.col("qid").alias("a_qid"), F.struct("answered_at", "selected").alias("click"))
+    if abandoned == "drop":
+        shown = shown.join(answered.select("qid").distinct(), "qid", "left_semi")
+    on_time = ((F.col("qid") == F.col("a_qid")) & (F.col("click.answered_at") >= F.col("shown_at"))
+               & (F.col("click.answered_at") < _deadline("shown_at", deadline)))
+    # a second answer is not taken: the earliest one before the deadline counts
+    j = (shown.join(a, on_time, "left").groupBy("qid", "session_id", "shown_at", "correct")
+         .agg(F.min("click").alias("click")))
+    return timed_columns(j)
+
+
+def timed_columns(j: DataFrame) -> DataFrame:
+    """The answer columns from the shown question and its earliest on-time ``click``."""
+    answered = F.col("click").isNotNull()
     return j.select(
-        F.col("s.qid").alias("qid"), F.col("s.session_id").alias("session_id"),
-        F.col("s.shown_at").alias("shown_at"), F.col("a.answered_at").alias("answered_at"),
-        F.col("a.selected").alias("selected"),
-        F.when(on_time, (F.col("a.selected") == F.col("s.correct")).cast("int"))
-         .otherwise(F.lit(0)).alias("is_correct"),
-        F.when(on_time, F.lit("answered")).otherwise(F.lit("timed_out")).alias("status"),
-    )
+        "qid", "session_id", "shown_at", F.col("click.answered_at").alias("answered_at"),
+        F.col("click.selected").alias("selected"),
+        F.when(answered, (F.col("click.selected") == F.col("correct")).cast("int")).otherwise(F.lit(0)).alias("is_correct"),
+        F.when(answered, F.lit("answered")).otherwise(F.lit("timed_out")).alias("status"))
 
 
 def timer_state(presentations: DataFrame, deadline: int = C.ANSWER_DEADLINE_SECONDS) -> DataFrame:

@@ -142,7 +142,7 @@ def q_stream_timed_answers(spark, sf):
     spark.createDataFrame([(-1, FAR_FUTURE, None)], ST.ANSWERED_SCHEMA).write.mode("append").parquet(f"{base}/answered")
     ST.timed_answer_stream(spark, f"{base}/shown", f"{base}/answered", f"{base}/out", f"{base}/ckpt",
                            state_partitions=parts)
-    return spark.read.parquet(f"{base}/out").filter(F.col("qid") >= 0)
+    return ST.timed_answer_snapshot(spark, f"{base}/out", f"{base}/shown", f"{base}/answered").filter(F.col("qid") >= 0)
 
 
 SPARK = {

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..operators import sessions as SE
-from ..operators.ordered import DEFAULT_HOT_ROWS
 from ..sources import standins as S
 from ..sources.answer_log import clean_names
 from ..sources.tables import read_table
@@ -18,12 +17,11 @@ _MSGS = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in C.BAND_MESSAGE
 _STRIP = STRIP_SQL
 
 
-def _graded(spark, sf):
-    return SE.graded_responses(S.responses(spark, sf), S.bank(spark, sf))
+_RESPONSE_ORDER = [*SE.ORDER, "supplier_key", "quantity", "price"]  # the stand-in has ties without these
 
 
-def _hot(spark, sf):
-    return S.hot_sessions(spark, sf, DEFAULT_HOT_ROWS)
+def _graded(spark, sf):
+    return SE.graded_responses(S.responses(spark, sf), S.bank(spark, sf))
 
 
 def _shown(spark, sf):
@@ -34,6 +32,12 @@ def _answered(spark, sf):
     return S.presentations(spark, sf).select("qid", "answered_at", "selected")
 
 
+def _reject_reasons(spark, sf):
+    r, bank = S.responses_with_gaps(spark, sf), S.bank(spark, sf)
+    graded = SE.graded_responses(r, bank).select("session_id", "slot", "question_id", F.lit("graded").alias("outcome"))
+    return graded.unionByName(SE.all_rejects(r, bank).select("session_id", "slot", "question_id", F.col("reason").alias("outcome")))
+
+
 SPARK = {
     "valid_responses": lambda spark, sf: SE.valid_responses(S.responses(spark, sf)).select(
         "session_id", "student_name", "question_id", "slot", "selected"),
@@ -41,15 +45,18 @@ SPARK = {
     "graded_responses": lambda spark, sf: _graded(spark, sf).select(
         "session_id", "student_name", "question_id", "slot", "selected", "answer", "topic", "is_correct"),
     "session_scores": lambda spark, sf: SE.session_scores(_graded(spark, sf)),
-    "question_numbers": lambda spark, sf: SE.question_numbers(_graded(spark, sf), hot=_hot(spark, sf)).select(
+    "question_numbers": lambda spark, sf: SE.question_numbers(_graded(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "slot", "question_id", "supplier_key", "question_no"),
-    "running_score": lambda spark, sf: SE.running_score(_graded(spark, sf), hot=_hot(spark, sf)).select(
+    "running_score": lambda spark, sf: SE.running_score(_graded(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "question_no", "question_id", "is_correct", "score_before", "score_feedback", "badge"),
-    "session_progress": lambda spark, sf: SE.session_progress(_graded(spark, sf), hot=_hot(spark, sf)).select(
+    "session_progress": lambda spark, sf: SE.session_progress(_graded(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "question_no", "n_questions", "progress"),
-    "last_answer": lambda spark, sf: SE.last_answer(_graded(spark, sf)),
-    "answer_review": lambda spark, sf: SE.answer_review(_graded(spark, sf)),
+    "last_answer": lambda spark, sf: SE.last_answer(_graded(spark, sf), _RESPONSE_ORDER),
+    "answer_review": lambda spark, sf: SE.answer_review(
+        _graded(spark, sf), ("session_id", "question_id", "slot", "supplier_key")),
     "timed_answers": lambda spark, sf: SE.timed_answers(_shown(spark, sf), _answered(spark, sf)),
+    "second_answers": lambda spark, sf: SE.timed_answers(_shown(spark, sf), S.clicks(spark, sf)),
+    "response_outcomes": lambda spark, sf: _reject_reasons(spark, sf),
     "timer_state": lambda spark, sf: SE.timer_state(S.presentations(spark, sf)),
     "difficulty_lookup": lambda spark, sf: SE.difficulty_lookup(
         S.answers(spark, sf).select("id", "difficulty"), SE.difficulty_dimension(spark)),
@@ -125,6 +132,25 @@ SELECT s.qid, s.session_id, s.shown_at, a.answered_at, a.selected,
 FROM presentations s LEFT JOIN presentations a
   ON s.qid = a.qid AND a.answered_at >= s.shown_at
  AND a.answered_at < s.shown_at + INTERVAL {C.ANSWER_DEADLINE_SECONDS} SECOND"""),
+    "second_answers": with_standins(f"""
+SELECT qid, session_id, shown_at, answered_at, selected,
+       CASE WHEN answered_at IS NOT NULL THEN CAST(selected = correct AS INTEGER) ELSE 0 END AS is_correct,
+       CASE WHEN answered_at IS NOT NULL THEN 'answered' ELSE 'timed_out' END AS status
+FROM (SELECT s.qid, s.session_id, s.shown_at, s.correct, c.answered_at, c.selected,
+             row_number() OVER (PARTITION BY s.qid, s.session_id, s.shown_at ORDER BY c.answered_at, c.selected) AS k
+      FROM presentations s LEFT JOIN (
+        SELECT qid, answered_at, selected FROM presentations UNION ALL
+        SELECT qid, answered_at + INTERVAL 3 SECOND, CASE WHEN selected = 'A' THEN 'B' ELSE 'A' END
+        FROM presentations WHERE qid % 3 = 0) c
+      ON s.qid = c.qid AND c.answered_at >= s.shown_at
+     AND c.answered_at < s.shown_at + INTERVAL {C.ANSWER_DEADLINE_SECONDS} SECOND) WHERE k = 1"""),
+    "response_outcomes": with_standins(f"""
+SELECT r.session_id, r.slot, r.question_id,
+       CASE WHEN r.letter IS NULL OR r.letter NOT IN ('A', 'B', 'C', 'D') THEN 'invalid_letter'
+            WHEN b.question_id IS NULL THEN 'unknown_question' ELSE 'graded' END AS outcome
+FROM (SELECT session_id, slot, CASE WHEN quantity = 50 THEN -question_id ELSE question_id END AS question_id,
+             CASE WHEN quantity <> 49 THEN upper({_STRIP.format(x='selected_raw')}) END AS letter FROM responses) r
+LEFT JOIN bank b ON b.question_id = r.question_id"""),
     "timer_state": with_standins(f"""
 SELECT qid, ROUND(e, 6) AS elapsed_s, ROUND(l, 6) AS seconds_left, CAST(trunc(l) AS INTEGER) AS display_seconds,
        CASE WHEN l > {C.TIMER_NORMAL_ABOVE} THEN '{C.TIMER_CLASSES[0]}'

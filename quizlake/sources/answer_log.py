@@ -31,6 +31,13 @@ def _truthy(c: F.Column, dtype: T.DataType) -> F.Column:
     return F.when(c.isNotNull() & (c != 0), F.lit(1)).otherwise(F.lit(0))
 
 
+def surrogate_id(ts: F.Column) -> F.Column:
+    """S9 — the id of an answer that carries none: ascending in (answered_at, hash
+    of the answer), so newer answers have larger ids without a global counter."""
+    tie = F.pmod(F.xxhash64("student_name", "topic", "question"), F.lit(4096))
+    return F.unix_micros(ts.cast("timestamp")) * 4096 + tie
+
+
 def normalise(df: DataFrame, version: int = CURRENT_VERSION) -> DataFrame:
     """S2 — one log row per answer: 0/1 correctness, default difficulty when the
     column is omitted (an explicit NULL stays NULL), stamp ``now`` when no time."""
@@ -38,7 +45,7 @@ def normalise(df: DataFrame, version: int = CURRENT_VERSION) -> DataFrame:
     diff = F.col("difficulty") if "difficulty" in types else F.lit(C.DEFAULT_DIFFICULTY)
     ts = F.coalesce(F.col("answered_at"), F.localtimestamp()) if "answered_at" in types else F.localtimestamp()
     cols = [
-        F.col("id").cast("bigint").alias("id"),
+        F.col("id").cast("bigint").alias("id") if "id" in types else surrogate_id(ts).alias("id"),
         F.col("student_name").cast("string").alias("student_name"),
         F.col("topic").cast("string").alias("topic"),
         F.col("question").cast("string").alias("question"),
@@ -59,6 +66,12 @@ def create_if_absent(spark: SparkSession, table: str, path: str) -> None:
               f"PARTITIONED BY (answer_date, schema_version) LOCATION '{path}'")
 
 
+def append_to_table(df: DataFrame, table: str) -> None:
+    """S2 into a table made by ``create_if_absent``: the write registers its
+    partitions, so the table sees the rows at once."""
+    normalise(df).select(*LOG_SCHEMA.names).write.mode("append").insertInto(table)
+
+
 def append(df: DataFrame, path: str, version: int = CURRENT_VERSION,
            max_records_per_file: int = 5_000_000) -> None:
     """S2 batch form — append normalised rows; no repartition, so a hot date
@@ -77,11 +90,14 @@ def compact(spark: SparkSession, src: str, dst: str, files: int) -> None:
         .write.mode("overwrite").partitionBy("answer_date", "schema_version").parquet(dst))
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + S4 — read every generation with one explicit schema; files written
+def scan(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """S1 + S4 — read one or several log folders (a stream sink keeps its own
+    folder: its metadata log would hide files that batch appends add), every generation with one explicit schema; files written
     before ``difficulty`` existed read as 'beginner' (as SQLite's added default
     does), an explicit NULL written later stays NULL."""
     raw = spark.read.schema(LOG_SCHEMA).parquet(path)
+    for other in more:
+        raw = raw.unionByName(spark.read.schema(LOG_SCHEMA).parquet(other))
     return raw.withColumn(
         "difficulty",
         F.when(F.col("schema_version") < 2, F.coalesce("difficulty", F.lit(C.DEFAULT_DIFFICULTY)))

@@ -110,8 +110,8 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ordered import ordered_prefix
     conv = (read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
             .select("conv_id", "turn", "text", F.lit(1).alias("_one")))
-    # row_number per conversation, split over tasks for a conversation with very many turns
-    conv = ordered_prefix(conv, "conv_id", ["turn"], "_one")
+    # row_number per conversation, block by block for a conversation with very many turns
+    conv = ordered_prefix(conv, "conv_id", ["turn"], "_one", [F.floor(F.col("turn") / 65_536)])
     kind = ((F.col("conv_id") + F.col("turn")) % 5).cast("int")
     qjson = F.to_json(F.named_struct(
         F.lit("question"), F.col("text"),
@@ -140,11 +140,20 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hot_sessions(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
-    """Sessions with more than ``hot_rows`` response rows, counted on the
-    ``lineitem`` key column alone (a pruned one-column scan and a partial
-    aggregate): every session has at least as many rows there as after the
-    orders join and the validity filter, so this is a safe superset."""
-    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"))
-    sizes = li.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return sizes.filter(F.col("n_rows") > hot_rows).select("session_id")
+def responses_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses with letters missing (quantity 49) and questions that the
+    bank does not hold (quantity 50), for the reject outputs."""
+    r = responses(spark, sf_dir)
+    return (r.withColumn("selected_raw", F.when(F.col("quantity") != 49, F.col("selected_raw")))
+            .withColumn("question_id", F.when(F.col("quantity") == 50, -F.col("question_id")).otherwise(F.col("question_id"))))
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of the presentations and a second click on every third: a later
+    one with another letter, on time or not."""
+    p = presentations(spark, sf_dir)
+    first = p.select("qid", "answered_at", "selected")
+    second = p.where(F.col("qid") % 3 == 0).select(
+        "qid", F.timestamp_add("SECOND", F.lit(3), F.col("answered_at")).alias("answered_at"),
+        F.when(F.col("selected") == "A", F.lit("B")).otherwise(F.lit("A")).alias("selected"))
+    return first.unionByName(second)

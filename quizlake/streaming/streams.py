@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..operators import sessions as S
 from ..schemas import ANSWER_SCHEMA
 from ..sources import answer_log
 
@@ -106,10 +107,11 @@ def timed_answer_stream(spark: SparkSession, shown_dir: str, answered_dir: str,
                         checkpoint: str, deadline: int = C.ANSWER_DEADLINE_SECONDS,
                         lateness: str = "1 minute", processing_time: str | None = None,
                         state_partitions: int | None = None):
-    """T1 — stream-stream left outer join of shown questions with answers that
-    arrive within the deadline. An unmatched question is emitted as a timeout
-    once the watermark passes its deadline. Duplicate answer events (at-least-
-    once input) are dropped within the watermark first."""
+    """T1 — stream-stream left outer join of shown questions with the answers that
+    arrive within the deadline: a row per on-time answer, and a timeout once the
+    watermark passes an unmatched question's deadline. The deadline is applied
+    before anything is reduced; ``timed_answer_snapshot`` reads the current table
+    (second and repeated clicks reduced to the earliest on-time one)."""
     spark = _stream_session(spark, state_partitions)
     # watermarks need TIMESTAMP (session time zone); the NTZ columns are kept for output
     shown = (spark.readStream.schema(SHOWN_SCHEMA).parquet(shown_dir)
@@ -117,20 +119,30 @@ def timed_answer_stream(spark: SparkSession, shown_dir: str, answered_dir: str,
              .withWatermark("shown_ts", lateness))
     answered = (spark.readStream.schema(ANSWERED_SCHEMA).parquet(answered_dir)
                 .withColumn("answered_ts", F.col("answered_at").cast("timestamp"))
-                .withWatermark("answered_ts", lateness)
-                .dropDuplicatesWithinWatermark(["qid"]))
+                .withWatermark("answered_ts", lateness))
     s, a = shown.alias("s"), answered.alias("a")
     limit = F.col("s.shown_ts") + F.expr(f"INTERVAL {int(deadline)} SECONDS")
     cond = ((F.col("s.qid") == F.col("a.qid")) & (F.col("a.answered_ts") >= F.col("s.shown_ts"))
             & (F.col("a.answered_ts") < limit))
-    j = s.join(a, cond, "leftOuter")
-    on_time = F.col("a.qid").isNotNull()
-    out = j.select(
-        F.col("s.qid").alias("qid"), F.col("s.session_id").alias("session_id"),
-        F.col("s.shown_at").alias("shown_at"), F.col("a.answered_at").alias("answered_at"),
-        F.col("a.selected").alias("selected"),
-        F.when(on_time, (F.col("a.selected") == F.col("s.correct")).cast("int")).otherwise(F.lit(0)).alias("is_correct"),
-        F.when(on_time, F.lit("answered")).otherwise(F.lit("timed_out")).alias("status"))
+    out = s.join(a, cond, "leftOuter").select(
+        "s.qid", "s.session_id", "s.shown_at", "s.correct", "a.answered_at", "a.selected")
     w = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", sink))
     return _run(w, processing_time)
+
+
+def timed_answer_snapshot(spark: SparkSession, sink: str, shown_dir: str | None = None,
+                          answered_dir: str | None = None, deadline: int = C.ANSWER_DEADLINE_SECONDS) -> DataFrame:
+    """One row a question from the sink of ``timed_answer_stream``. With the input
+    folders, questions shown too late for the stream's watermark (in the input, in
+    no output) are settled by the batch match J6 over the whole input."""
+    click = F.struct("answered_at", "selected")
+    rows = spark.read.parquet(sink)
+    found = S.timed_columns(rows.groupBy("qid", "session_id", "shown_at", "correct").agg(
+        F.min(F.when(F.col("answered_at").isNotNull(), click)).alias("click")))
+    if shown_dir is None:
+        return found
+    shown = spark.read.schema(SHOWN_SCHEMA).parquet(shown_dir)
+    answered = spark.read.schema(ANSWERED_SCHEMA).parquet(answered_dir)
+    late = shown.join(rows.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(S.timed_answers(late, answered, deadline))

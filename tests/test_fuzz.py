@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 
 from quizlake.functions import json_reply as J
 from quizlake.functions import text as X
-from tests.test_replies import py_clean
 
 WS = [" ", "\t", "\n", "\r", "\x0b", "\x0c", " ", " ", "　", "\x1c", "\x85"]
 PIECES = WS + ["`", "```", "```json", "{", "}", "[", "]", '"', ":", ",", "a", "é", "1", "null", "NaN",
@@ -28,12 +27,17 @@ def _loads_ok(t):
 
 @SETTINGS
 @given(batch=texts)
-def test_strip_and_unfence_agree_with_python(spark, batch):
-    df = spark.createDataFrame([(t,) for t in batch], "t string")
-    got = df.select("t", X.py_strip("t").alias("s"), J.unfence("t").alias("u")).collect()
+def test_strip_and_unfence_properties(spark, batch):
+    """Stripping is Python's; a text without a leading fence is only stripped; a
+    fenced text gives its stripped content; nothing is ever added."""
+    df = spark.createDataFrame([(t, "```json\n" + t.replace("`", "") + "\n```") for t in batch], "t string, f string")
+    got = df.select("t", "f", X.py_strip("t").alias("s"), J.unfence("t").alias("u"), J.unfence("f").alias("uf")).collect()
     for r in got:
         assert r.s == r.t.strip(), repr(r.t)
-        assert r.u == py_clean(r.t), repr(r.t)
+        if not r.s.startswith("```"):
+            assert r.u == r.s, repr(r.t)
+        assert r.u in r.t and r.u == r.u.strip(), repr(r.t)
+        assert r.uf == r.f[len("```json\n"):-len("\n```")].strip(), repr(r.f)
 
 
 @SETTINGS

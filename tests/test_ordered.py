@@ -1,5 +1,7 @@
-"""The hot-group split of ordered operators equals the plain window exactly."""
+"""Numbering block by block equals the plain window, whatever the blocks."""
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quizlake.operators import ordered as O
@@ -7,47 +9,45 @@ from quizlake.operators import sessions as SE
 from quizlake.sources import standins as S
 
 SF = "/root/testdata/sf0.001"
+COLS = ("session_id", "k1", "k2", "v", "_rn", "_cum", "_size")
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.select("session_id", "k1", "k2", "v", "_rn", "_cum").collect())
+    return sorted((tuple(r) for r in df.select(*COLS).collect()), key=str)
 
 
-def test_split_equals_window_with_one_hot_group(spark):
-    hot = spark.range(3000).select(F.lit(1).alias("session_id"), (F.col("id") % 17).alias("k1"),
-                                   F.col("id").alias("k2"), (F.col("id") % 3 == 0).cast("int").alias("v"))
+def _plain(df):
+    w = Window.partitionBy("session_id").orderBy("k1", "k2")
+    return (df.withColumn("_rn", F.row_number().over(w).cast("bigint"))
+            .withColumn("_cum", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("session_id"))))
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10**9])
+def test_equals_the_plain_window_for_every_block_width(spark, width):
+    hot = spark.range(3000).select(F.when(F.col("id") % 50 != 0, F.lit(1)).alias("session_id"), (F.col("id") % 17).alias("k1"),
+                                   F.col("id").alias("k2"), (F.col("id") % 3 == 0).cast("int").alias("v"))  # 60 rows without a group
     cold = spark.range(500).select((F.col("id") % 50 + 2).alias("session_id"), (F.col("id") % 5).alias("k1"),
                                    F.col("id").alias("k2"), (F.col("id") % 2).cast("int").alias("v"))
     df = hot.unionByName(cold).repartition(6)
-    plain = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=None)
-    split = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=100, pieces=7)
-    assert _rows(plain) == _rows(split)
-    top = split.filter("session_id = 1").agg(F.max("_rn"), F.max("_cum")).collect()[0]
-    assert tuple(top) == (3000, 1000)
+    got = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", [F.col("k1"), F.floor(F.col("k2") / width)])
+    assert _rows(got) == _rows(_plain(df))
 
 
-def test_every_session_hot(spark):
-    df = spark.range(400).select((F.col("id") % 3).alias("session_id"), F.lit(0).alias("k1"),
-                                 F.col("id").alias("k2"), F.lit(1).alias("v"))
-    a = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=None)
-    b = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=10, pieces=4)
-    assert _rows(a) == _rows(b)
+def test_sessions_do_not_depend_on_the_block_width(spark, monkeypatch):
+    graded = SE.graded_responses(S.responses(spark, SF), S.bank(spark, SF))
+    order = [*SE.ORDER, "supplier_key", "quantity", "price"]
+    seen = []
+    for width in (1, 50, 65_536):
+        monkeypatch.setattr(SE, "BLOCK_KEYS", width)
+        out = SE.running_score(graded, order).select("session_id", "question_id", "question_no", "score_before")
+        seen.append(sorted(map(tuple, out.collect())))
+    assert seen[0] == seen[1] == seen[2]
 
 
-def test_running_score_split_on_real_sessions(spark):
+def test_building_the_plan_runs_no_job(spark):
     graded = SE.graded_responses(S.responses(spark, SF), S.bank(spark, SF))
-    a = SE.running_score(graded, hot_rows=None).select("session_id", "question_id", "question_no", "score_before")
-    b = SE.running_score(graded, hot_rows=3).select("session_id", "question_id", "question_no", "score_before")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
-def test_explicit_hot_superset_is_exact(spark):
-    hot = spark.range(2000).select(F.lit(7).alias("session_id"), F.lit(0).alias("k1"),
-                                   F.col("id").alias("k2"), (F.col("id") % 5 == 0).cast("int").alias("v"))
-    cold = spark.range(300).select((F.col("id") % 30 + 100).alias("session_id"), F.lit(1).alias("k1"),
-                                   F.col("id").alias("k2"), F.lit(1).alias("v"))
-    df = hot.unionByName(cold)
-    keys = spark.createDataFrame([(7,), (100,), (101,), (999,)], "session_id long")  # superset of the hot set
-    a = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=None)
-    b = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", hot_rows=500, pieces=6, hot=keys)
-    assert _rows(a) == _rows(b)
+    spark.sparkContext.setJobGroup("plan-only", "no job expected")
+    SE.session_progress(graded)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")) == []
+    spark.sparkContext.setJobGroup("", "")

@@ -10,18 +10,19 @@ from quizlake.sources import standins as S
 
 SF = "/root/testdata/sf0.001"
 T0 = dt.datetime(2026, 1, 1, 9, 0, 0)
+ORDER = [*SE.ORDER, "supplier_key", "quantity", "price"]
 
 
 def test_running_score_ends_at_session_score(spark):
     g = SE.graded_responses(S.responses(spark, SF), S.bank(spark, SF))
-    rs = SE.running_score(g)
+    rs = SE.running_score(g, ORDER)
     last = (rs.groupBy("session_id").agg(F.max_by(F.struct("score_feedback", "question_no"), "question_no").alias("l"))
             .select("session_id", F.col("l.score_feedback").alias("fb"), F.col("l.question_no").alias("qn")))
     sc = SE.session_scores(g).select("session_id", "score", "total")
     bad = last.join(sc, "session_id").filter((F.col("fb") != F.col("score")) | (F.col("qn") != F.col("total")))
     assert bad.count() == 0
     # before-score of the last row plus the last answer gives the session score too
-    la = SE.last_answer(g).select("session_id", F.col("is_correct").alias("last_ok"))
+    la = SE.last_answer(g, ORDER).select("session_id", F.col("is_correct").alias("last_ok"))
     before = (rs.groupBy("session_id").agg(F.max_by("score_before", "question_no").alias("b")))
     chk = before.join(la, "session_id").join(sc, "session_id").filter(F.col("b") + F.col("last_ok") != F.col("score"))
     assert chk.count() == 0
@@ -29,7 +30,7 @@ def test_running_score_ends_at_session_score(spark):
 
 def test_progress_and_numbers(spark):
     g = SE.graded_responses(S.responses(spark, SF), S.bank(spark, SF))
-    p = SE.session_progress(g)
+    p = SE.session_progress(g, ORDER)
     assert p.filter((F.col("question_no") < 1) | (F.col("question_no") > F.col("n_questions"))).count() == 0
     assert p.filter(F.col("question_no") == F.col("n_questions")).count() == SE.session_scores(g).count()
 
@@ -54,6 +55,29 @@ def test_rejects_and_normalisation(spark):
     assert valid.filter(~F.col("selected").isin("A", "B", "C", "D")).count() == 0
 
 
+def test_nothing_is_lost_between_valid_rejected_and_unknown(spark):
+    r = spark.createDataFrame([(1, "ana", 7, 1, "a"), (1, "ana", 7, 2, None), (1, "ana", 7, 3, "x"), (1, "ana", 99, 4, "B")],
+                              "session_id long, student_name string, question_id long, slot int, selected_raw string")
+    bank = spark.createDataFrame([(7, "lists", "Q?", "A", "beginner")],
+                                 "question_id long, topic string, question string, answer string, difficulty string")
+    graded = SE.graded_responses(r, bank)
+    assert [(x.slot, x.is_correct) for x in graded.collect()] == [(1, 1)]
+    assert {(x.slot, x.reason) for x in SE.all_rejects(r, bank).collect()} == {
+        (2, "invalid_letter"), (3, "invalid_letter"), (4, "unknown_question")}
+    # the library's defaults need only the session's own columns
+    assert [(x.question_no, x.score_before) for x in SE.running_score(graded).collect()] == [(1, 0)]
+    assert SE.answer_review(graded).columns == ["session_id", "question_id", "slot", "line"]
+
+
+def test_only_the_earliest_answer_in_time_counts(spark):
+    shown = spark.createDataFrame([(1, 1, T0, "A"), (2, 1, T0, "B")], "qid long, session_id long, shown_at timestamp_ntz, correct string")
+    answered = spark.createDataFrame([
+        (1, T0 + dt.timedelta(seconds=9), "B"), (1, T0 + dt.timedelta(seconds=2), "A"), (2, T0 + dt.timedelta(seconds=30), "A"),
+        (2, T0 + dt.timedelta(seconds=3), "B")], "qid long, answered_at timestamp_ntz, selected string")
+    out = {r.qid: (r.selected, r.is_correct, r.status) for r in SE.timed_answers(shown, answered).collect()}
+    assert out == {1: ("A", 1, "answered"), 2: ("B", 1, "answered")}
+
+
 def test_lookup_default_and_decode(spark):
     df = spark.createDataFrame([("advanced",), ("expert",), (None,)], "difficulty string")
     out = SE.difficulty_lookup(df, SE.difficulty_dimension(spark)).collect()
