@@ -9,7 +9,7 @@
 3. The votes are counted over the whole corpus by pattern (a table bounded by
    kinds and vote combinations); expectation-maximisation estimates how reliable
    each labeler is and how likely each pattern is personal data.
-4. A naive Bayes span classifier over features of the span and its neighbours is
+4. A naive Bayes span classifier over the votes and features of the span and its neighbours is
    trained on those probabilities (counts again, bounded by feature values). It
    decides on the further candidates; base spans always stay.
 
@@ -34,6 +34,7 @@ from .common import let
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "secret"]  # base kinds first
 N_BASE = 4
+LABELERS = 4
 
 # FIXED VALUES: the base patterns. Equal in effect to the plain forms
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -189,12 +190,13 @@ def fit(patterns: list[tuple[str, str, str, int]], rounds: int = 100) -> dict[st
             for j, v in enumerate(votes):
                 odds += 0 if v == "-" else math.log(right[j] / wrong[j]) if v == "y" else math.log((1 - right[j]) / (1 - wrong[j]))
             post[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    yes, no, total = {}, {}, [1.0, 1.0]
+    total = [1.0 + sum(post[k, v] * n for k, v, _, n in patterns), 1.0 + sum((1 - post[k, v]) * n for k, v, _, n in patterns)]
+    share = total[0] / sum(total)  # one pseudo-count a value, split like the classes: a rare value says little
+    yes, no = {}, {}
     for kind, votes, features, n in patterns:
         p = post[kind, votes]
-        total = [total[0] + p * n, total[1] + (1 - p) * n]
-        for f in features.split("|"):
-            yes[f], no[f] = yes.get(f, 1) + p * n, no.get(f, 1) + (1 - p) * n
+        for f in [*features.split("|"), *(f"vote{j}={v}" for j, v in enumerate(votes))]:
+            yes[f], no[f] = yes.get(f, share) + p * n, no.get(f, 1 - share) + (1 - p) * n
     return {"": math.log(total[0] / total[1])} | {f: math.log(yes[f] / total[0]) - math.log(no[f] / total[1]) for f in sorted(yes)}
 
 
@@ -211,7 +213,9 @@ def accepted(spans: Column, odds: dict[str, float]) -> Column:
     table = F.create_map(*(F.lit(x) for f, v in odds.items() for x in (f, v)))
 
     def taken(m):
-        score = F.aggregate(F.split(m["features"], "\\|"), F.lit(odds[""]), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+        votes = F.array(*(F.concat(F.lit(f"vote{j}="), F.substring(m["votes"], j + 1, 1)) for j in range(LABELERS)))
+        score = F.aggregate(F.concat(F.split(m["features"], "\\|"), votes), F.lit(odds[""]),
+                            lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
         return score >= 0
     return F.array_sort(F.concat(spans["base"], F.filter(spans["more"], taken)))
 
