@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from .common import growing_tables, map_arrow, small_parts
 
-MEMO_ENTRIES = 600_000  # units, and pieces, kept per worker (memory bound only)
-PAIR_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000  # units, and pieces, kept per worker (memory bound only)
+PAIR_ENTRIES = 300_000
+PART_BYTES = 1 << 20    # of text encoded at a time
 
 
 class Vocabulary:
@@ -152,6 +153,23 @@ class PrefixTable:
         return out[::-1]
 
 
+class Memo:
+    """Ids by string in two generations. A full one becomes the older and the
+    oldest goes, less what is asked for meanwhile: frequent strings always stay."""
+
+    def __init__(self, entries: int):
+        self.entries, self.ids, self.older = entries, {}, {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Those of ``wanted`` to be learned; all others are in ``ids`` now."""
+        if len(self.ids) >= self.entries // 2:
+            self.ids, self.older = {}, self.ids
+        absent = wanted.difference(self.ids)
+        known = absent.intersection(self.older)
+        self.ids.update((x, self.older[x]) for x in known)
+        return absent - known
+
+
 class Codec:
     """Encodes whole texts (each match of the split pattern separately) and
     decodes ids.
@@ -166,8 +184,7 @@ class Codec:
         self.vocabulary = Vocabulary(rank_file)
         self.split = regex.compile(pattern).findall
         self.odd_space = regex.compile(r" (?:\s|$)").search
-        self.units: dict[str, tuple[int, ...]] = {}  # ids of " " + unit
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.units, self.pieces = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)  # a unit stands for " " + unit
 
     def encode_pieces(self, pieces) -> dict[str, tuple[int, ...]]:
         """Ids by piece."""
@@ -186,14 +203,12 @@ class Codec:
         return self.split(" " + unit)
 
     def learn(self, units) -> None:
-        cut, pieces = {u: self.cut(u) for u in units}, self.pieces
-        used = set(chain.from_iterable(cut.values()))
-        new = used.difference(pieces)
-        if len(pieces) + len(new) > MEMO_ENTRIES:
-            self.pieces = pieces = {p: pieces[p] for p in used.difference(new)}
+        cut = {u: self.cut(u) for u in units}
+        new = self.pieces.missing(set(chain.from_iterable(cut.values())))
+        pieces = self.pieces.ids
         pieces.update(self.encode_pieces(new))
         for u, found in cut.items():
-            self.units[u] = pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable([pieces[p] for p in found]))
+            self.units.ids[u] = pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable([pieces[p] for p in found]))
 
     def encode(self, text: str | None) -> list[int]:
         """One text by itself."""
@@ -206,11 +221,8 @@ class Codec:
         odd_space = self.odd_space
         plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and not odd_space(t)}
         wanted = set(chain.from_iterable([x[1:] for x in plain.values()]))
-        new = wanted.difference(self.units)
-        if len(self.units) + len(new) > MEMO_ENTRIES:
-            self.units = {u: self.units[u] for u in wanted.difference(new)}
-        self.learn(new)
-        units, first = self.units, {}
+        self.learn(self.units.missing(wanted))
+        units, first = self.units.ids, {}
         for i, t in enumerate(texts):
             if i in plain:
                 head, *rest = plain[i]
@@ -244,7 +256,7 @@ def _encoded(batches, vocabulary, pattern, keep_ids):
     c = codec(vocabulary.value, pattern)
     decimal = {i: str(i) for i in c.vocabulary.tokens}.__getitem__
     for b in batches:
-        for part in small_parts(b, 1):
+        for part in small_parts(b, 1, PART_BYTES):
             n, ids_sha, raw_sha, all_ids = [], [], [], []
             for ids in c.encode_all(part.column(1).to_pylist()):
                 n.append(len(ids))

@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 from ..session import stage
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20  # of one Arrow batch between Spark and Python
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,17 +66,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by rows and bytes: a batch is held by the
+    JVM and by Python at once, and long texts or tiles would make the default one large."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn, schema: T.StructType, **params) -> DataFrame:
     """``mapInArrow`` with a module-level function and its parameters."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(partial(fn, **params), schema)
 
 
 def small_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20):
     """Slices of a batch whose texts (column number ``text``) have about
     ``most_bytes`` together; a longer text is a slice by itself."""
-    ends = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in batch.column(text).cast(pa.binary()).to_pylist()),
-                                 dtype=np.int64, count=batch.num_rows))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
