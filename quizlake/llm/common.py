@@ -94,6 +94,22 @@ def small_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20):
         start = end
 
 
+def fold_table(kept) -> bytes:
+    """A ``bytes.translate`` table: A-Z lower-cased, bytes that ``kept`` refuses as spaces."""
+    return bytes(b + 32 if 0x41 <= b <= 0x5A else b if kept(b) else 0x20 for b in range(256))
+
+
+def pieces(folded: bytes, most_bytes: int = 1 << 20):
+    """The words of a folded text, in lists cut at spaces after about ``most_bytes``:
+    a very long text is never a list of all its words."""
+    at = 0
+    while at < len(folded):
+        end = folded.find(b" ", at + most_bytes)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
 # --- distributed prefix sums --------------------------------------------------
 
 def _running(batches, values):
@@ -243,6 +259,37 @@ def tile_pairs(tiles: DataFrame, reach: list[int], near) -> DataFrame:
             .select("left_rows", "right_rows"))
 
 
+def grid_cells(queries: DataFrame, tiles: DataFrame, extra: str, same_band: bool, pack_tiles: int = 64, shard_tiles: int = 64) -> DataFrame:
+    """(band, pack, shard, kind, tile, first_band, rows, extra): query blocks (kind 0)
+    and tiles (kind 1) dealt to the cells of a grid, sorted by cell and kind.
+
+    Blocks are dealt to packs and tiles to shards of about 64; a cell holds one pack
+    and one shard, so a tile is sent once to each pack, not to each block. With
+    ``same_band`` each band has a grid of its own (column band), as large as the band's
+    own counts ask for; else there is one grid (band 0)."""
+    key = F.col("first_band") if same_band else F.lit(0).cast("long")
+    kind = [queries.select(key.alias("band"), "tile", "first_band", "rows", extra),
+            tiles.select(key.alias("band"), "tile", "first_band", "rows")]
+    count = [x.groupBy("band").agg(F.ceil(F.count("*") / n).cast("int").alias(c))
+             for x, n, c in ((kind[0], pack_tiles, "packs"), (kind[1], shard_tiles, "shards"))]
+    sides = []
+    if same_band:
+        sizes = count[0].join(count[1], "band")  # a row a band
+        sides = [x.join(sizes, "band") for x in kind]
+    else:
+        packs, shards = ((c.first() or {c.columns[1]: 1})[c.columns[1]] for c in count)
+        sides = [x.withColumn("packs", F.lit(packs)).withColumn("shards", F.lit(shards)) for x in kind]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("tile"), F.col(n)).cast("int")
+    left = sides[0].withColumn("pack", dealt("packs")).withColumn("shard", spread("shards")).withColumn("kind", F.lit(0))
+    right = (sides[1].withColumn("shard", dealt("shards")).withColumn("pack", spread("packs")).withColumn("kind", F.lit(1))
+             .withColumn(extra, F.lit(None).cast(queries.schema[extra].dataType)))
+    cells = ["band", "pack", "shard"]
+    columns = [*cells, "kind", "tile", "first_band", "rows", extra]
+    return (left.select(*columns).unionByName(right.select(*columns)).repartition(*cells)
+            .sortWithinPartitions(*cells, "kind", "tile"))
+
+
 def write_block(block: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, block.schema) as w:
