@@ -1,35 +1,63 @@
 """Row numbers and running sums within ordered groups, one plan for every size.
 
-A plain ``Window.partitionBy(group)`` puts a whole group in one task. Here each
-row gets a block of its order key (``blocks``: columns that never decrease along
-the order), windows run per (group, block), and the totals of the earlier blocks
-are added: they come from a table with one row per (group, block), summed by a
-window over that small table and joined back by key. Results equal the plain
-window exactly for any blocks (for an order key that is unique within a group).
-A NULL group is a group like any other.
+A plain ``Window.partitionBy(group)`` puts a whole group in one task. Here each row
+gets blocks of its order key on several levels, from fine to coarse (``levels``:
+columns that never decrease along the order, each a coarser form of the one before).
+Windows run per (group, finest block); the totals of the blocks are carried forward
+level by level, by windows per (group, next coarser block), and joined back by key.
+So no window holds more than one block of rows or of totals, except the last, which
+holds one row for each coarsest block of a group. Results equal the plain window
+exactly for any levels (for an order key that is unique within a group). A NULL
+group is a group like any other. The columns of the input are kept apart in a struct,
+so they may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, blocks: list[Column]) -> DataFrame:
-    """Adds ``_rn`` (1-based position in the group by ``order``), ``_cum`` (running
-    sum of ``value`` up to and including the row) and ``_size`` (rows of the group)."""
-    tagged = df.withColumn("_block", F.struct(*[b.alias(f"b{i}") for i, b in enumerate(blocks)]))
-    runs = tagged.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).cast("bigint").alias("_c"))
-    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    carry = runs.select(F.col(group).alias("_g"), F.col("_block").alias("_b"),
-                        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry_n"),
-                        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_carry_c"),
-                        F.sum("_n").over(whole).cast("bigint").alias("_size"))
-    w = Window.partitionBy(group, "_block").orderBy(*order)
-    local = (tagged.withColumn("_ln", F.row_number().over(w))
-                   .withColumn("_lc", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    out = local.join(carry, F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_b")))
-    return (out.withColumn("_rn", (F.col("_ln") + F.col("_carry_n")).cast("bigint"))
-               .withColumn("_cum", (F.col("_lc") + F.col("_carry_c")).cast("bigint"))
-               .drop("_block", "_g", "_b", "_ln", "_lc", "_carry_n", "_carry_c"))
+def _joined(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``carry``, which has a row for each ``keys``."""
+    other = [f"its_{k}" for k in keys]
+    carry = carry.withColumnsRenamed(dict(zip(keys, other, strict=True)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)])
+    return rows.join(carry, same).drop(*other)
+
+
+def _carry(totals: DataFrame, levels: list[str]) -> DataFrame:
+    """``before_n`` and ``before_c`` of every block: rows and sum of the earlier blocks
+    of its group; ``size``: rows of the group."""
+    own, upper = levels[0], levels[1:]
+    scope = ["g", *upper[:1]]
+    before = Window.partitionBy(*scope).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    inner = totals.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint").alias(f"before_{c}") for c in ("n", "c")))
+    if not upper:
+        return inner.withColumn("size", F.sum("n").over(Window.partitionBy("g")).cast("bigint"))
+    coarse = _carry(totals.groupBy("g", *upper).agg(F.sum("n").alias("n"), F.sum("c").alias("c")), upper)
+    coarse = coarse.select(*scope, F.col("before_n").alias("up_n"), F.col("before_c").alias("up_c"), "size")
+    return (_joined(inner, coarse, scope).withColumn("before_n", F.col("before_n") + F.col("up_n"))
+            .withColumn("before_c", F.col("before_c") + F.col("up_c")).drop("up_n", "up_c"))
+
+
+def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, levels: list[Column],
+                   number: str = "_rn", running: str = "_cum", size: str = "_size") -> DataFrame:
+    """Adds ``number`` (1-based position in the group by ``order``), ``running`` (sum of
+    ``value`` up to and including the row) and ``size`` (rows of the group)."""
+    names = [f"b{k}" for k in range(len(levels))]
+    keys = [f"o{k}" for k in range(len(order))]
+    rows = df.select(F.struct("*").alias("row"), F.col(group).alias("g"), F.col(value).cast("bigint").alias("v"),
+                     *(level.alias(n) for level, n in zip(levels, names, strict=True)),
+                     *(F.col(o).alias(k) for o, k in zip(order, keys, strict=True)))
+    totals = rows.groupBy("g", *names).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("c"))
+    carry = _carry(totals, names).select("g", names[0], "before_n", "before_c", "size")
+    w = Window.partitionBy("g", names[0]).orderBy(*keys)
+    local = rows.select("row", "g", names[0], F.row_number().over(w).alias("ln"),
+                        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lc"))
+    out = _joined(local, carry, ["g", names[0]])
+    kept = [c for c in df.columns if c not in (number, running, size)]
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), (F.col("ln") + F.col("before_n")).cast("bigint").alias(number),
+                      (F.col("lc") + F.col("before_c")).cast("bigint").alias(running), F.col("size").alias(size))

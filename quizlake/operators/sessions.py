@@ -3,7 +3,9 @@
 
 Ordered operators are partitioned by session, never global. A session is
 normally one quiz (a few dozen questions); ``ordered.ordered_prefix`` numbers
-it block by block, so that no session has to fit one task.
+it block by block, so that no session has to fit one task, neither one of many
+slots nor one of many rows in a slot. They read the graded rows twice, so these
+are staged once: the grading join runs a single time.
 Grading joins the bank by key and leaves the strategy to AQE (broadcast when
 the bank is below the broadcast threshold at run time, otherwise sort-merge
 with skew splitting).
@@ -18,10 +20,11 @@ from .. import config as C
 from ..functions import numeric as N
 from ..functions.text import (correct_icon, levels_array, normalise_letter, preview, py_strip,
                               selected_symbol)
+from ..session import stage
 from .ordered import ordered_prefix
 
 ORDER = ["slot", "question_id"]
-BLOCK_KEYS = 65_536  # question keys a block; any value gives the same result
+BLOCK_KEYS, BLOCK_SLOTS = 65_536, 4_096  # question keys and slots a block; any values give the same result
 
 
 def normalise_responses(responses: DataFrame) -> DataFrame:
@@ -81,26 +84,25 @@ def session_scores(graded: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(graded: DataFrame, order) -> DataFrame:
+def _numbered(graded: DataFrame, order, **names) -> DataFrame:
     order = list(order)
-    blocks = [F.col(order[0])] + [F.floor(F.col(c) / BLOCK_KEYS) for c in order[1:2]]
-    return ordered_prefix(graded, "session_id", order, "is_correct", blocks)
+    slot = F.col(order[0])
+    fine = F.struct(slot, *(F.floor(F.col(c) / BLOCK_KEYS) for c in order[1:2]))
+    return ordered_prefix(stage(graded, "graded"), "session_id", order, "is_correct", [fine, F.floor(slot / BLOCK_SLOTS)], **names)
 
 
 def question_numbers(graded: DataFrame, order=ORDER) -> DataFrame:
     """W1 — ``enumerate(start=1)`` within a session (a session of any size is
     numbered block by block, see ordered.py). ``order`` is the slot and a numeric
     question key, then any tie-breaks."""
-    return _numbered(graded, order).withColumnRenamed("_rn", "question_no").drop("_cum", "_size")
+    return _numbered(graded, order, number="question_no").drop("_cum", "_size")
 
 
 def running_score(graded: DataFrame, order=ORDER) -> DataFrame:
     """W2 — correct answers before question k, and the feedback-mode numerator
     (which already counts question k while the denominator stays k-1)."""
-    out = (_numbered(graded, order).withColumnRenamed("_rn", "question_no")
-           .withColumn("score_feedback", F.col("_cum"))
-           .withColumn("score_before", F.col("_cum") - F.col("is_correct"))
-           .drop("_cum", "_size"))
+    out = (_numbered(graded, order, number="question_no", running="score_feedback").drop("_size")
+           .withColumn("score_before", F.col("score_feedback") - F.col("is_correct")))
     return out.withColumn("badge", F.concat(
         F.lit("⭐ "), F.col("score_before").cast("string"), F.lit("/"),
         (F.col("question_no") - 1).cast("string")))
@@ -108,8 +110,8 @@ def running_score(graded: DataFrame, order=ORDER) -> DataFrame:
 
 def session_progress(graded: DataFrame, order=ORDER) -> DataFrame:
     """W3 — ``q_num / total`` for the progress bar; the session size comes with the numbers."""
-    return (_numbered(graded, order).withColumnRenamed("_rn", "question_no").withColumnRenamed("_size", "n_questions")
-            .drop("_cum").withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))
+    return (_numbered(graded, order, number="question_no", size="n_questions").drop("_cum")
+            .withColumn("progress", F.round(F.col("question_no") / F.col("n_questions"), 6)))
 
 
 def last_answer(graded: DataFrame, order=ORDER) -> DataFrame:
@@ -129,10 +131,18 @@ def answer_review(graded: DataFrame, keep=("session_id", "question_id", "slot"))
 
 # ---------------------------------------------------------------- deadlines
 
-def _deadline(shown_col: str, deadline: int):
+def deadline_of(shown_col: str, deadline: int) -> F.Column:
     return F.col(shown_col) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(deadline))
 
 
+def on_time_clicks(shown: DataFrame, answered: DataFrame, deadline: int = C.ANSWER_DEADLINE_SECONDS, how: str = "inner") -> DataFrame:
+    """The columns of ``shown`` with each ``click`` (answered_at, selected) within the deadline."""
+    a = answered.select(F.col("qid").alias("a_qid"), F.struct("answered_at", "selected").alias("click"))
+    on_time = ((F.col("qid") == F.col("a_qid")) & (F.col("click.answered_at") >= F.col("shown_at"))
+               & (F.col("click.answered_at") < deadline_of("shown_at", deadline)))
+    return shown.join(a, on_time, how).select(*shown.columns, "click")
+
+
 def timed_answers(shown: DataFrame, answered: DataFrame,
                   deadline: int = C.ANSWER_DEADLINE_SECONDS, abandoned: str = "timeout") -> DataFrame:
     """J6 — a presentation is answered iff an answer arrives within the deadline;
@@ -146,13 +156,11 @@ def timed_answers(shown: DataFrame, answered: DataFrame,
     """
     if abandoned not in ("timeout", "drop"):
         raise ValueError("abandoned must be 'timeout' or 'drop'")
-    a = answered.select(F.col("qid").alias("a_qid"), F.struct("answered_at", "selected").alias("click"))
+    shown = shown.select("qid", "session_id", "shown_at", "correct")
     if abandoned == "drop":
         shown = shown.join(answered.select("qid").distinct(), "qid", "left_semi")
-    on_time = ((F.col("qid") == F.col("a_qid")) & (F.col("click.answered_at") >= F.col("shown_at"))
-               & (F.col("click.answered_at") < _deadline("shown_at", deadline)))
     # a second answer is not taken: the earliest one before the deadline counts
-    j = (shown.join(a, on_time, "left").groupBy("qid", "session_id", "shown_at", "correct")
+    j = (on_time_clicks(shown, answered, deadline, "left").groupBy("qid", "session_id", "shown_at", "correct")
          .agg(F.min("click").alias("click")))
     return timed_columns(j)
 

@@ -16,8 +16,6 @@ from ..functions.text import levels_array
 from .tables import read_table
 
 STUDENT_PREFIX = "student_"
-# session tie-break for the order-sensitive operators on ``responses``
-RESPONSE_ORDER = ["slot", "question_id", "supplier_key", "quantity", "price"]
 
 
 def _letter(idx_col) -> F.Column:
@@ -107,39 +105,89 @@ def llm_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per attempt: ``(request_id, parse_attempt, http_try, status, raw_body)``
     plus the request's ``topic`` and ``difficulty`` (derived from the id).
     """
-    from ..operators.ordered import ordered_prefix
-    conv = (read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-            .select("conv_id", "turn", "text", F.lit(1).alias("_one")))
-    # row_number per conversation, block by block for a conversation with very many turns
-    conv = ordered_prefix(conv, "conv_id", ["turn"], "_one", [F.floor(F.col("turn") / 65_536)])
+    conv = _assistant_turns(spark, sf_dir)
     kind = ((F.col("conv_id") + F.col("turn")) % 5).cast("int")
-    qjson = F.to_json(F.named_struct(
-        F.lit("question"), F.col("text"),
-        F.lit("options"), F.create_map(
-            F.lit("A"), F.concat(F.lit("first "), F.col("turn").cast("string")),
-            F.lit("B"), F.concat(F.lit("second "), F.col("conv_id").cast("string")),
-            F.lit("C"), F.lit("third"),
-            F.lit("D"), F.lit("none")),
-        F.lit("answer"), _letter(F.col("turn") % 4),
-    ))
+    qjson = _question_json(_letter(F.col("turn") % 4))
     inner = (F.when(kind == 0, qjson)
              .when(kind == 1, F.concat(F.lit("```json\n"), qjson, F.lit("\n```")))
              .when(kind == 2, F.substring(qjson, 1, (F.length(qjson) / 2).cast("int")))
              .when(kind == 3, F.lit("   "))
              .otherwise(F.lit("")))
-    body = F.to_json(F.named_struct(F.lit("content"), F.array(
-        F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), inner))))
     return conv.select(
         F.col("conv_id").alias("request_id"),
-        F.col("_rn").cast("int").alias("parse_attempt"),
+        F.col("attempt").cast("int").alias("parse_attempt"),
         F.lit(1).alias("http_try"),
         F.when(kind == 4, F.lit(C.RETRY_STATUS)).otherwise(F.lit(200)).alias("status"),
-        F.when(kind == 4, F.lit("")).otherwise(body).alias("raw_body"),
-        F.element_at(F.array(*[F.lit(t) for t in C.TOPICS]), (F.col("conv_id") % 5).cast("int") + 1).alias("topic"),
-        F.element_at(levels_array(), (F.col("conv_id") % 3).cast("int") + 1).alias("difficulty"),
+        F.when(kind == 4, F.lit("")).otherwise(_body(_block("text", inner))).alias("raw_body"),
+        *_request_columns(),
     )
 
 
+def _assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant turns with ``attempt``, their number in the conversation, block by
+    block for a conversation with very many turns."""
+    from ..operators.ordered import ordered_prefix
+    conv = (read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+            .select("conv_id", "turn", "text", F.lit(1).alias("_one")))
+    return ordered_prefix(conv, "conv_id", ["turn"], "_one", [F.floor(F.col("turn") / 65_536)], number="attempt")
+
+
+def _question_json(answer, last_option: bool = True) -> F.Column:
+    options = [F.lit("A"), F.concat(F.lit("first "), F.col("turn").cast("string")),
+               F.lit("B"), F.concat(F.lit("second "), F.col("conv_id").cast("string")), F.lit("C"), F.lit("third")]
+    if last_option:
+        options += [F.lit("D"), F.lit("none")]
+    return F.to_json(F.named_struct(F.lit("question"), F.col("text"), F.lit("options"), F.create_map(*options),
+                                    F.lit("answer"), answer))
+
+
+def _block(kind: str, text) -> F.Column:
+    return F.named_struct(F.lit("type"), F.lit(kind), F.lit("text"), text)
+
+
+def _body(*blocks) -> F.Column:
+    return F.to_json(F.named_struct(F.lit("content"), F.array(*blocks)))
+
+
+def _request_columns() -> list[F.Column]:
+    return [F.element_at(F.array(*[F.lit(t) for t in C.TOPICS]), (F.col("conv_id") % 5).cast("int") + 1).alias("topic"),
+            F.element_at(levels_array(), (F.col("conv_id") % 3).cast("int") + 1).alias("difficulty")]
+
+
+def llm_attempts_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.6 with every outcome: three HTTP tries an attempt, statuses 200, 500, 502 and
+    none, bodies that are no JSON, hold no content, an array, a block of another type
+    first, an answer outside A-D or three options."""
+    conv = _assistant_turns(spark, sf_dir)
+    kind = ((F.col("conv_id") * 7 + F.col("turn")) % 13).cast("int")
+    good = _question_json(_letter(F.col("turn") % 4))
+    body = (F.when(kind == 0, _body(_block("text", good)))
+            .when(kind == 1, _body(_block("text", F.concat(F.lit("```json\n"), good, F.lit("\n```")))))
+            .when(kind == 2, _body(_block("text", F.substring(good, 1, (F.length(good) / 2).cast("int")))))
+            .when(kind == 3, _body(_block("text", F.lit("   "))))
+            .when(kind == 4, F.lit("")).when(kind == 5, F.lit("overloaded")).when(kind == 6, F.lit(None).cast("string"))
+            .when(kind == 7, _body(_block("text", F.lit("[1, 2]"))))
+            .when(kind == 8, F.lit("oops"))
+            .when(kind == 9, _body(_block("text", _question_json(F.lit("E")))))
+            .when(kind == 10, _body(_block("text", _question_json(F.lit("A"), last_option=False))))
+            .when(kind == 11, F.lit('{"content":[]}'))
+            .otherwise(_body(_block("image", F.lit("x")), _block("text", good))))
+    status = (F.when(kind == 4, F.lit(C.RETRY_STATUS)).when(kind == 5, F.lit(500)).when(kind == 6, F.lit(None).cast("int"))
+              .otherwise(F.lit(200)))
+    return conv.select(
+        F.col("conv_id").alias("request_id"), (F.floor((F.col("attempt") - 1) / 3) + 1).cast("int").alias("parse_attempt"),
+        ((F.col("attempt") - 1) % 3 + 1).cast("int").alias("http_try"), status.alias("status"), body.alias("raw_body"), *_request_columns())
+
+
+def padded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.2 as typed: names with blanks of several kinds around them, blank ones, none."""
+    c = read_table(spark, sf_dir, "customer")
+    name, key = F.col("c_name"), F.col("c_custkey")
+    return c.select(F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 7 == 0, F.concat(F.lit(" "), F.char(F.lit(9))))
+                    .when(key % 3 == 0, F.concat(F.lit("  "), name, F.char(F.lit(10)))).when(key % 3 == 1, F.concat(F.char(F.lit(9)), name))
+                    .otherwise(name).alias("student_name"))
+
+
 def responses_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The responses with letters missing (quantity 49) and questions that the
     bank does not hold (quantity 50), for the reject outputs."""
