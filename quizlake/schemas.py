@@ -15,9 +15,6 @@ ANSWER_SCHEMA = T.StructType([
     T.StructField("answered_at", T.TimestampNTZType(), True),
 ])
 
-# the log as written before the difficulty column existed
-ANSWER_SCHEMA_V1 = T.StructType([f for f in ANSWER_SCHEMA.fields if f.name != "difficulty"])
-
 OPTIONS_TYPE = T.MapType(T.StringType(), T.StringType())
 
 # M2 question
@@ -38,23 +35,6 @@ PRACTICE_SET_SCHEMA = T.StructType([
     T.StructField("questions", T.ArrayType(QUESTION_SCHEMA), True),
 ])
 
-# M5 session answer
-SESSION_ANSWER_SCHEMA = T.StructType([
-    T.StructField("question", T.StringType(), True),
-    T.StructField("topic", T.StringType(), True),
-    T.StructField("selected", T.StringType(), True),
-    T.StructField("correct", T.StringType(), True),
-    T.StructField("is_correct", T.BooleanType(), True),
-])
-
-# M7 reply body
-REPLY_BODY_SCHEMA = T.StructType([
-    T.StructField("content", T.ArrayType(T.StructType([
-        T.StructField("type", T.StringType(), True),
-        T.StructField("text", T.StringType(), True),
-    ])), True),
-])
-
 # the fields read from a reply text
 REPLY_QUESTION_SCHEMA = T.StructType([
     T.StructField("question", T.StringType(), True),

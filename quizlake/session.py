@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 # Settings for a large cluster (e.g. 1,000 executors over ~100 TB of logs).
@@ -41,6 +42,11 @@ def build_session(master: str | None = None, app: str = "quizlake",
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or int(cpus)
+    if not master.startswith("local"):
+        settings = dict(CLUSTER_SETTINGS)
+        if shuffle_partitions:
+            settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
     builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
@@ -87,6 +93,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh table name in the session catalog, dropped with the scratch folders."""
+    table = f"quizlake_{name}_{uuid.uuid4().hex[:12]}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
 def clean_scratch(spark: SparkSession) -> int:
     """Delete this application's scratch folders; frames that read them end
     here too. Returns how many were given out since the last call."""
@@ -94,6 +107,8 @@ def clean_scratch(spark: SparkSession) -> int:
     if sc._jsc is None:  # already stopped
         return 0
     paths, _SCRATCH[sc.applicationId] = _SCRATCH.get(sc.applicationId, []), []
+    for table in _TABLES.pop(sc.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for p in paths:
         path = sc._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,25 +1,32 @@
 """The answer log on storage.
 
-Layout: Parquet under one folder, partitioned by ``answer_date`` and
-``schema_version`` (1 = written before ``difficulty`` existed, 2 = current).
-Readers pass the schema explicitly (no inference) and let Catalyst push
-student filters and date ranges into the scan.
+Layout: Parquet under one folder, partitioned by ``answer_date``,
+``schema_version`` (1 = written before ``difficulty`` existed, 2 = current) and
+``batch`` (one value an append). An append overwrites the partitions of its own
+batch alone, so a batch that is written again adds nothing: batch and streaming
+writers share one folder. Readers pass the schema explicitly (no inference) and
+let Catalyst push student filters and date ranges into the scan.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
 from ..schemas import ANSWER_SCHEMA
+from .log_ids import IdMarks, dense_ids
 
 CURRENT_VERSION = 2
 LOG_SCHEMA = T.StructType(ANSWER_SCHEMA.fields + [
     T.StructField("answer_date", T.DateType(), True),
     T.StructField("schema_version", T.IntegerType(), True),
 ])
+PARTITIONS = ["answer_date", "schema_version", "batch"]
+ID_ORDER = ["answered_at", "student_name", "topic", "question", "is_correct"]  # newer answers get larger ids
 
 
 def _truthy(c: F.Column, dtype: T.DataType) -> F.Column:
@@ -31,21 +38,15 @@ def _truthy(c: F.Column, dtype: T.DataType) -> F.Column:
     return F.when(c.isNotNull() & (c != 0), F.lit(1)).otherwise(F.lit(0))
 
 
-def surrogate_id(ts: F.Column) -> F.Column:
-    """S9 — the id of an answer that carries none: ascending in (answered_at, hash
-    of the answer), so newer answers have larger ids without a global counter."""
-    tie = F.pmod(F.xxhash64("student_name", "topic", "question"), F.lit(4096))
-    return F.unix_micros(ts.cast("timestamp")) * 4096 + tie
-
-
 def normalise(df: DataFrame, version: int = CURRENT_VERSION) -> DataFrame:
     """S2 — one log row per answer: 0/1 correctness, default difficulty when the
-    column is omitted (an explicit NULL stays NULL), stamp ``now`` when no time."""
+    column is omitted (an explicit NULL stays NULL), stamp ``now`` when no time. The
+    id is NULL where the answer carries none; ``append`` fills it."""
     types = {f.name: f.dataType for f in df.schema.fields}
     diff = F.col("difficulty") if "difficulty" in types else F.lit(C.DEFAULT_DIFFICULTY)
     ts = F.coalesce(F.col("answered_at"), F.localtimestamp()) if "answered_at" in types else F.localtimestamp()
     cols = [
-        F.col("id").cast("bigint").alias("id") if "id" in types else surrogate_id(ts).alias("id"),
+        F.col("id").cast("bigint").alias("id") if "id" in types else F.lit(None).cast("bigint").alias("id"),
         F.col("student_name").cast("string").alias("student_name"),
         F.col("topic").cast("string").alias("topic"),
         F.col("question").cast("string").alias("question"),
@@ -59,45 +60,102 @@ def normalise(df: DataFrame, version: int = CURRENT_VERSION) -> DataFrame:
                .withColumn("schema_version", F.lit(version)))
 
 
-def create_if_absent(spark: SparkSession, table: str, path: str) -> None:
-    """S3 — idempotent table creation in the session catalog."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet "
-              f"PARTITIONED BY (answer_date, schema_version) LOCATION '{path}'")
+def _number(rows: DataFrame, marks: IdMarks, batch: str, carried) -> DataFrame:
+    """S9 — fill the ids of normalised rows from the log's sequence."""
+    dealt = dense_ids(rows, [c for c in [*ID_ORDER, "difficulty"] if c in rows.columns])
+    first = marks.reserve(dealt.count(), batch, carried)
+    return dealt.withColumn("id", F.col("id") + F.lit(first))
+
+
+def _parts(df: DataFrame, version: int, marks: IdMarks, batch: str, carried):
+    """(batch, rows) to write: the rows that carry an id, then those that get one."""
+    rows = normalise(df, version)
+    missing, last = True, None
+    if "id" in df.columns:
+        last, missing = rows.agg(F.max("id"), F.count_if(F.col("id").isNull())).first()
+        yield batch, rows.where("id IS NOT NULL")
+    if last is not None:
+        if marks.newest()[1] is None:
+            last = max(last, carried() or 0)
+        marks.raise_to(last)
+    if missing:
+        yield f"{batch}-numbered", _number(rows.where("id IS NULL"), marks, batch, carried)
+
+
+def append(df: DataFrame, path: str, version: int = CURRENT_VERSION, max_records_per_file: int = 5_000_000,
+           batch: str | None = None) -> None:
+    """S2 — append normalised rows; rows without an id get the next ones (S9). No
+    repartition of rows that carry ids, so a hot date is written by every task that
+    holds it. Appending the same ``batch`` again writes the same rows over themselves."""
+    spark, batch = df.sparkSession, batch or uuid.uuid4().hex
+
+    def carried():
+        log = spark.read.schema(LOG_SCHEMA)
+        return log.parquet(path).agg(F.max("id")).first()[0] if _exists(spark, path) else None
+
+    for name, rows in _parts(df, version, IdMarks(spark, path), batch, carried):
+        (rows.withColumn("batch", F.lit(f"b-{name}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("maxRecordsPerFile", max_records_per_file).partitionBy(*PARTITIONS).parquet(path))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+# --- a table of the catalog -----------------------------------------------------
+
+def create_if_absent(spark: SparkSession, table: str, path: str) -> list[str]:
+    """S3 + S4 — idempotent table creation in the session catalog; a table that is
+    older than a column of the log gets that column. Returns the added columns.
+
+    An added ``difficulty`` reads as 'beginner' in the rows written before it (the
+    column's default at that time), while an explicit NULL written later stays NULL."""
+    default = {"difficulty": f" DEFAULT '{C.DEFAULT_DIFFICULTY}'"}
+    ddl = {f.name: f"`{f.name}` {f.dataType.simpleString()}{default.get(f.name, '')}" for f in LOG_SCHEMA.fields}
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE {table} ({', '.join(ddl.values())}) USING parquet "
+                  f"PARTITIONED BY (answer_date, schema_version) LOCATION '{path}'")
+        return []
+    there = {c.lower() for c in spark.table(table).columns}
+    missing = [n for n in ANSWER_SCHEMA.names if n not in there]
+    if missing:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(ddl[n] for n in missing)})")
+    return missing
 
 
 def append_to_table(df: DataFrame, table: str) -> None:
-    """S2 into a table made by ``create_if_absent``: the write registers its
-    partitions, so the table sees the rows at once."""
-    normalise(df).select(*LOG_SCHEMA.names).write.mode("append").insertInto(table)
+    """S2 into a table of the catalog, also one made elsewhere: columns are matched by
+    name (a column that the log does not have is NULL), ids continue the table's own."""
+    spark = df.sparkSession
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    fields = spark.table(table).schema.fields
 
+    def carried():
+        return spark.table(table).agg(F.max("id")).first()[0]
 
-def append(df: DataFrame, path: str, version: int = CURRENT_VERSION,
-           max_records_per_file: int = 5_000_000) -> None:
-    """S2 batch form — append normalised rows; no repartition, so a hot date
-    is written by every task that holds it rather than by one."""
-    (normalise(df, version).write.mode("append")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("answer_date", "schema_version").parquet(path))
+    for _, rows in _parts(df, CURRENT_VERSION, IdMarks(spark, where), uuid.uuid4().hex, carried):
+        have = set(rows.columns)
+        rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)) \
+            .write.mode("append").insertInto(table)
 
 
 def compact(spark: SparkSession, src: str, dst: str, files: int) -> None:
     """Rewrite a log made of many small appends as about ``files`` files.
     Range partitioning on (answer_date, id) keeps each date's rows together
     but splits a hot date over several files instead of one task."""
-    log = spark.read.schema(LOG_SCHEMA).parquet(src)
-    (log.repartitionByRange(files, "answer_date", "id")
-        .write.mode("overwrite").partitionBy("answer_date", "schema_version").parquet(dst))
+    log = spark.read.schema(LOG_SCHEMA).parquet(src).select(*LOG_SCHEMA.names).withColumn("batch", F.lit("b-compacted"))
+    log.repartitionByRange(files, "answer_date", "id").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(dst)
+    last = IdMarks(spark, src).newest()[1]
+    if last is not None:
+        IdMarks(spark, dst).raise_to(last)
 
 
 def scan(spark: SparkSession, path: str, *more: str) -> DataFrame:
-    """S1 + S4 — read one or several log folders (a stream sink keeps its own
-    folder: its metadata log would hide files that batch appends add), every generation with one explicit schema; files written
-    before ``difficulty`` existed read as 'beginner' (as SQLite's added default
-    does), an explicit NULL written later stays NULL."""
-    raw = spark.read.schema(LOG_SCHEMA).parquet(path)
-    for other in more:
-        raw = raw.unionByName(spark.read.schema(LOG_SCHEMA).parquet(other))
+    """S1 + S4 — read one or several log folders, every generation with one explicit
+    schema; files written before ``difficulty`` existed read as 'beginner' (as SQLite's
+    added default does), an explicit NULL written later stays NULL."""
+    raw = spark.read.schema(LOG_SCHEMA).parquet(path, *more).select(*LOG_SCHEMA.names)
     return raw.withColumn(
         "difficulty",
         F.when(F.col("schema_version") < 2, F.coalesce("difficulty", F.lit(C.DEFAULT_DIFFICULTY)))

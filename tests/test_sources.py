@@ -51,6 +51,75 @@ def test_create_if_absent(spark, scratch):
     assert spark.table("quiz_results_t").count() == 0
 
 
+def _no_ids(spark, rows):
+    return spark.createDataFrame(rows, "student_name string, topic string, question string, is_correct int, difficulty string, "
+                                       "answered_at timestamp_ntz")
+
+
+def test_ids_are_dense_and_follow_the_time_of_the_answers(spark, scratch):
+    path = scratch("log-ids")
+    at = dt.datetime(2077, 5, 1)  # any year
+    L.append(_no_ids(spark, [(f"s{k % 7}", "lists", "same second", k % 2, None, at) for k in range(3000)]).repartition(5), path)
+    L.append(_no_ids(spark, [("ana", "lists", f"q{k}", 1, "advanced", at - dt.timedelta(days=k)) for k in range(40)]), path)
+    carried = _no_ids(spark, [("bo", "lists", "carried", 1, None, at), ("bo", "lists", "none", 0, None, at)])
+    L.append(carried.withColumn("id", F.when(F.col("question") == "carried", F.lit(50_000).cast("bigint"))), path)
+    L.append(_no_ids(spark, [("cy", "lists", "after", 1, None, at)]), path)
+    L.append(_no_ids(spark, []), path)
+    rows = L.scan(spark, path).collect()
+    ids = sorted(r.id for r in rows)
+    assert ids == [*range(1, 3041), 50_000, 50_001, 50_002]
+    by_id = {r.id: r for r in rows}
+    second = [by_id[k] for k in range(3001, 3041)]
+    assert [r.answered_at for r in second] == sorted(r.answered_at for r in second)
+    assert [by_id[k].question for k in (50_000, 50_001, 50_002)] == ["carried", "none", "after"]
+    assert [r.id for r in L.recent_activity(L.scan(spark, path), 2).collect()] == [50_002, 50_001]
+    moved = scratch("log-ids-moved")  # a compacted log continues the sequence
+    L.compact(spark, path, moved, files=2)
+    L.append(_no_ids(spark, [("di", "lists", "later", 1, None, at)]), moved)
+    assert max(r.id for r in L.scan(spark, moved).collect()) == 50_003
+
+
+def test_two_writers_never_get_the_same_ids(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quizlake.sources.log_ids import IdMarks
+    root = scratch("marks")
+    marks = [IdMarks(spark, root) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        first = list(pool.map(lambda k: marks[k % 4].reserve(10, f"b{k}", lambda: None), range(24)))
+    assert sorted(first) == [1 + 10 * k for k in range(24)]
+    assert marks[0].reserve(10, "b5", lambda: None) == first[5]  # the same batch again
+    marks[0].raise_to(5)  # already behind
+    assert marks[1].newest()[1] == 240
+
+
+def test_an_old_table_gets_the_missing_column(spark, scratch):
+    from quizlake.operators import reports as RP
+    table, path = "quiz_results_old", scratch("old-table")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"CREATE TABLE {table} (id BIGINT, student_name STRING, topic STRING, question STRING, is_correct INT, note STRING, "
+              f"answered_at TIMESTAMP_NTZ) USING parquet LOCATION '{path}'")
+    spark.sql(f"INSERT INTO {table} VALUES (4, 'ana', 'lists', 'q1', 1, 'kept', TIMESTAMP_NTZ '2020-01-01 00:00:00')")
+    assert RP.setup_database(spark, table, path) == ["difficulty"]
+    assert RP.setup_database(spark, table, path) == []  # idempotent
+    RP.save_result(_no_ids(spark, [("bo", "lists", "q2", 0, None, T0)]), table=table)
+    RP.save_result(_no_ids(spark, [("cy", "lists", "q3", 1, None, T0)]).drop("difficulty"), table=table)
+    got = {r.id: (r.student_name, r.difficulty, r.note) for r in spark.table(table).collect()}
+    assert got == {4: ("ana", "beginner", "kept"), 5: ("bo", None, None), 6: ("cy", "beginner", None)}
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_new_table_appends(spark, scratch):
+    from quizlake.operators import reports as RP
+    table, path = "quiz_results_new", scratch("new-table")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    assert RP.setup_database(spark, table, path) == []
+    for k in range(2):
+        RP.save_result(_no_ids(spark, [("ana", "lists", f"q{k}", 1, None, T0)]), table=table)
+    assert sorted((r.id, r.question, r.schema_version) for r in spark.table(table).collect()) == [(1, "q0", 2), (2, "q1", 2)]
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_recent_activity_topk(spark):
     df = spark.range(100).select(F.col("id"), F.concat(F.lit("s"), F.col("id")).alias("student_name"),
                                  F.lit("lists").alias("topic"), (F.col("id") % 2).cast("int").alias("is_correct"),
