@@ -47,6 +47,23 @@ BAND_MESSAGES = [
     "Good effort! Keep practicing.",
     "Keep studying — you'll get it!",
 ]
+# errors of a generation request
+ERROR_502 = "502 Bad Gateway (attempt "
+ERROR_HTTP = "API error "
+ERROR_EMPTY = "Empty response from API (attempt "
+ERROR_UNREADABLE = "Unreadable response (attempt "
+ERROR_PARSE = "JSON parse error (attempt "
+HTTP_GIVEN_UP = "Failed after 3 attempts: "
+GIVEN_UP = "Failed to generate valid question after 3 attempts: "
+# messages of the reports
+WEAK_MESSAGE = "📌 Weak topics (below 70%): "
+NO_WEAK_MESSAGE = "🎉 No weak topics! Everything is above 70%."
+LINE_OK = "OK ✅"
+LINE_WEAK = "WEAK ⚠️"
+PROGRESS_OK = "✅ OK"
+PROGRESS_WEAK = "⚠️ Weak"
+ANALYSIS_OK = "✅ OK"
+ANALYSIS_WEAK = "⚠️  WEAK"
 DIFFICULTY_SYMBOLS = {"beginner": "🟢", "intermediate": "🟡", "advanced": "🔴"}
 DIFFICULTY_INSTRUCTIONS_LONG = {
     "beginner": (

@@ -27,12 +27,6 @@ def py_strip(c) -> Column:
     return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
-def is_blank(c) -> Column:
-    """True when the text is NULL or ``not text.strip()``."""
-    c = col_(c)
-    return c.isNull() | (py_strip(c) == F.lit(""))
-
-
 def non_blank(c) -> Column:
     """``text and text.strip()`` as a predicate (NULL counts as blank)."""
     c = col_(c)
@@ -86,10 +80,6 @@ def normalise_letter(c) -> Column:
     return F.upper(py_strip(c))
 
 
-def letters_array() -> Column:
-    return F.array(*[F.lit(x) for x in C.LETTERS])
-
-
 def levels_array() -> Column:
     return F.array(*[F.lit(x) for x in C.DIFFICULTY_LEVELS])
 

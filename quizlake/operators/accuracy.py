@@ -150,8 +150,8 @@ def weak_topic_text(answers: DataFrame, threshold: int = C.WEAK_THRESHOLD) -> Da
     wl = weak_topic_list(answers, "raw", threshold)
     joined = F.concat_ws(", ", "weak_topics")
     text = (F.when(F.col("n_weak") > 0,
-                   F.concat(F.lit(f"📌 Weak topics (below {threshold}%): "), joined))
-            .otherwise(F.lit(f"🎉 No weak topics! Everything is above {threshold}%.")))
+                   F.concat(F.lit(C.WEAK_MESSAGE.replace("70", str(threshold))), joined))
+            .otherwise(F.lit(C.NO_WEAK_MESSAGE.replace("70", str(threshold)))))
     return wl.select("student_name", joined.alias("weak_topics"), text.alias("message"))
 
 
@@ -195,7 +195,7 @@ def progress_table(answers: DataFrame, student: str | None = None,
         F.col("correct").alias("Correct"),
         F.col("total").alias("Total"),
         acc.alias("Accuracy %"),
-        F.when(acc >= F.lit(float(threshold)), F.lit("✅ OK")).otherwise(F.lit("⚠️ Weak")).alias("Status"),
+        F.when(acc >= F.lit(float(threshold)), F.lit(C.PROGRESS_OK)).otherwise(F.lit(C.PROGRESS_WEAK)).alias("Status"),
     )
 
 
@@ -216,6 +216,58 @@ def report_lines(answers: DataFrame) -> DataFrame:
     return td.select("topic", line.alias("line"))
 
 
+def analysis_lines(answers: DataFrame, student: str | None = None, threshold: int = C.WEAK_THRESHOLD) -> DataFrame:
+    """N6/N21 — the lines of the per-student analysis: the unrounded percent, printed
+    with one decimal (ties to even, as Python prints), and the raw weak rule."""
+    bd = topic_breakdown(answers, student)
+    line = F.concat(pad_right("topic", 20), F.lit(" | "), F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string"),
+                    F.lit(" correct | "), F.format_string("%5.1f", N.pct_python("correct", "total")), F.lit("% | "),
+                    F.when(N.weak_raw("correct", "total", threshold), F.lit(C.ANALYSIS_WEAK)).otherwise(F.lit(C.ANALYSIS_OK)))
+    return bd.select("student_name", "topic", line.alias("line"))
+
+
+def asked_students(answers: DataFrame, students: list[str], rule: str = "raw", threshold: int = C.WEAK_THRESHOLD) -> DataFrame:
+    """P1 + J4 — the three-way answer for the students asked for, one row each and one
+    row more for each further weak topic: ``status`` (NO_HISTORY, NO_WEAK, HAS_WEAK) and
+    the weak topic with its totals (NULL unless HAS_WEAK), hardest first within a name.
+
+    The names are a literal list: they go to the scan as a filter and make the left
+    side, so a name without any answer still has its row."""
+    asked = answers.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(students)], "student_name string")
+    rep = with_accuracy(topic_breakdown(answers.where(F.col("student_name").isin(*students))), threshold)
+    flag = F.col("weak_raw") if rule == "raw" else F.col("weak_rounded")
+    topic = F.struct("pct", "topic", "total", "correct")
+    per = rep.groupBy("student_name").agg(F.sort_array(F.collect_list(F.when(flag, topic))).alias("weak"))
+    status = (F.when(F.col("weak").isNull(), F.lit(STATUS_NO_HISTORY)).when(F.size("weak") == 0, F.lit(STATUS_NO_WEAK))
+              .otherwise(F.lit(STATUS_HAS_WEAK)))
+    return (asked.join(per, "student_name", "left").select("student_name", status.alias("status"), F.explode_outer("weak").alias("w"))
+            .select("student_name", "status", "w.topic", "w.total", "w.correct", "w.pct"))
+
+
+# --- distinct students from mergeable sketches ----------------------------------
+
+SKETCH_LOG2 = 12
+
+
+def sketch_error(log2: int = SKETCH_LOG2) -> float:
+    """Three standard errors of a sketch of 2^log2 cells (relative)."""
+    return 3 * 1.04 / 2 ** (log2 / 2)
+
+
+def daily_sketches(answers: DataFrame, log2: int = SKETCH_LOG2) -> DataFrame:
+    """A5/U1, opt-in — one row a day: its answers and a HyperLogLog sketch of its students.
+    Rows of days that are over never change, so only the new day is added to the table."""
+    return answers.groupBy(F.to_date("answered_at").alias("answer_date")).agg(
+        F.count(F.lit(1)).alias("total_answers"), F.hll_sketch_agg("student_name", log2).alias("students"))
+
+
+def totals_from_sketches(days: DataFrame) -> DataFrame:
+    """``class_totals`` for any set of days from their sketches; ``total_students`` is an
+    estimate within ``sketch_error`` of the exact count. The log is not read."""
+    return days.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("students")), F.lit(0)).alias("total_students"),
+                    F.coalesce(F.sum("total_answers"), F.lit(0)).alias("total_answers"))
+
+
 def leaderboard_bar(answers: DataFrame) -> DataFrame:
     """N9 — ``name bar pct (correct/total)`` per student."""
     lb = _totals(answers, "student_name").withColumn("pct", N.pct_sql("correct", "total"))

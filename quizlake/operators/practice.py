@@ -64,7 +64,29 @@ def draw(targets: DataFrame, bank: DataFrame, per_topic: int = C.QUESTIONS_PER_T
          bucket_digits: int = C.DEFAULT_CONFIG.position_bucket_digits) -> DataFrame:
     """W4 — ``per_topic`` distinct questions for every (student_name, topic) target
     (fewer only when the topic has fewer questions). Repeatable for a seed."""
-    positioned, sizes = bank_positions(bank, seed, bucket_digits)
+    return _picked(targets, *bank_positions(bank, seed, bucket_digits), per_topic, seed)
+
+
+def store_positions(bank: DataFrame, seed: str, table: str, path: str, buckets: int | None = None) -> None:
+    """W4 — the bank's positions under a seed, computed once: the table ``table``,
+    bucketed and sorted by (topic, pos), and the topic sizes in ``table``_sizes. Both
+    columns are in the bucket key, so a topic that holds most of the bank is in all buckets."""
+    positioned, sizes = bank_positions(bank, seed)
+    n = buckets or int(bank.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows of a bucket meet before they are written: one file a bucket
+    (positioned.drop("draw_key").repartition(n, "topic", "pos").write.bucketBy(n, "topic", "pos").sortBy("topic", "pos")
+     .option("path", f"{path}/positions").mode("overwrite").saveAsTable(table))
+    sizes.coalesce(1).write.option("path", f"{path}/sizes").mode("overwrite").saveAsTable(f"{table}_sizes")  # a row a topic
+
+
+def draw_stored(targets: DataFrame, table: str, per_topic: int = C.QUESTIONS_PER_TOPIC, seed: str = C.QuizConfig.seed) -> DataFrame:
+    """W4 from ``store_positions`` under the same seed: the bank is neither numbered nor
+    shuffled again, only the keys of the targets move to its buckets. Equals ``draw``."""
+    spark = targets.sparkSession
+    return _picked(targets, spark.table(table), spark.table(f"{table}_sizes"), per_topic, seed)
+
+
+def _picked(targets: DataFrame, positioned: DataFrame, sizes: DataFrame, per_topic: int, seed: str) -> DataFrame:
     t = targets.select("student_name", "topic").join(sizes, "topic")
     start = F.pmod(seeded_int(seed, "student_name", "topic"), F.col("n_topic"))
     picks = t.select(
@@ -118,6 +140,14 @@ def plain_template() -> str:
     return C.PROMPT_TEMPLATE
 
 
+def plain_prompts(asked: DataFrame) -> DataFrame:
+    """D1 — the unseeded prompt for each (topic, difficulty) asked for; an unknown level
+    gets the beginner's instruction and keeps its own name in the text."""
+    prompt = fill(plain_template(), topic=F.col("topic"), difficulty=F.col("difficulty"),
+                  diff_instruction=_instruction(F.col("difficulty"), long=True))
+    return asked.select("topic", "difficulty", prompt.alias("prompt"))
+
+
 def practice_requests(slots: DataFrame, difficulty: str = C.DEFAULT_DIFFICULTY,
                       seed: str = C.QuizConfig.seed, template: str = "seeded") -> DataFrame:
     """D1 + N20 — one generation request per (student, weak topic, slot) with its prompt."""

@@ -1,9 +1,11 @@
 """Stored model replies -> question bank, with a dead-letter output.
 
 One row per attempt ``(request_id, parse_attempt, http_try, status, raw_body)``.
-Per request the outcome is decided by ONE aggregation on ``request_id``
-(min / min_by / max_by are partial-aggregable, so a request with many rows
-never lands whole in one task) — no window, no self-join.
+The outcome of an attempt is a long chain of JSON expressions, so the outcomes are
+settled once (``settle``: staged with a row number). Per request the decision is ONE
+hash aggregation over numeric attempt keys (min / min_by / max_by of whole numbers
+are partial-aggregable, so a request with many rows never lands whole in one task);
+the winner's body or error is fetched by its row number afterwards.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import json_reply as J
+from ..session import stage
 
 OK = "parsed"
 RETRY_502 = "retry_502"
@@ -44,64 +47,69 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
     # three failed HTTP tries end the request (the inner error is not caught outside)
     outcome = F.when(retry & (F.col("http_try") >= C.MAX_HTTP_TRIES), F.lit(EXHAUSTED)).otherwise(F.col("base_outcome"))
     attempt_s = F.col("http_try").cast("string")
-    err = (F.when(F.col("base_outcome") == RETRY_502, F.concat(F.lit("502 Bad Gateway (attempt "), attempt_s, F.lit(")")))
+    err = (F.when(F.col("base_outcome") == RETRY_502, F.concat(F.lit(C.ERROR_502), attempt_s, F.lit(")")))
            .when(F.col("base_outcome") == FATAL_HTTP,
-                 F.concat(F.lit("API error "), status.cast("string"), F.lit(": "), F.coalesce("raw_body", F.lit(""))))
-           .when(F.col("base_outcome") == RETRY_EMPTY, F.concat(F.lit("Empty response from API (attempt "), attempt_s, F.lit(")")))
-           .when(F.col("base_outcome") == RETRY_ERROR, F.concat(F.lit("Unreadable response (attempt "), attempt_s, F.lit(")")))
+                 F.concat(F.lit(C.ERROR_HTTP), status.cast("string"), F.lit(": "), F.coalesce("raw_body", F.lit(""))))
+           .when(F.col("base_outcome") == RETRY_EMPTY, F.concat(F.lit(C.ERROR_EMPTY), attempt_s, F.lit(")")))
+           .when(F.col("base_outcome") == RETRY_ERROR, F.concat(F.lit(C.ERROR_UNREADABLE), attempt_s, F.lit(")")))
            .when(F.col("base_outcome") == PARSE_ERROR,
-                 F.concat(F.lit("JSON parse error (attempt "), F.col("parse_attempt").cast("string"), F.lit(")")))
+                 F.concat(F.lit(C.ERROR_PARSE), F.col("parse_attempt").cast("string"), F.lit(")")))
            .when(F.col("base_outcome") == FATAL_TYPE, F.lit("reply is not a JSON object")))
-    err = F.when(F.col("outcome") == EXHAUSTED, F.concat(F.lit("Failed after 3 attempts: "), err)).otherwise(err)
+    err = F.when(F.col("outcome") == EXHAUSTED, F.concat(F.lit(C.HTTP_GIVEN_UP), err)).otherwise(err)
     return a.withColumn("outcome", outcome).withColumn("error", err).drop("base_outcome")
 
 
+def settle(outcomes: DataFrame) -> DataFrame:
+    """The outcomes computed once and staged, each with its number ``attempt_row``.
+    Filters on them then read columns instead of repeating the parse."""
+    if "attempt_row" in outcomes.columns:
+        return outcomes
+    kept = ("request_id", "topic", "difficulty", "parse_attempt", "http_try", "outcome", "error", "parsed")
+    return stage(outcomes.select(*kept, F.monotonically_increasing_id().alias("attempt_row")), "reply-outcomes")
+
+
+def _question(*more: str) -> list:
+    return [*(F.col(f"parsed.{f}").alias(f) for f in ("question", "options", "answer", "explanation")), *more]
+
+
 def parsed_questions(outcomes: DataFrame) -> DataFrame:
     """D5 + D6 — every parsable attempt, tagged with the request's topic and difficulty."""
-    # The filter would otherwise be pushed below the projections that build
-    # the outcome, inlining the whole extract/unfence/parse chain into it many
-    # times over (a plan hundreds of times larger). A nondeterministic column
-    # (the partition id, free to compute) keeps the filter above them.
-    p = (outcomes.withColumn("_keep_filter_above", F.spark_partition_id())
-         .filter((F.col("outcome") == OK) & (F.col("_keep_filter_above") >= 0))
-         .drop("_keep_filter_above"))
-    return p.select("request_id", "parse_attempt", "http_try",
-                    F.col("parsed.question").alias("question"), F.col("parsed.options").alias("options"),
-                    F.col("parsed.answer").alias("answer"), F.col("parsed.explanation").alias("explanation"),
-                    "topic", "difficulty")
+    return settle(outcomes).where(F.col("outcome") == OK).select(
+        "request_id", "parse_attempt", "http_try", *_question("topic", "difficulty"))
 
 
 def _request_summary(outcomes: DataFrame) -> DataFrame:
-    in_budget = F.col("parse_attempt") <= C.MAX_PARSE_ATTEMPTS
-    key = F.struct("parse_attempt", "http_try")
-    fatal = in_budget & F.col("outcome").isin(FATAL_HTTP, FATAL_TYPE, EXHAUSTED)
-    ok = in_budget & (F.col("outcome") == OK)
-    question = F.struct(
-        F.col("parsed.question").alias("question"), F.col("parsed.options").alias("options"),
-        F.col("parsed.answer").alias("answer"), F.col("parsed.explanation").alias("explanation"),
-        F.col("parse_attempt"), F.col("http_try"))
-    return outcomes.groupBy("request_id", "topic", "difficulty").agg(
-        F.min(F.when(fatal, key)).alias("fatal_key"),
-        F.min(F.when(ok, key)).alias("ok_key"),
-        F.min_by(F.when(ok, question), F.when(ok, key)).alias("winner"),
-        F.min_by(F.when(fatal, F.col("error")), F.when(fatal, key)).alias("fatal_error"),
-        F.max_by(F.when(in_budget, F.col("error")), F.when(in_budget, key)).alias("last_error"),
-    ).withColumn("success", F.col("ok_key").isNotNull()
-                 & (F.col("fatal_key").isNull() | (F.col("ok_key") < F.col("fatal_key"))))
+    """One row a request: whether it succeeded, and the ``attempt_row`` that decided it."""
+    attempt = F.col("parse_attempt").cast("bigint") * F.lit(1 << 31) + F.col("http_try")
+    key = F.when(F.col("parse_attempt") <= C.MAX_PARSE_ATTEMPTS, attempt)
+    fatal = F.when(F.col("outcome").isin(FATAL_HTTP, FATAL_TYPE, EXHAUSTED), key)
+    ok = F.when(F.col("outcome") == OK, key)
+    return (outcomes.groupBy("request_id", "topic", "difficulty").agg(
+        F.min(ok).alias("ok_key"), F.min_by("attempt_row", ok).alias("ok_row"),
+        F.min(fatal).alias("fatal_key"), F.min_by("attempt_row", fatal).alias("fatal_row"),
+        F.max_by("attempt_row", key).alias("last_row"))
+        .withColumn("success", F.col("ok_key").isNotNull() & (F.col("fatal_key").isNull() | (F.col("ok_key") < F.col("fatal_key")))))
 
 
 def first_valid_reply(outcomes: DataFrame) -> DataFrame:
     """D7 — the first parsable reply within three attempts, before any fatal one."""
-    s = _request_summary(outcomes).filter("success")
-    return s.select("request_id", "topic", "difficulty", "winner.*")
+    outcomes = settle(outcomes)
+    won = _request_summary(outcomes).where("success").select("request_id", "topic", "difficulty", F.col("ok_row").alias("attempt_row"))
+    bodies = outcomes.where(F.col("outcome") == OK).select("attempt_row", *_question("parse_attempt", "http_try"))
+    return won.join(bodies, "attempt_row").drop("attempt_row")
 
 
 def failed_requests(outcomes: DataFrame) -> DataFrame:
-    """D8 — the dead-letter table: requests without a question, with the last error."""
-    s = _request_summary(outcomes).filter(~F.col("success"))
-    reason = F.when(F.col("fatal_key").isNotNull(), F.lit("fatal")).otherwise(F.lit("exhausted"))
-    return s.select("request_id", "topic", "difficulty", reason.alias("reason"),
-                    F.coalesce("fatal_error", "last_error").alias("error"))
+    """D8 — the dead-letter table: requests without a question, with the last error. A
+    request that used up its three replies says so before the error."""
+    outcomes = settle(outcomes)
+    fatal = F.col("fatal_key").isNotNull()
+    lost = _request_summary(outcomes).where(~F.col("success")).select(
+        "request_id", "topic", "difficulty", F.when(fatal, F.lit("fatal")).otherwise(F.lit("exhausted")).alias("reason"),
+        F.when(fatal, F.col("fatal_row")).otherwise(F.col("last_row")).alias("attempt_row"))
+    errors = outcomes.where(F.col("error").isNotNull()).select("attempt_row", "error")
+    given_up = F.when(F.col("reason") == "exhausted", F.concat(F.lit(C.GIVEN_UP), F.coalesce("error", F.lit("")))).otherwise(F.col("error"))
+    return lost.join(errors, "attempt_row", "left").withColumn("error", given_up).drop("attempt_row")
 
 
 def bank_quality(questions: DataFrame) -> DataFrame:

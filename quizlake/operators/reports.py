@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import pad_right
-from ..sources import answer_log
+from ..sources import answer_log, practice_json
 from . import accuracy as A
 from . import practice as P
 
@@ -35,7 +35,7 @@ def get_student_report(answers: DataFrame, student_name: str) -> DataFrame:
     line = F.concat(F.lit("  "), pad_right("topic", 20), F.lit(" | "), F.col("correct").cast("string"),
                     F.lit("/"), F.col("total").cast("string"), F.lit(" correct | "),
                     F.format_string("%5.1f", "pct"), F.lit("% | "),
-                    F.when(F.col("status") == C.STATUS_WEAK, F.lit("WEAK ⚠️")).otherwise(F.lit("OK ✅")))
+                    F.when(F.col("status") == C.STATUS_WEAK, F.lit(C.LINE_WEAK)).otherwise(F.lit(C.LINE_OK)))
     return rep.withColumn("line", line)
 
 
@@ -45,8 +45,10 @@ def get_class_summary(answers: DataFrame) -> DataFrame:
 
 
 def get_weak_topics(answers: DataFrame, student_name: str) -> DataFrame:
-    """One student's weak topics by the rounded rule, hardest first."""
-    return A.weak_topics_rounded(answers, student_name)
+    """One student's weak topics by the rounded rule, hardest first. ``status`` tells an
+    unknown name (NO_HISTORY) from a student without weak topics (NO_WEAK): one row
+    without a topic each."""
+    return A.asked_students(answers, [student_name], "rounded").orderBy("pct", "topic")
 
 
 def get_recent_activity(answers: DataFrame, limit: int = C.RECENT_LIMIT_DEFAULT) -> DataFrame:
@@ -54,13 +56,14 @@ def get_recent_activity(answers: DataFrame, limit: int = C.RECENT_LIMIT_DEFAULT)
     return answer_log.recent_activity(answers, limit)
 
 
-def render(lines: DataFrame, order_cols: list[str], header: str = "") -> DataFrame:
-    """Join the ``line`` column of a bounded result into one text, in order."""
+def render(lines: DataFrame, order_cols: list[str], header: str = "", most: int = 1000) -> DataFrame:
+    """The first ``most`` values of ``line`` in order, joined into one text."""
+    first = lines.orderBy(*order_cols).limit(most)
     items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("line"))))
     text = F.concat_ws("\n", F.transform(items, lambda x: x["line"]))
     if header:
         text = F.concat(F.lit(header + "\n"), text)
-    return lines.agg(text.alias("text"))
+    return first.agg(text.alias("text"))
 
 
 # ------------------------------------------------------------------ X2
@@ -70,8 +73,14 @@ def get_topic_breakdown(answers: DataFrame, student_name: str | None = None) ->
 
 
 def find_weak_topics(answers: DataFrame, student_name: str | None = None) -> DataFrame:
-    """Sorted weak topic names per student (raw rule); no row = no history."""
-    return A.weak_topic_list(A.for_student(answers, student_name), "raw")
+    """Sorted weak topic names (raw rule) and ``status``. For one student there is always
+    one row: NULL names without history, none without a weak topic."""
+    if student_name is None:
+        found = A.weak_topic_list(answers, "raw")
+        return found.withColumn("status", F.when(F.col("n_weak") == 0, F.lit(A.STATUS_NO_WEAK)).otherwise(F.lit(A.STATUS_HAS_WEAK)))
+    rows = A.asked_students(answers, [student_name]).groupBy("student_name", "status").agg(
+        F.sort_array(F.collect_list("topic")).alias("weak_topics"))
+    return rows.select("student_name", F.when(F.col("status") != A.STATUS_NO_HISTORY, F.col("weak_topics")).alias("weak_topics"), "status")
 
 
 def save_result(rows: DataFrame, path: str | None = None, table: str | None = None) -> None:
@@ -85,8 +94,17 @@ def save_result(rows: DataFrame, path: str | None = None, table: str | None = No
         answer_log.append(rows, path)
 
 
-def setup_database(spark, table: str, path: str) -> None:
-    answer_log.create_if_absent(spark, table, path)
+def setup_database(spark, table: str, path: str) -> list[str]:
+    """Create the answer table, or add the columns that an older one lacks (returned)."""
+    return answer_log.create_if_absent(spark, table, path)
+
+
+def save_practice_questions(questions: DataFrame, path: str, generated_on: str) -> DataFrame:
+    """Write one practice document a student (columns student_name, question_no and those
+    of a question) as JSON; returns the file name of each, as ``practice_json.manifest``."""
+    docs = practice_json.practice_documents(questions, generated_on)
+    practice_json.write_documents(docs, path)
+    return practice_json.manifest(practice_json.read_documents(questions.sparkSession, path))
 
 
 def generate_quiz_questions(targets: DataFrame, bank: DataFrame, seed: str = C.QuizConfig.seed,
