@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import accuracy as A
+from ..operators import reports as RP
+from ..session import stage
 from ..sources import standins as S
 from .standin_sql import with_standins
 
@@ -18,6 +20,22 @@ def _ans(spark, sf):
     return S.answers(spark, sf)
 
 
+ASKED = [*(f"student_{k}" for k in range(1, 31)), "nobody"]
+CONFLICT_THRESHOLD = 66.7  # 2 of 3 answers: 66.667 is below it, the rounded 66.7 is not
+
+
+def _by_sketch(spark, sf):
+    """Exact counts beside whether the estimate from daily sketches is within its bound."""
+    days = stage(A.daily_sketches(_ans(spark, sf)), "daily-sketches")
+    guess = A.totals_from_sketches(days).select(F.lit(None).cast("bigint").alias("total_students"), F.lit(None).cast("bigint").alias("total_answers"),
+                                                F.col("total_students").alias("guess"), F.col("total_answers").alias("summed"))
+    both = A.class_totals(_ans(spark, sf)).unionByName(guess, allowMissingColumns=True)
+    one = both.agg(*(F.max(c).alias(c) for c in both.columns))
+    off = F.abs(F.col("guess") - F.col("total_students"))
+    return one.select("total_students", "total_answers", (F.col("summed") == F.col("total_answers")).alias("same_answers"),
+                      (off <= F.greatest(F.lit(1.0), F.col("total_students") * A.sketch_error())).alias("within_bound"))
+
+
 SPARK = {
     "class_weak_topics": lambda spark, sf: A.class_weak_topics(_ans(spark, sf)),
     "topic_breakdown": lambda spark, sf: A.topic_breakdown(_ans(spark, sf)),
@@ -44,6 +62,13 @@ SPARK = {
         "student_name", F.to_json("accuracy").alias("accuracy")),
     "report_lines": lambda spark, sf: A.report_lines(_ans(spark, sf)),
     "leaderboard_bar": lambda spark, sf: A.leaderboard_bar(_ans(spark, sf)),
+    "asked_students": lambda spark, sf: A.asked_students(_ans(spark, sf), ASKED),
+    "asked_students_rounded": lambda spark, sf: A.asked_students(_ans(spark, sf), ASKED, "rounded"),
+    "one_student_report": lambda spark, sf: RP.get_student_report(_ans(spark, sf), ASKED[0]),
+    "list_students": lambda spark, sf: RP.list_students(_ans(spark, sf)),
+    "analysis_lines": lambda spark, sf: A.analysis_lines(_ans(spark, sf)),
+    "weak_rule_conflicts_at": lambda spark, sf: A.weak_rule_conflicts(_ans(spark, sf), CONFLICT_THRESHOLD),
+    "class_totals_by_sketch": _by_sketch,
 }
 
 _BREAKDOWN = f"SELECT student_name, topic, {TOTALS} FROM answers GROUP BY student_name, topic"
@@ -133,3 +158,42 @@ SELECT student_name, pct,
        || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ')' AS line
 FROM (SELECT student_name, {TOTALS} FROM answers GROUP BY student_name)"""),
 }
+_ASKED = "(VALUES " + ", ".join(f"('{s}')" for s in ASKED) + ") a(student_name)"
+
+
+def _asked_sql(flag: str) -> str:
+    return with_standins(f"""
+SELECT a.student_name, CASE WHEN s.n IS NULL THEN 'NO_HISTORY' WHEN s.n_weak = 0 THEN 'NO_WEAK' ELSE 'HAS_WEAK' END AS status,
+       w.topic, w.total, w.correct, w.pct
+FROM {_ASKED}
+LEFT JOIN (SELECT student_name, COUNT(*) AS n, COUNT(CASE WHEN {flag} THEN 1 END) AS n_weak FROM bd GROUP BY student_name) s
+  ON s.student_name = a.student_name
+LEFT JOIN (SELECT * FROM bd WHERE {flag}) w ON w.student_name = a.student_name""", [("bd", _BREAKDOWN)])
+
+
+ORACLE |= {
+    "asked_students": _asked_sql(f"correct * 100 < total * {T}"),
+    "asked_students_rounded": _asked_sql(f"pct < {T}"),
+    "one_student_report": with_standins(f"""
+SELECT student_name, topic, total, correct, pct, CASE WHEN pct >= {T} THEN 'OK' ELSE 'WEAK' END AS status,
+       '  ' || printf('%-20s', topic) || ' | ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' correct | '
+       || printf('%5.1f', pct) || '% | ' || CASE WHEN pct < {T} THEN '{C.LINE_WEAK}' ELSE '{C.LINE_OK}' END AS line
+FROM ({_BREAKDOWN}) WHERE student_name = '{ASKED[0]}'"""),
+    "list_students": with_standins(f"""
+SELECT *, '  ' || printf('%-15s', student_name) || ' | ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' correct | '
+       || printf('%5.1f', pct) || '% ' || badge AS line
+FROM (SELECT student_name, {TOTALS},
+       CASE WHEN {PCT} = 100 THEN '{C.BADGE_PERFECT}' WHEN {PCT} >= {T} THEN '{C.BADGE_OK}' ELSE '{C.BADGE_WARN}' END AS badge
+FROM answers GROUP BY student_name)"""),
+    "analysis_lines": with_standins(f"""
+SELECT student_name, topic, printf('%-20s', topic) || ' | ' || CAST(correct AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ' correct | '
+       || printf('%5.1f', CAST(correct AS DOUBLE) / total * 100.0) || '% | '
+       || CASE WHEN correct * 100 < total * {T} THEN '{C.ANALYSIS_WEAK}' ELSE '{C.ANALYSIS_OK}' END AS line
+FROM ({_BREAKDOWN})"""),
+    "weak_rule_conflicts_at": with_standins(f"""
+SELECT student_name, topic, total, correct, pct, correct * 100 < total * {CONFLICT_THRESHOLD} AS weak_raw,
+       pct < {CONFLICT_THRESHOLD}::DOUBLE AS weak_rounded
+FROM ({_BREAKDOWN}) WHERE (correct * 100 < total * {CONFLICT_THRESHOLD}) <> (pct < {CONFLICT_THRESHOLD}::DOUBLE)"""),
+    "class_totals_by_sketch": with_standins("""
+SELECT COUNT(DISTINCT student_name) AS total_students, COUNT(*) AS total_answers, TRUE AS same_answers, TRUE AS within_bound FROM answers"""),
+}

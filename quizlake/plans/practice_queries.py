@@ -10,13 +10,15 @@ from ..functions.template import fill_sql
 from ..operators import practice as P
 from ..operators import replies as R
 from ..operators import sessions as SE
+from ..session import scratch_path, scratch_table
 from ..sources import standins as S
 from .session_queries import _G
-from .standin_sql import STRIP_SQL, with_standins
+from .standin_sql import STANDINS, STRIP_SQL, VARIED_ATTEMPTS, with_standins
 
 SEED = C.QuizConfig.seed
 N = C.QUESTIONS_PER_TOPIC
 T = C.WEAK_THRESHOLD
+OTHER_LEVEL = "expert"  # not a level: gets the beginner's instruction
 
 
 def _weak(spark, sf):
@@ -31,6 +33,23 @@ def _outcomes(spark, sf):
     return R.attempt_outcomes(S.llm_attempts(spark, sf))
 
 
+def _varied(spark, sf):
+    return R.attempt_outcomes(S.llm_attempts_varied(spark, sf))
+
+
+def _drawn_stored(spark, sf):
+    """W4 twice from positions stored once; the second draw reads the table alone."""
+    table = scratch_table(spark, "positions")
+    P.store_positions(S.bank(spark, sf), SEED, table, scratch_path(spark, "positions"))
+    return P.draw_stored(_weak(spark, sf), table, N, SEED)
+
+
+def _asked_prompts(spark, sf):
+    asked = S.answers(spark, sf).select("topic", "difficulty").distinct()
+    other = asked.select("topic", F.lit(OTHER_LEVEL).alias("difficulty")).distinct()
+    return P.plain_prompts(asked.unionByName(other))
+
+
 def _opts(prefix=""):
     return [F.element_at(F.col(prefix + "options"), F.lit(k)).alias(f"option_{k.lower()}") for k in C.LETTERS]
 
@@ -61,6 +80,16 @@ SPARK = {
     "failed_requests": lambda spark, sf: R.failed_requests(_outcomes(spark, sf)),
     "bank_quality": lambda spark, sf: R.bank_quality(R.first_valid_reply(_outcomes(spark, sf))).select(
         "request_id", "answer", "is_valid"),
+    "attempt_outcomes_varied": lambda spark, sf: _varied(spark, sf).select(
+        "request_id", "parse_attempt", "http_try", "status", "outcome", "error"),
+    "first_valid_reply_varied": lambda spark, sf: R.first_valid_reply(_varied(spark, sf)).select(
+        "request_id", "topic", "difficulty", "question", "answer", *_opts(), "parse_attempt", "http_try"),
+    "failed_requests_varied": lambda spark, sf: R.failed_requests(_varied(spark, sf)),
+    "bank_quality_varied": lambda spark, sf: R.bank_quality(R.first_valid_reply(_varied(spark, sf))).select(
+        "request_id", "answer", "is_valid"),
+    "quiz_draw_stored": lambda spark, sf: _drawn_stored(spark, sf).select(
+        "student_name", "topic", "slot", "question_id", "question", "answer"),
+    "plain_prompts": _asked_prompts,
 }
 
 # ------------------------------------------------------------------ oracle
@@ -115,6 +144,7 @@ _REPLY = [
                             WHEN 'retry_empty' THEN 'Empty response from API (attempt ' || CAST(http_try AS VARCHAR) || ')'
                             WHEN 'retry_error' THEN 'Unreadable response (attempt ' || CAST(http_try AS VARCHAR) || ')'
                             WHEN 'parse_error' THEN 'JSON parse error (attempt ' || CAST(parse_attempt AS VARCHAR) || ')'
+                            WHEN 'retry_error' THEN '{C.ERROR_UNREADABLE}' || CAST(http_try AS VARCHAR) || ')'
                             WHEN 'fatal_type' THEN 'reply is not a JSON object' END AS err0
            FROM oc"""),
     ("outc", """SELECT *, CASE WHEN outcome = 'fatal_exhausted' THEN 'Failed after 3 attempts: ' || err0 ELSE err0 END AS error,
@@ -134,6 +164,10 @@ _REPLY = [
 ]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _opt_sql(src):
     return ", ".join(f"json_extract_string({src}, '$.options.{k}') AS option_{k.lower()}" for k in C.LETTERS)
 
@@ -176,7 +210,7 @@ SELECT request_id, topic, difficulty, json_extract_string(win_text, '$.question'
 FROM summ WHERE {_SUCCESS}""", _REPLY),
     "failed_requests": with_standins(f"""
 SELECT request_id, topic, difficulty, CASE WHEN fatal_key IS NOT NULL THEN 'fatal' ELSE 'exhausted' END AS reason,
-       COALESCE(fatal_error, last_error) AS error
+       CASE WHEN fatal_key IS NOT NULL THEN fatal_error ELSE '{C.GIVEN_UP}' || COALESCE(last_error, '') END AS error
 FROM summ WHERE NOT ({_SUCCESS})""", _REPLY),
     "bank_quality": with_standins(f"""
 SELECT request_id, answer, answer IN ('A', 'B', 'C', 'D')
@@ -185,3 +219,18 @@ SELECT request_id, answer, answer IN ('A', 'B', 'C', 'D')
          AND (SELECT COUNT(*) FROM (SELECT unnest(json_keys(win_text, '$.options')))) = 4 AS is_valid
 FROM (SELECT *, json_extract_string(win_text, '$.answer') AS answer FROM summ WHERE {_SUCCESS})""", _REPLY),
 }
+_LONG = "CASE difficulty {cases} ELSE {default} END".format(
+    cases=" ".join(f"WHEN '{lv}' THEN {_quoted(C.DIFFICULTY_INSTRUCTIONS_LONG[lv])}" for lv in C.DIFFICULTY_LEVELS),
+    default=_quoted(C.DIFFICULTY_INSTRUCTIONS_LONG[C.DEFAULT_DIFFICULTY]))
+ORACLE |= {f"{name}_varied": sql for name, sql in {
+    "attempt_outcomes": with_standins("SELECT request_id, parse_attempt, http_try, status, outcome, error FROM outc", _REPLY,
+                                      llm_attempts=VARIED_ATTEMPTS),
+    "first_valid_reply": ORACLE["first_valid_reply"].replace(STANDINS["llm_attempts"], VARIED_ATTEMPTS),
+    "failed_requests": ORACLE["failed_requests"].replace(STANDINS["llm_attempts"], VARIED_ATTEMPTS),
+    "bank_quality": ORACLE["bank_quality"].replace(STANDINS["llm_attempts"], VARIED_ATTEMPTS)}.items()}
+ORACLE |= {
+    "quiz_draw_stored": ORACLE["quiz_draw"],
+    "plain_prompts": with_standins(f"""
+SELECT topic, difficulty, {fill_sql(P.plain_template(), topic='topic', difficulty='difficulty', diff_instruction=_LONG)} AS prompt
+FROM (SELECT DISTINCT topic, difficulty FROM answers UNION ALL SELECT DISTINCT topic, '{OTHER_LEVEL}' FROM answers)"""),
+}

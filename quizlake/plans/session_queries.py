@@ -72,6 +72,7 @@ SPARK = {
         "question_id", "answer", F.element_at("options", F.col("answer")).alias("answer_text")),
     "clean_names": lambda spark, sf: clean_names(
         read_table(spark, sf, "customer").select(F.col("c_name").alias("student_name"))),
+    "clean_names_padded": lambda spark, sf: clean_names(S.padded_names(spark, sf)),
 }
 
 _NR = f"""SELECT *, upper({_STRIP.format(x='selected_raw')}) AS selected FROM responses"""
@@ -183,5 +184,11 @@ SELECT question_id, answer, CASE answer WHEN 'A' THEN opt_a WHEN 'B' THEN opt_b
                                         WHEN 'D' THEN opt_d END AS answer_text FROM bank"""),
     "clean_names": f"""
 SELECT student_name FROM (SELECT {_STRIP.format(x='c_name')} AS student_name FROM customer)
+WHERE student_name <> ''""",
+    "clean_names_padded": f"""
+SELECT student_name FROM (SELECT {_STRIP.format(x='typed')} AS student_name FROM (
+  SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN ' ' || chr(9)
+              WHEN c_custkey % 3 = 0 THEN '  ' || c_name || chr(10) WHEN c_custkey % 3 = 1 THEN chr(9) || c_name
+              ELSE c_name END AS typed FROM customer))
 WHERE student_name <> ''""",
 }

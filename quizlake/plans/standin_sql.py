@@ -71,9 +71,30 @@ STANDINS = {
   FROM conv_assistant""",
 }
 
+# the same with every outcome (standins.llm_attempts_varied): put in place of llm_attempts
+_QJSON = """CAST(to_json({{'question': text, 'options': {{'A': 'first ' || CAST(turn AS VARCHAR), 'B': 'second ' || CAST(conv_id AS VARCHAR),
+                  'C': 'third'{more}}}, 'answer': {answer}}}) AS VARCHAR)"""
+_GOOD = _QJSON.format(more=", 'D': 'none'", answer="substr('ABCD', CAST(turn % 4 AS INTEGER) + 1, 1)")
+_BODY = "CAST(to_json({{'content': [{{'type': 'text', 'text': {text}}}]}}) AS VARCHAR)"
+VARIED_ATTEMPTS = f"""
+  SELECT conv_id AS request_id, CAST((n - 1) // 3 + 1 AS INTEGER) AS parse_attempt, CAST((n - 1) % 3 + 1 AS INTEGER) AS http_try,
+         CASE kind WHEN 4 THEN 502 WHEN 5 THEN 500 WHEN 6 THEN NULL ELSE 200 END AS status,
+         CASE kind WHEN 0 THEN {_BODY.format(text='good')}
+                   WHEN 1 THEN {_BODY.format(text="'```json' || chr(10) || good || chr(10) || '```'")}
+                   WHEN 2 THEN {_BODY.format(text="substr(good, 1, length(good) // 2)")}
+                   WHEN 3 THEN {_BODY.format(text="'   '")} WHEN 4 THEN '' WHEN 5 THEN 'overloaded' WHEN 6 THEN NULL
+                   WHEN 7 THEN {_BODY.format(text="'[1, 2]'")} WHEN 8 THEN 'oops'
+                   WHEN 9 THEN {_BODY.format(text=_QJSON.format(more=", 'D': 'none'", answer="'E'"))}
+                   WHEN 10 THEN {_BODY.format(text=_QJSON.format(more='', answer="'A'"))} WHEN 11 THEN '{{"content":[]}}'
+                   ELSE CAST(to_json({{'content': [{{'type': 'image', 'text': 'x'}}, {{'type': 'text', 'text': good}}]}}) AS VARCHAR) END AS raw_body,
+         {TOPICS}[CAST(conv_id % 5 AS INTEGER) + 1] AS topic, {LEVELS}[CAST(conv_id % 3 AS INTEGER) + 1] AS difficulty
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CAST((conv_id * 7 + turn) % 13 AS INTEGER) AS kind,
+               {_GOOD} AS good FROM conversations WHERE role = 'assistant')"""
 
-def with_standins(body: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """Prefix ``body`` with every stand-in view (DuckDB inlines unused ones)."""
-    ctes = [f"{name} AS ({sql}\n)" for name, sql in STANDINS.items()]
+
+def with_standins(body: str, extra: list[tuple[str, str]] | None = None, **other: str) -> str:
+    """Prefix ``body`` with every stand-in view (DuckDB inlines unused ones); ``other``
+    puts other definitions in place of some."""
+    ctes = [f"{name} AS ({sql}\n)" for name, sql in {**STANDINS, **other}.items()]
     ctes += [f"{name} AS ({sql}\n)" for name, sql in (extra or [])]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -154,3 +154,37 @@ def test_report_bundle_matches_direct(spark, golden):
         assert {tuple(r) for r in A.topic_difficulty(golden).collect()} == {tuple(r) for r in b["topic_difficulty"].collect()}
     finally:
         b["breakdown"].unpersist()
+
+
+def test_the_three_answers_for_one_student(spark):
+    from quizlake.operators import reports as RP
+    rows = [("ana", "lists", 1)] * 3 + [("bo", "lists", 0), ("bo", "numpy", 1), ("bo", "data_types", 0)]
+    log = spark.createDataFrame(rows, "student_name string, topic string, is_correct int")
+    assert [tuple(r) for r in RP.get_weak_topics(log, "ana").select("status", "topic").collect()] == [("NO_WEAK", None)]
+    assert [tuple(r) for r in RP.get_weak_topics(log, "zed").select("status", "topic").collect()] == [("NO_HISTORY", None)]
+    assert [tuple(r) for r in RP.get_weak_topics(log, "bo").select("status", "topic").collect()] == [
+        ("HAS_WEAK", "data_types"), ("HAS_WEAK", "lists")]
+    found = {n: RP.find_weak_topics(log, n).first() for n in ("ana", "bo", "zed")}
+    assert {n: (r.weak_topics, r.status) for n, r in found.items()} == {
+        "ana": ([], "NO_WEAK"), "bo": (["data_types", "lists"], "HAS_WEAK"), "zed": (None, "NO_HISTORY")}
+    assert {(r.student_name, r.status) for r in RP.find_weak_topics(log).collect()} == {("ana", "NO_WEAK"), ("bo", "HAS_WEAK")}
+
+
+def test_render_is_bounded(spark):
+    from quizlake.operators import reports as RP
+    lines = spark.range(5000).select("id", F.format_string("line %d", "id").alias("line"))
+    text = RP.render(lines, ["id"], "head", most=3).first().text
+    assert text == "head\nline 0\nline 1\nline 2"
+
+
+def test_sketches_of_days_add_up(spark):
+    log = spark.range(60_000).select(F.concat(F.lit("s"), F.col("id") % 9000).alias("student_name"), F.lit("lists").alias("topic"),
+                                     F.expr("timestamp_ntz '2026-01-01 00:00:00' + make_dt_interval(cast(id % 30 as int))").alias("answered_at"))
+    days = A.daily_sketches(log)
+    assert days.count() == 30
+    got = A.totals_from_sketches(days).first()
+    assert got.total_answers == 60_000 and abs(got.total_students - 9000) <= 9000 * A.sketch_error()
+    none = A.totals_from_sketches(A.daily_sketches(log.limit(0))).first()
+    assert (none.total_students, none.total_answers) == (0, 0)
+    unnamed = log.withColumn("student_name", F.lit(None).cast("string"))
+    assert A.totals_from_sketches(A.daily_sketches(unnamed)).first().total_students == 0

@@ -107,3 +107,24 @@ def test_prompts(spark):
     plain = P.practice_requests(slots, "unknown-level", SEED, template="plain").collect()[0].prompt
     assert C.DIFFICULTY_INSTRUCTIONS_LONG["beginner"] in plain  # unknown level falls back
     assert plain.endswith("learning Python.")
+
+
+def test_stored_positions_draw_the_same_without_numbering_again(spark, scratch):
+    from quizlake.sources import standins as S
+    sf = "/root/testdata/sf0.001"
+    bank = S.bank(spark, sf)
+    targets = spark.range(40).select(F.concat(F.lit("s"), F.col("id")).alias("student_name")).crossJoin(bank.select("topic").distinct().limit(5))
+    table = "stored_positions"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}_sizes")
+    P.store_positions(bank, "seed", table, scratch("positions"), buckets=4)
+    cols = ["student_name", "topic", "slot", "question_id"]
+    stored = P.draw_stored(targets, table, 3, "seed").select(*cols)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, P.draw(targets, bank, 3, "seed").select(*cols).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = P.draw_stored(targets, table, 3, "seed").select(*cols)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    side = plan[plan.index("SortMergeJoin [topic"):]
+    assert "Window" not in plan and "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan and side
+    for t in (table, f"{table}_sizes"):
+        spark.sql(f"DROP TABLE {t}")
