@@ -1,36 +1,35 @@
-"""Row numbers and running sums within ordered groups, one plan for every size.
-
-A plain ``Window.partitionBy(group)`` puts a whole group in one task. Here each row
-gets blocks of its order key on several levels, from fine to coarse (``levels``:
-columns that never decrease along the order, each a coarser form of the one before).
-Windows run per (group, finest block); the totals of the blocks are carried forward
-level by level, by windows per (group, next coarser block), and joined back by key.
-So no window holds more than one block of rows or of totals, except the last, which
-holds one row for each coarsest block of a group. Results equal the plain window
-exactly for any levels (for an order key that is unique within a group). A NULL
-group is a group like any other. The columns of the input are kept apart in a struct,
-so they may have any names.
+"""Row numbers and running sums within ordered groups, whatever their sizes.
+
+A plain ``Window.partitionBy(group)`` puts a whole group in one task. That is right for
+groups of up to ``WHOLE_ROWS`` rows. The rows of a larger group get blocks of their
+order key on several levels, from fine to coarse (``levels``: columns that never
+decrease along the order, each a coarser form of the one before). Windows run per
+(group, finest block); the totals of the blocks are carried forward level by level, by
+windows per (group, next coarser block), and joined back by key. So no window holds
+more than a small group, a block of rows or a block of totals, except the last, which
+holds one row for each coarsest block of a group.
+
+The rows move once: the window's partitioning and order serve the join with the carries
+too. The list of large groups (at most rows / ``WHOLE_ROWS`` names) is staged, so that
+its size is known when it is joined. Results equal the plain window exactly for any
+levels and sizes (for an order key that is unique within a group). A NULL group is a
+group like any other. The columns of the input are kept apart in a struct, so they may
+have any names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 
-def _joined(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the other columns of ``carry``, which has a row for each ``keys``."""
-    other = [f"its_{k}" for k in keys]
-    carry = carry.withColumnsRenamed(dict(zip(keys, other, strict=True)))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)])
-    return rows.join(carry, same).drop(*other)
+WHOLE_ROWS = 100_000
 
 
 def _carry(totals: DataFrame, levels: list[str]) -> DataFrame:
     """``before_n`` and ``before_c`` of every block: rows and sum of the earlier blocks
-    of its group; ``size``: rows of the group."""
+    of its group; ``size``: rows of the group. Keys are structs, hence never NULL."""
     own, upper = levels[0], levels[1:]
     scope = ["g", *upper[:1]]
     before = Window.partitionBy(*scope).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,25 +38,34 @@ def _carry(totals: DataFrame, levels: list[str]) -> DataFrame:
         return inner.withColumn("size", F.sum("n").over(Window.partitionBy("g")).cast("bigint"))
     coarse = _carry(totals.groupBy("g", *upper).agg(F.sum("n").alias("n"), F.sum("c").alias("c")), upper)
     coarse = coarse.select(*scope, F.col("before_n").alias("up_n"), F.col("before_c").alias("up_c"), "size")
-    return (_joined(inner, coarse, scope).withColumn("before_n", F.col("before_n") + F.col("up_n"))
+    return (inner.join(coarse, scope).withColumn("before_n", F.col("before_n") + F.col("up_n"))
             .withColumn("before_c", F.col("before_c") + F.col("up_c")).drop("up_n", "up_c"))
 
 
-def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, levels: list[Column],
-                   number: str = "_rn", running: str = "_cum", size: str = "_size") -> DataFrame:
+def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, levels: list[Column], number: str = "_rn",
+                   running: str = "_cum", size: str = "_size", whole_rows: int | None = None) -> DataFrame:
     """Adds ``number`` (1-based position in the group by ``order``), ``running`` (sum of
-    ``value`` up to and including the row) and ``size`` (rows of the group)."""
+    ``value`` up to and including the row) and ``size`` (rows of the group). ``df`` is
+    read twice, the first time for its group column alone."""
+    whole_rows = WHOLE_ROWS if whole_rows is None else whole_rows
+    g = F.struct(F.col(group).alias("k"))
+    large = stage(df.select(g.alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_rows)
+                  .select("g", F.lit(True).alias("large")), "large-groups")
     names = [f"b{k}" for k in range(len(levels))]
     keys = [f"o{k}" for k in range(len(order))]
-    rows = df.select(F.struct("*").alias("row"), F.col(group).alias("g"), F.col(value).cast("bigint").alias("v"),
+    rows = df.select(F.struct("*").alias("row"), g.alias("g"), F.col(value).cast("bigint").alias("v"),
                      *(level.alias(n) for level, n in zip(levels, names, strict=True)),
                      *(F.col(o).alias(k) for o, k in zip(order, keys, strict=True)))
-    totals = rows.groupBy("g", *names).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("c"))
+    rows = rows.join(large, "g", "left").withColumns({n: F.struct(F.when(F.col("large"), F.col(n)).alias("k")) for n in names})
+    totals = rows.where("large").groupBy("g", *names).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("c"))
     carry = _carry(totals, names).select("g", names[0], "before_n", "before_c", "size")
-    w = Window.partitionBy("g", names[0]).orderBy(*keys)
+    whole = Window.partitionBy("g", names[0])
+    w = whole.orderBy(*keys)
     local = rows.select("row", "g", names[0], F.row_number().over(w).alias("ln"),
-                        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lc"))
-    out = _joined(local, carry, ["g", names[0]])
+                        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lc"),
+                        F.count(F.lit(1)).over(whole).alias("ls"))
+    out = local.join(carry, ["g", names[0]], "left")
     kept = [c for c in df.columns if c not in (number, running, size)]
-    return out.select(*(F.col("row")[c].alias(c) for c in kept), (F.col("ln") + F.col("before_n")).cast("bigint").alias(number),
-                      (F.col("lc") + F.col("before_c")).cast("bigint").alias(running), F.col("size").alias(size))
+    zero = F.lit(0).cast("bigint")
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), (F.col("ln") + F.coalesce("before_n", zero)).alias(number),
+                      (F.col("lc") + F.coalesce("before_c", zero)).alias(running), F.coalesce("size", "ls").alias(size))

@@ -23,8 +23,8 @@ def _plain(df):
             .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("session_id"))))
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 10**9])
-def test_equals_the_plain_window_for_every_block_width(spark, width):
+@pytest.mark.parametrize("width, whole", [(1, 0), (7, 100), (100, 0), (10**9, 55), (100, 10**9)])
+def test_equals_the_plain_window_for_every_block_width(spark, width, whole):
     hot = spark.range(3000).select(F.when(F.col("id") % 50 != 0, F.lit(1)).alias("session_id"), (F.col("id") % 17).alias("k1"),
                                    F.col("id").alias("k2"), (F.col("id") % 3 == 0).cast("int").alias("v"))  # 60 rows without a group
     cold = spark.range(500).select((F.col("id") % 50 + 2).alias("session_id"), (F.col("id") % 5).alias("k1"),
@@ -33,7 +33,7 @@ def test_equals_the_plain_window_for_every_block_width(spark, width):
     unique = spark.range(900).select(F.lit(99).cast("bigint").alias("session_id"), F.col("id").alias("k1"), (F.col("id") * 7919 % 1000).alias("k2"),
                                      (F.col("id") % 5 == 0).cast("int").alias("v"))
     df = hot.unionByName(cold).unionByName(unique).repartition(6).withColumn("g", F.lit("x")).withColumn("b0", F.lit(1)).withColumn("size", F.lit(2))
-    got = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", [F.struct("k1", F.floor(F.col("k2") / width)), F.floor(F.col("k1") / 3)])
+    got = O.ordered_prefix(df, "session_id", ["k1", "k2"], "v", [F.struct("k1", F.floor(F.col("k2") / width)), F.floor(F.col("k1") / 3)], whole_rows=whole)
     assert _rows(got) == _rows(_plain(df))
 
 
@@ -42,6 +42,7 @@ def test_sessions_do_not_depend_on_the_block_width(spark, monkeypatch):
     order = [*SE.ORDER, "supplier_key", "quantity", "price"]
     seen = []
     for width in (1, 50, 65_536):
+        monkeypatch.setattr(O, "WHOLE_ROWS", width // 25)
         monkeypatch.setattr(SE, "BLOCK_KEYS", width)
         monkeypatch.setattr(SE, "BLOCK_SLOTS", max(1, width // 25))
         out = SE.running_score(graded, order).select("session_id", "question_id", "question_no", "score_before")
