@@ -23,13 +23,14 @@ ignored; an empty table gives files without segments and an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,34 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)  # 0 for 0
 
 
+def _places(w: int):
+    """(number, word of 64 bits, shift) of the values of ``w`` bits of a block."""
+    return [(j, j * w // 64, j * w % 64) for j in range(BLOCK)]
+
+
+def _pack_bits(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of 16 * w bytes with the low ``w`` bits of the 128 values of each row."""
+    v = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << w) - 1)
+    words = np.zeros((BLOCK * w // 64, v.shape[1]), dtype=np.uint64)
+    for j, k, shift in _places(w):
+        words[k] |= v[j] << np.uint64(shift)
+        if shift + w > 64:
+            words[k + 1] |= v[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)
+
+
+def _unpack_bits(packed: np.ndarray, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").T)
+    v = np.empty((BLOCK, words.shape[1]), dtype=np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for j, k, shift in _places(w):
+        x = words[k] >> np.uint64(shift)
+        if shift + w > 64:
+            x = x | words[k + 1] << np.uint64(64 - shift)
+        v[j] = x & mask
+    return v.T
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(block starts, body) of an array of u32."""
     blocks = -(-len(ids) // BLOCK)
@@ -58,7 +87,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     low = v.min(axis=1, initial=2**32 - 1) if blocks else np.zeros(0, np.uint32)
     d = v - low[:, None]
     width = _bits(np.sort(d, axis=1)[:, int(PERCENTILE * (BLOCK - 1))])
-    over = (d.astype(np.uint64) >> width[:, None].astype(np.uint64)) != 0
+    over = d > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_over = over.sum(axis=1)
     size = 6 + BLOCK // 8 * width.astype(np.int64) + 5 * n_over
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -67,13 +96,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     body[at[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
     body[at + 4], body[at + 5] = width, n_over
     for w in np.unique(width):
-        if not w:
-            continue
-        rows = np.flatnonzero(width == w)
-        for part in np.array_split(rows, -(-len(rows) // 1024)):
-            bit = (d[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bit.astype(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-            body[at[part][:, None] + 6 + np.arange(packed.shape[1])] = packed
+        if w:
+            rows = np.flatnonzero(width == w)
+            for part in np.array_split(rows, -(-len(rows) // 4096)):
+                packed = _pack_bits(d[part], int(w))
+                body[at[part][:, None] + 6 + np.arange(packed.shape[1])] = packed
     block, place = np.nonzero(over)
     rank = np.arange(len(block)) - np.searchsorted(block, block)
     tail = at[block] + 6 + BLOCK // 8 * width[block].astype(np.int64)
@@ -93,13 +120,8 @@ def unpack(start: np.ndarray, body, n: int) -> np.ndarray:
         if not w:
             continue
         rows = np.flatnonzero(width == w)
-        for part in np.array_split(rows, -(-len(rows) // 1024)):
-            packed = b[at[part][:, None] + 6 + np.arange(BLOCK // 8 * int(w))]
-            bit = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, int(w))
-            value = np.zeros((len(part), BLOCK), dtype=np.uint32)
-            for k in range(int(w)):
-                value |= bit[:, :, k].astype(np.uint32) << np.uint32(k)
-            d[part] = value
+        for part in np.array_split(rows, -(-len(rows) // 4096)):
+            d[part] = _unpack_bits(b[at[part][:, None] + 6 + np.arange(BLOCK // 8 * int(w))], int(w))
     block = np.repeat(np.arange(len(at)), n_over)
     rank = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     tail = at[block] + 6 + BLOCK // 8 * width[block].astype(np.int64)
@@ -132,69 +154,121 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if z else int(k) for k, z in zip(key, null, strict=True)], end, ids
 
 
+def read_ids(data: bytes, first: int, last: int) -> np.ndarray:
+    """Ids ``first`` to ``last`` (exclusive) of a segment, reading only the blocks that
+    hold them: their places come from the block index."""
+    magic, n, docs, blocks = HEAD.unpack_from(data)
+    if magic != MAGIC:
+        raise ValueError("not a token segment")
+    first, last = max(0, first), min(n, last)
+    if first >= last:
+        return np.zeros(0, np.uint32)
+    at = HEAD.size + 17 * docs
+    k, end = first // BLOCK, -(-last // BLOCK)
+    start = np.frombuffer(data, "<u8", end - k + 1, at + 8 * k).astype(np.int64)
+    body = memoryview(data)[at + 8 * (blocks + 1):][start[0]:start[-1]]
+    return unpack(start - start[0], body, (end - k) * BLOCK)[first - k * BLOCK:last - k * BLOCK]
+
+
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_SYMBOL, _WORD = np.zeros(256, bool), np.zeros(256, bool)
+_SYMBOL[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # not ' (contractions), nor < | > (names of special tokens)
+_WORD[list(range(0x61, 0x7B)) + list(range(0x30, 0x3A))] = True
+
+
+def _apart(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A folded text with a space put before the symbols that end a unit, where they
+    follow an ASCII letter or digit or a Latin-1 letter (a token always ends there), and
+    the places of these spaces. The text ends with a space."""
+    symbol = _SYMBOL[text]
+    p = np.flatnonzero(symbol[1:] & ~symbol[:-1]) + 1
+    last, before = text[p - 1], text[np.maximum(p - 2, 0)]
+    p = p[_WORD[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]
+    other = np.flatnonzero(~symbol)  # the run of symbols ends with a space
+    p = p[text[other[np.searchsorted(other, p)]] == 32]
+    return np.insert(text, p, 32), p
+
+
+def _encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class UnitEncoder:
-    """Whole texts by a tokenizer that drops white space and case: no token spans
-    a space or line end, so the units between them are encoded once each, A-Z
-    lower-cased; a unit that is a word and one mark, as those two."""
+    """Whole texts by a tokenizer that drops white space and case: no token spans a
+    space or line end, so the units between them are encoded once each, A-Z
+    lower-cased. A part's units are dictionary-encoded in one array; each different
+    unit has its ids in one flat table, and the part's ids are gathered from there."""
 
     def __init__(self, tokenizer_json: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.units: dict[bytes, bytes] = {b"": b""}  # ids as little-endian u32
-        self.words: dict[bytes, bytes] = {}
+        bare = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))  # the same merges; nothing else acts on lower-case ASCII letters
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
         self.closing[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]):
-        """Ids of each word. Words of letters alone are encoded many to a text and
-        told apart by their closing tokens."""
-        plain = [w for w in words if w.isalpha()]
-        groups = [plain[k:k + 256] for k in range(0, len(plain), 256)]
-        other = [w for w in words if not w.isalpha()]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            ends = ((np.flatnonzero(self.closing[ids]) + 1) * 4).tolist()
-            raw = np.array(ids, dtype="<u4").tobytes()
-            if len(ends) != len(group) or ends[-1] != len(raw):
-                other += group
-                continue
-            start = 0
-            for w, end in zip(group, ends, strict=True):
-                yield w, raw[start:end]
-                start = end
-        for w, ids in zip(other, self._encode(other), strict=True):
-            yield w, np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, units: list[bytes]) -> None:
-        cut = {u: (u[:-1], u[-1:]) if u[-1:] in b".,;:!?" and u[:-1].isalpha() else (u,) for u in units}
-        used = set(chain.from_iterable(cut.values()))
-        new = sorted(used.difference(self.words))
-        if len(self.words) + len(new) > MEMO_ENTRIES:
-            self.words = {w: self.words[w] for w in used.intersection(self.words)}
-        words = self.words
-        for w, ids in self._words([w.decode() for w in new]):
-            words[w.encode()] = ids
-        for u, found in cut.items():
-            self.units[u] = words[u] if len(found) == 1 else words[found[0]] + words[found[1]]
-
-    def encode_all(self, texts: list[str | None]):
-        """The ids of each text, as little-endian u32."""
-        cut = []
-        for t in texts:
-            raw = (t or "").encode()
-            cut.append((raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ").split(b" "))
-        wanted = set(chain.from_iterable(cut))
-        new = wanted.difference(self.units)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[bytes, int] = {b" ": 0}  # number of each unit (with its space)
+        self.table, self.start = np.zeros(0, np.uint32), np.zeros(2, np.int64)  # ids of unit k: start[k] to start[k + 1]
+
+    def _learn(self, units: pa.Array) -> None:
+        """New units get the next numbers. Those of letters alone are encoded many to a
+        text and told apart by their closing tokens."""
+        plain = pc.utf8_is_alpha(pc.utf8_rtrim(units, " "))
+        ascii_only = pc.and_(plain, pc.string_is_ascii(units))
+        other = units.filter(pc.invert(plain)).to_pylist()
+        known, sizes, ids = [], [], []
+        for tokenizer, chosen in ((self.bare, ascii_only), (self.tokenizer, pc.and_not(plain, ascii_only))):
+            words = units.filter(chosen).to_pylist()
+            groups = [words[k:k + 256] for k in range(0, len(words), 256)]
+            for group, found in zip(groups, _encode(tokenizer, ["".join(g) for g in groups]), strict=True):
+                ends = np.flatnonzero(self.closing[found]) + 1
+                if len(ends) != len(group) or ends[-1] != len(found):
+                    other += group
+                    continue
+                known += group
+                sizes.append(np.diff(ends, prepend=0))
+                ids.append(found)
+        for unit, found in zip(other, _encode(self.tokenizer, other), strict=True):
+            known.append(unit)
+            sizes.append([len(found)])
+            ids.append(found)
+        at = len(self.start) - 1
+        self.units.update(zip([u.encode() for u in known], range(at, at + len(known)), strict=True))
+        self.table = np.concatenate([self.table, *ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([[], *sizes]).astype(np.int64))])
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, end of each text)."""
+        raw = [(t or "").encode().translate(_SPACES) + b" " for t in texts]
+        text = np.frombuffer(b"".join([r if b"<|" in r else r.translate(_LOWER) for r in raw]), dtype=np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        text, moved = _apart(text)
+        ends += np.searchsorted(moved, ends)
+        cuts = np.flatnonzero(text == 32) + 1
+        offsets = np.concatenate([[0], cuts]).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+        coded = units.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        number = [self.units.get(u, -1) for u in values]
+        new = np.flatnonzero(np.array(number, dtype=np.int64) < 0)
         if len(self.units) + len(new) > MEMO_ENTRIES:
-            self.units = {b"": b""} | {u: self.units[u] for u in wanted.difference(new)}
-        self._learn(list(new))
-        units = self.units
-        for x in cut:
-            yield b"".join([units[u] for u in x])
+            self._forget()
+            new = np.flatnonzero([u != b" " for u in values])
+            number = [0] * len(values)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)).cast(pa.large_string()))
+            for k in new.tolist():
+                number[k] = self.units[values[k]]
+        unit = np.array(number, dtype=np.int64)[coded.indices.to_numpy()]
+        first, size = self.start[unit], self.start[unit + 1] - self.start[unit]
+        after = np.cumsum(size)
+        ids = self.table[np.repeat(first - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        return ids, after[np.searchsorted(cuts, ends)] if len(ends) else ends
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -216,7 +290,7 @@ READ = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_
 
 
 def _write(batches, tokenizer, end_id):
-    enc, part, end_mark = _encoder(tokenizer.value), TaskContext.get().partitionId(), struct.pack("<I", end_id)
+    enc, part = _encoder(tokenizer.value), TaskContext.get().partitionId()
     seq, first, keys, docs, held = 0, 0, [], [], 0
 
     def flush():
@@ -229,8 +303,9 @@ def _write(batches, tokenizer, end_id):
 
     for b in batches:
         for p in small_parts(b, 1):
-            for key, ids in zip(p.column(0).to_pylist(), enc.encode_all(p.column(1).to_pylist()), strict=True):
-                x = np.frombuffer(ids + end_mark, dtype="<u4")
+            ids, ends = enc.encode_all(p.column(1).to_pylist())
+            ids = np.insert(ids, ends, end_id)
+            for key, x in zip(p.column(0).to_pylist(), np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1]), strict=True):
                 keys.append(key)
                 docs.append(x)
                 held += len(x)

@@ -89,6 +89,32 @@ def test_blocks_round_trip():
         assert (token_files.unpack(start, body, n) == ids).all()
 
 
+def test_a_segment_is_read_by_its_block_index():
+    rnd = np.random.default_rng(4)
+    docs = [rnd.integers(0, 2**rnd.integers(1, 32), n).astype(np.uint32) for n in (700, 0, 1, 3000, 128, 256)]
+    data, ids = token_files.write_segment([5, None, 7, 8, 9, 10], docs), np.concatenate(docs)
+    assert (token_files.read_segment(data)[2] == ids).all()
+    for first, last in [(0, 1), (127, 129), (128, 256), (1000, 1003), (0, len(ids)), (len(ids) - 1, len(ids) + 9), (40, 40), (-3, 2)]:
+        assert (token_files.read_ids(data, first, last) == ids[max(0, first):last]).all()
+    head = token_files.HEAD.size + 17 * 6  # blocks that are not asked for are not looked at
+    starts = np.frombuffer(data, "<u8", -(-len(ids) // 128) + 1, head)
+    body = head + 8 * len(starts)
+    broken = bytearray(data)
+    broken[body:body + int(starts[7])] = b"\xff" * int(starts[7])
+    assert (token_files.read_ids(bytes(broken), 7 * 128, 8 * 128) == ids[7 * 128:8 * 128]).all()
+
+
+def test_units_with_marks_symbols_and_special_names():
+    enc = token_files.UnitEncoder(Q.read_bytes("word_bpe_49k.json"))
+    rnd = random.Random(11)
+    parts = ["word", "Été", "don't", "i'LL", "x1y2", "...", "$$$", "%%%", "é", "×", "a×", "ÇA", "ß", "<|endoftext|>", "<|", "|>", "endoftext|>", "e\u0301",
+             "日本", "ﬁ", "🎉", "ΑΣ", ".", ",", "'s", "''", "-", "--", "\t", "\u00a0", "\x85", "\u2028", "İ", "ǅ", "٣", "½", "\x00", "a.b", "U.S."]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", "", " ", "\n"]) for _ in range(rnd.randrange(12))) for _ in range(4000)] + [None, "", " "]
+    ids, ends = enc.encode_all(texts)
+    for t, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+        assert got.tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
 def base_counts(text):
     w = re.findall(WORD, text or "")
     windows = [tuple(w[k:k + 5]) for k in range(len(w) - 4)]
