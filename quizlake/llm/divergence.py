@@ -42,7 +42,7 @@ from .common import fold_table, growing_tables, map_arrow, pieces
 FOLD = fold_table(lambda b: b >= 0x80 or chr(b).isalpha())
 UNIT, PRIOR = 1_000_000_000, 5
 HELD_TERMS = 300_000  # counted terms a task holds before it passes them on (memory bound only)
-CELL_ENTRIES = 1 << 20  # postings of one cell
+CELL_ENTRIES = 1 << 17  # postings of one cell
 ROW_GROUPS = 1 << 10  # groups whose rows one cell accumulates
 SCATTER = 1 << 20  # postings scattered at a time
 
