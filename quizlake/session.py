@@ -121,4 +121,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table of a frame that ``stage`` returned and that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _SCRATCH[sc.applicationId].remove(df._staged_at)
