@@ -2,8 +2,9 @@
 
 ``prefix_sums``  global running totals from a range sort and per-partition totals
 ``components``   connected components of an edge table (large-star / small-star)
-``tile pairs``   blocks of rows, each stored as one Arrow record batch, and the
-                 pairs of blocks whose key intervals can hold a linked pair
+``tile_links``   blocks of rows, each stored as one Arrow record batch, and the links
+                 found in and between blocks whose key intervals can hold a pair
+``grid_cells``   query blocks against all blocks, dealt over a grid
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import stage
+from ..session import drop_stage, stage
 
 _SHIPPED: set[str] = set()
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20  # of one Arrow batch between Spark and Python
@@ -60,6 +61,14 @@ def growing_tables():
         gc.enable()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the
     body (or a lambda in it) refers to it."""
@@ -154,16 +163,16 @@ def prefix_sums(df: DataFrame, keys: list[str], values: list[str], name: str,
 
 # --- connected components -----------------------------------------------------
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the
     smallest node id of the component. Large-star / small-star rounds until the
-    edge table no longer changes; no round makes more rows than it has edges
-    (twice that for the small star), and hot centres are reduced by a map-side
-    minimum before their join."""
+    edge table no longer changes (about log n rounds); no round makes more rows than
+    it has edges (twice that for the small star), and hot centres are reduced by a
+    map-side minimum before their join. A round's table goes when the next is written."""
     e = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
               name)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break
@@ -177,9 +186,8 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")),
                                            F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("x"))
                  .select("x.a", "x.b").where("a <> b").distinct())
-        e = stage(small, name)
-    else:
-        raise RuntimeError("components did not settle")
+        before, e = e, stage(small, name)
+        drop_stage(before)
     members = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return members.union(e.select(F.col("a"), F.col("a")).distinct())
 
@@ -241,22 +249,30 @@ def cut_tiles(df: DataFrame, name: str, order: list[str], split_bands: bool = Tr
                            tile_bytes=tile_bytes), name)
 
 
-def tile_pairs(tiles: DataFrame, reach: list[int], near) -> DataFrame:
-    """(left_rows, right_rows) for the different tiles that share a band (or
-    lie ``reach`` bands apart) and for which ``near(l, r)``, a condition on the
-    intervals, holds. An equi-join on the band over one small row a tile; the
-    blocks are attached by tile id afterwards."""
-    meta = tiles.select("tile", "lo", "hi", "first_band", "last_band")
+GROUP_TILES = 8  # consecutive tiles that travel together
+
+
+def tile_cells(tiles: DataFrame, reach: list[int], near) -> DataFrame:
+    """(left, right, kind, and a tile's columns), sorted by cell and kind: for each two
+    groups of consecutive tiles that share a band (or lie ``reach`` bands apart) and for
+    which ``near`` holds on their intervals, the tiles of the left group (kind 0) and of
+    the right one (kind 1). A tile is sent once for each group that is near its own, not
+    for each tile. The pairing is an equi-join on the band over one small row a group."""
+    grouped = tiles.withColumn("group", F.shiftright("tile", GROUP_TILES.bit_length() - 1))
+    meta = grouped.groupBy("group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first_band").alias("first_band"),
+                                        F.max("last_band").alias("last_band"))
     ends = meta.withColumn("band", F.explode(F.array_distinct(F.array("first_band", "last_band"))))
-    left = ends.select(F.col("band"), *(F.col(c).alias(f"l_{c}") for c in ("tile", "lo", "hi")))
+    left = ends.select(F.col("band"), *(F.col(c).alias(f"l_{c}") for c in ("group", "lo", "hi")))
     right = (ends.withColumn("step", F.explode(F.array(*(F.lit(x) for x in reach))))
-             .select((F.col("band") - F.col("step")).alias("band"), *(F.col(c).alias(f"r_{c}") for c in ("tile", "lo", "hi"))))
-    pairs = (left.join(right, "band").where(F.col("l_tile") < F.col("r_tile"))
-             .where(near(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select("l_tile", "r_tile").distinct())
-    body = tiles.select("tile", "rows")
-    return (pairs.join(body.select(F.col("tile").alias("l_tile"), F.col("rows").alias("left_rows")), "l_tile")
-            .join(body.select(F.col("tile").alias("r_tile"), F.col("rows").alias("right_rows")), "r_tile")
-            .select("left_rows", "right_rows"))
+             .select((F.col("band") - F.col("step")).alias("band"), *(F.col(c).alias(f"r_{c}") for c in ("group", "lo", "hi"))))
+    pairs = (left.join(right, "band").where(near(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")))
+             .select(F.least("l_group", "r_group").alias("left"), F.greatest("l_group", "r_group").alias("right")).distinct())
+    columns = ["tile", "lo", "hi", "first_band", "last_band", "rows"]
+    body = grouped.select("group", *columns)
+    sides = [pairs.join(body, F.col(side) == F.col("group")).select("left", "right", F.lit(kind).alias("kind"), *columns)
+             for kind, side in enumerate(("left", "right"))]
+    return (sides[0].unionByName(sides[1].where("left <> right")).repartition("left", "right")
+            .sortWithinPartitions("left", "right", "kind", "tile"))
 
 
 def grid_cells(queries: DataFrame, tiles: DataFrame, extra: str, same_band: bool, pack_tiles: int = 64, shard_tiles: int = 64) -> DataFrame:
@@ -357,16 +373,32 @@ def _within(batches):
             yield _link_rows(_column(block, "fp").to_numpy(), local[i], i, _column(block, "links").to_numpy())
 
 
-def _across(batches, link):
+def _across(batches, link, near, reach):
+    """Links of the tile pairs of each cell; the left group's tiles are held, those of the
+    right group stream by. A cell of one group with itself pairs its tiles as they come."""
+    cell, held = None, []
     for b in batches:
         for k in range(b.num_rows):
-            left, right = read_block(b.column(0)[k].as_py()), read_block(b.column(1)[k].as_py())
-            fp, local = (np.concatenate([_column(x, n).to_numpy() for x in (left, right)]) for n in ("fp", "local"))
-            local[left.num_rows:] += left.num_rows
-            forest = Forest(local)
-            link(left, right, forest)
-            e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-            yield _link_rows(fp, e[:, 0], e[:, 1], forest.links)
+            one, two, kind, _, lo, hi, first, last, rows = (c[k].as_py() for c in b.columns)
+            if (one, two) != cell:
+                cell, held = (one, two), []
+            at, block = {"lo": lo, "hi": hi, "first": first, "last": last}, read_block(rows)
+            for other, left in held if kind or one == two else ():
+                if max(first, other["first"]) - min(last, other["last"]) > max(reach) or not near(other.get, at.get):
+                    continue
+                fp, local = (np.concatenate([_column(x, n).to_numpy() for x in (left, block)]) for n in ("fp", "local"))
+                local[left.num_rows:] += left.num_rows
+                forest = Forest(local)
+                link(left, block, forest)
+                e = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+                yield _link_rows(fp, e[:, 0], e[:, 1], forest.links)
+            if not kind:
+                held.append((at, block))
+
+
+def anywhere(l, r):  # noqa: E741
+    """A ``near`` that holds for all tiles that share a band."""
+    return l("lo") == l("lo")
 
 
 def tile_links(tiles: DataFrame, name: str, reach: list[int], near, link) -> DataFrame:
@@ -374,6 +406,8 @@ def tile_links(tiles: DataFrame, name: str, reach: list[int], near, link) -> Dat
     linked rows, links 0, and for rows with counted links (a = b) their number
     from one tile or tile pair.
 
+    ``near(l, r)`` tells from the intervals, by ``l("lo")`` and so on, whether two tiles
+    (or groups of tiles) can hold a linked pair; it works on columns and on numbers.
     ``link(left, right, forest)`` compares two blocks (right None: the rows of one
     block). Tiles settle their own groups first; a tile pair then returns an edge
     only where it joins two groups, so a group of g rows in t tiles makes about
@@ -381,4 +415,4 @@ def tile_links(tiles: DataFrame, name: str, reach: list[int], near, link) -> Dat
     """
     settled = stage(map_arrow(tiles, _settled, TILE_SCHEMA, link=link), name)
     within = map_arrow(settled.select("rows"), _within, LINKS)
-    return within.unionByName(map_arrow(tile_pairs(settled, reach, near), _across, LINKS, link=link))
+    return within.unionByName(map_arrow(tile_cells(settled, reach, near), _across, LINKS, link=link, near=near, reach=reach))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .common import components, cut_tiles, map_arrow, tile_links
+from .common import anywhere, components, cut_tiles, map_arrow, tile_links
 
 SLACK = 1e-9  # over the rounding of any double computation below
 QUANT = T.StructType([T.StructField("band", T.LongType()), T.StructField("pos", T.DoubleType()), T.StructField("fp", T.LongType()),
@@ -146,6 +146,10 @@ def _exact(left, right, forest, threshold):
                 forest.link(int(rows[i[r]]), rows[two[y[x == r]]])
 
 
+def _close(l, r, apart: float):
+    return (r("lo") - l("hi") <= apart) & (l("lo") - r("hi") <= apart)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int = 2048, id_col: str = "vec_id",
                     vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest
@@ -156,32 +160,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile_rows: int
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     fine = (F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True))
             & F.exists(wide, lambda x: x != 0.0))
-    rows = rows.withColumn("fp", F.when(fine, F.xxhash64(F.col("label"), F.col("vector"))))
-    keyed = stage(rows.select("vec_id", "fp"), "embed-rows")
+    # 128 bits tell vectors apart; a class then gets a number of its own
+    rows = rows.select("vec_id", "label", "vector", F.when(fine, F.xxhash64(F.lit(1), "label", "vector")).alias("k1"),
+                       F.when(fine, F.xxhash64("vector", "label", F.lit(2))).alias("k2"))
+    keyed = stage(rows.select("vec_id", "k1", "k2"), "embed-rows")
     group = F.xxhash64(F.col("label"), F.size("vector"))
-    classes = stage(rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"),
-                                                                  F.first(group).alias("band"), F.first("vector").alias("vector")),
-                    "embed-classes")
+    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(
+        F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first(group).alias("band"), F.first("vector").alias("vector"))
+    classes = stage(classes.withColumn("fp", F.monotonically_increasing_id()), "embed-classes")
     small = map_arrow(classes.select("band", "fp", "vector"), _quantise, QUANT)
     tiles = cut_tiles(small, "embed-tiles", ["band", "pos", "fp"], tile_rows=tile_rows)
     apart = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # unit vectors of a linked pair are no farther apart
-    near = tile_links(tiles, "embed-settled", [0], lambda l, r: (r("lo") - l("hi") <= apart) & (l("lo") - r("hi") <= apart),
+    near = tile_links(tiles, "embed-settled", [0], partial(_close, apart=apart),
                       partial(_candidates, threshold=threshold))
     maybe = components(near, "embed-candidates")
     full = classes.join(maybe, F.col("fp") == F.col("node")).select(
         F.col("root").alias("band"), F.lit(0.0).alias("pos"), "fp", "root", "copies", "vector")
     exact = cut_tiles(full, "embed-exact", ["band", "fp"], split_bands=False, tile_rows=tile_rows // 2)
-    found = stage(tile_links(exact, "embed-verified", [0], lambda l, r: F.lit(True), partial(_exact, threshold=threshold)), "embed-links")
+    found = stage(tile_links(exact, "embed-verified", [0], anywhere, partial(_exact, threshold=threshold)), "embed-links")
     roots = components(found.select("a", "b"), "embed-components")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
-    per_class = (classes.select("fp", "copies", "first_id").join(roots, F.col("fp") == F.col("node"), "left")
+    per_class = (classes.select("k1", "k2", "fp", "copies", "first_id").join(roots, F.col("fp") == F.col("node"), "left")
                  .join(links, F.col("fp") == F.col("a"), "left")
-                 .select("fp", F.coalesce("root", "fp").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+                 .select("k1", "k2", F.coalesce("root", "fp").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
                          "first_id"))
     per_class = stage(per_class, "embed-per-class")
     lowest = per_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = per_class.join(lowest, "root").select(F.col("fp").alias("_fp"), "links", "component_id")
-    out = keyed.join(by_class, F.col("fp") == F.col("_fp"), "left")
-    component = F.when(F.col("fp").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    # staged, so that a class with very many copies is a skewed join that can be split
+    by_class = stage(per_class.join(lowest, "root").select("k1", "k2", "links", "component_id"), "embed-by-class")
+    out = keyed.join(by_class, ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -2,8 +2,8 @@
 
 Training counts, for each language, the bytes that follow every context of up to
 three bytes, over a bounded sample of labelled documents (``sample_rows`` a
-language, drawn by a hash of the id; counted by Spark, summed by n-gram). The
-frozen model is a tree of variable-order contexts: a context stays if it was
+language, drawn by a hash of the id; counted by Spark, summed by n-gram; so the
+model has at most 3 x sample bytes / ``least`` contexts). The frozen model is a tree of variable-order contexts: a context stays if it was
 seen ``least`` times. In a context, a language codes a byte it has seen there by
 its count over (total + distinct), and escapes with distinct / (total + distinct)
 to the next shorter context otherwise, among the bytes not seen in the longer
@@ -30,9 +30,7 @@ from .common import map_arrow, small_parts
 
 ORDER, PAD = 3, b"\n\n\n"
 SAMPLE_ROWS = 3000   # labelled rows a language, expected
-LEAST = 12           # times a context was seen, in all languages
-SYMBOLS = 127        # bytes with a symbol of their own, most frequent first; one more stands for the rest
-MAX_CONTEXTS = 12_000
+LEAST = 12           # times a context was seen, in all languages; each such context is kept
 GRAMS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -75,14 +73,12 @@ class Model:
         freq = np.zeros(256)
         for g, n in grams:
             freq += np.bincount(g & 255, weights=n, minlength=256)
-        order = np.lexsort((np.arange(256), -freq))
-        own = [int(b) for b in order[:SYMBOLS] if freq[b] > 0 or b == PAD[0]]
-        if PAD[0] not in own:
-            own = [*own[:SYMBOLS - 1], PAD[0]]
-        self.size = a = len(own) + 1
-        self.symbol = np.full(256, a - 1, dtype=np.uint8)
-        self.symbol[own] = np.arange(a - 1, dtype=np.uint8)
+        freq[PAD[0]] += 1
+        own = np.flatnonzero(freq)  # the bytes that were seen; those never seen have equal statistics and share one symbol
         rest_bytes = 256 - len(own)
+        self.size = a = len(own) + (rest_bytes > 0)
+        self.symbol = np.full(256, a - 1, dtype=np.uint8)
+        self.symbol[own] = np.arange(len(own), dtype=np.uint8)
         parts = []  # (context of three symbols, symbol, n) per language
         for g, n in grams:
             s = [self.symbol[(g >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
@@ -92,10 +88,7 @@ class Model:
             total = np.zeros(a ** k)
             for c, _, n in parts:
                 total += np.bincount(c % a ** k, weights=n, minlength=a ** k)
-            found = np.flatnonzero(total >= least)
-            if len(found) > MAX_CONTEXTS:  # the most frequent ones
-                found = np.sort(found[np.argsort(-total[found], kind="stable")[:MAX_CONTEXTS]])
-            contexts.append(found)
+            contexts.append(np.flatnonzero(total >= least))
         one, two, three = np.arange(a), contexts[1], contexts[2]
         at2 = np.full(a * a, -1, dtype=np.int32)
         at2[two] = a + np.arange(len(two))
@@ -116,7 +109,8 @@ class Model:
             p2 = _escape(counts(two, 2), p1[two % a]) if len(two) else np.zeros((0, a))
             p3 = _escape(counts(three, 3), p2[at2[three % (a * a)] - a]) if len(three) else np.zeros((0, a))
             lengths = -np.log2(np.concatenate([p1, p2, p3]))
-            lengths[:, a - 1] += np.log2(max(1, rest_bytes))  # which of the rest
+            if rest_bytes:
+                lengths[:, a - 1] += np.log2(rest_bytes)  # which of the rest
             bits.append(lengths.reshape(-1))
         self.bits = np.stack(bits, axis=1).astype(np.float32)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import prefix_sums
+from .common import fresh, prefix_sums
 
 WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"  # white space between words
 SPACES = " \t\n\x0b\x0c\r"
@@ -101,14 +101,15 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     joined to one row a source, which holds the key of the last document of the
     unfinished epoch."""
     joined, targets = _with_budget(docs, id_col, text_col, source_col, weights, share, most, seed)
+    cut, copy = fresh(docs, "__cut"), fresh(docs, "__copy")
     place = F.struct("mix_key", "doc_id", "size")
     inside = (F.col("size_before") - F.col("source_start") + F.col("size") / 2) <= F.col("rest")
     last = joined.where(inside & (F.col("rest") > 0)).groupBy("source").agg(F.max(place).alias("mix_last"))
     cuts = (targets.select(F.col("source").alias("mix_source"), F.col("epochs").alias("mix_epochs"))
             .join(last, F.col("mix_source").eqNullSafe(F.col("source")), "left").select("mix_source", "mix_epochs", "mix_last"))
-    cuts = stage(cuts.select(F.struct("mix_source", "mix_epochs", "mix_last").alias("__cut")), "mix-cuts")
+    cuts = stage(cuts.select(F.struct("mix_source", "mix_epochs", "mix_last").alias(cut)), "mix-cuts")
     own = F.struct(random_key(F.col(f"`{id_col}`"), seed).alias("mix_key"), F.col(f"`{id_col}`").alias("doc_id"),
                    word_count(F.col(f"`{text_col}`")).alias("size"))
-    copies = F.col("__cut.mix_epochs") + F.when(own <= F.col("__cut.mix_last"), 1).otherwise(0)
-    return (docs.join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col("__cut.mix_source")))
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop("__copy", "__cut"))
+    copies = F.col(f"{cut}.mix_epochs") + F.when(own <= F.col(f"{cut}.mix_last"), 1).otherwise(0)
+    return (docs.join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col(f"{cut}.mix_source")))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop(copy, cut))

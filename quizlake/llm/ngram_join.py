@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from functools import partial
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import stage
-from .common import components, cut_tiles, map_arrow, small_parts, tile_links
+from .common import anywhere, components, cut_tiles, fresh, map_arrow, small_parts, tile_links
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 MEMO_ENTRIES = 500_000
@@ -85,33 +86,36 @@ def sketch(hashes: np.ndarray, bits: int) -> bytes:
 
 
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()),
-                     T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.LongType()),
+                     T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
                      T.StructField("sketch", T.BinaryType())])
 SETS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("hashes", T.BinaryType())])
 
 
-def _fingerprint(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, as two numbers."""
+    return struct.unpack("<qq", hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
 
 
 def _shingle(batches, n, threshold):
     for b in batches:
         for p in small_parts(b, 2):
-            size, fp, sk = [], [], []
+            size, keys, sk = [], [], []
             for text in p.column(2).to_pylist():
                 h = shingle_hashes(text, n)
                 size.append(len(h))
-                fp.append(_fingerprint(h) if len(h) else None)
+                keys.append(_fingerprint(h) if len(h) else (None, None))
                 sk.append(sketch(h, sketch_bits(len(h), threshold)) if len(h) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": p.column(0), "text_key": p.column(1), "n_shingles": pa.array(size, pa.int64()),
-                                              "fp": pa.array(fp, pa.int64()), "sketch": pa.array(sk, pa.binary())})
+                                              "k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64()),
+                                              "sketch": pa.array(sk, pa.binary())})
 
 
 def _sets(batches, n):
     for b in batches:
-        for p in small_parts(b, 1):
-            got = [shingle_hashes(t, n) for t in p.column(1).to_pylist()]
-            ok = [(k, h) for k, h in zip(p.column(0).to_pylist(), got, strict=True) if len(h) and _fingerprint(h) == k]
+        for p in small_parts(b, 3):
+            fp, k1, k2, texts = (c.to_pylist() for c in p.columns)
+            got = [shingle_hashes(t, n) for t in texts]
+            ok = [(k, h) for k, *key, h in zip(fp, k1, k2, got, strict=True) if len(h) and _fingerprint(h) == tuple(key)]
             yield pa.RecordBatch.from_pydict({"fp": pa.array([k for k, _ in ok], pa.int64()),
                                               "hashes": pa.array([h.tobytes() for _, h in ok], pa.binary())})
 
@@ -184,43 +188,48 @@ def _verified(left, right, forest, threshold):
 
 def ngram_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90, 100), tile_rows: int = 4096,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, fp (class), root (component;
-    null with an empty set) per document."""
+    """doc_id, text_key (hash of the text), n_shingles, root (component; null with an
+    empty set) per document."""
     p, q = threshold
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     sets = stage(map_arrow(rows, _shingle, ROWS, n=n, threshold=threshold), "ngram-rows")
-    some = sets.where("fp is not null")
-    classes = stage(some.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("of"),
-                                           F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
-                    "ngram-classes")
+    classes = sets.where("k1 is not null").groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = stage(classes.withColumn("fp", F.monotonically_increasing_id()), "ngram-classes")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(q / p)))
     tiles = cut_tiles(classes.select(band.cast("long").alias("band"), F.col("n_shingles").cast("double").alias("pos"), "fp",
                                      "n_shingles", "sketch"), "ngram-tiles", ["n_shingles", "fp"], tile_rows=tile_rows)
     # one band is one step of the threshold; the second neighbour covers rounding
-    near = tile_links(tiles, "ngram-settled", [0, 1, 2], lambda l, r: (F.least(l("hi"), r("hi")) * q >= F.greatest(l("lo"), r("lo")) * p),
-                      partial(_candidates, threshold=threshold))
+    near = tile_links(tiles, "ngram-settled", [0, 1, 2], partial(_like_size, threshold=threshold), partial(_candidates, threshold=threshold))
     maybe = components(near, "ngram-candidates")
-    reps = classes.join(maybe, F.col("fp") == F.col("node")).select("of", "fp", "root")
+    reps = classes.join(maybe, F.col("fp") == F.col("node")).select("of", "k1", "k2", "fp", "root")
     again = (rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
              .join(reps, F.col("_id").eqNullSafe(F.col("of.doc_id")) & (F.col("_key") == F.col("of.text_key")))
-             .select("fp", "text"))
+             .select("fp", "k1", "k2", "text"))
     hashes = map_arrow(again, _sets, SETS, n=n).dropDuplicates(["fp"])
     whole = stage(hashes.join(reps.select("fp", "root"), "fp"), "ngram-sets")
     exact = cut_tiles(whole.select(F.col("root").alias("band"), F.lit(0.0).alias("pos"), "fp", "root", "hashes"), "ngram-exact",
                       ["root", "fp"], split_bands=False, tile_rows=1024)
-    links = tile_links(exact, "ngram-verified", [0], lambda l, r: F.lit(True), partial(_verified, threshold=threshold))
+    links = tile_links(exact, "ngram-verified", [0], anywhere, partial(_verified, threshold=threshold))
     found = components(links, "ngram-links")
-    return (sets.select("doc_id", "text_key", "n_shingles", "fp").join(found, F.col("fp") == F.col("node"), "left")
-            .select("doc_id", "text_key", "n_shingles", "fp", F.coalesce("root", "fp").alias("root")))
+    per_class = stage(classes.select("k1", "k2", "fp").join(found, F.col("fp") == F.col("node"), "left")
+                      .select("k1", "k2", F.coalesce("root", "fp").alias("root")), "ngram-by-class")
+    return sets.join(per_class, ["k1", "k2"], "left").select("doc_id", "text_key", "n_shingles", "root")
+
+
+def _like_size(l, r, threshold: tuple[int, int]):  # noqa: E741
+    """Whether sets of the two size intervals can be linked."""
+    p, q = threshold
+    return (l("hi") * q >= r("lo") * p) & (r("hi") * q >= l("lo") * p)
 
 
 def ngram_join(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) per document."""
     g = stage(ngram_groups(docs, n, threshold, id_col=id_col, text_col=text_col), "ngram-result")
-    first = g.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return (g.join(first.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
+    first = stage(g.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-first")
+    return (g.join(first, "root", "left")
             .select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
@@ -231,10 +240,13 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 1
     empty set all stay."""
     g = stage(ngram_groups(docs, n, threshold, id_col=id_col, text_col=text_col), "ngram-result")
     grouped = g.where("root is not null")
+    key, of, copy = fresh(docs, "__key"), fresh(docs, "__kept"), fresh(docs, "__copy")
     keep = (grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("of"))
-            .select(F.struct(F.col("of.doc_id").alias("id"), F.col("of.text_key").alias("key")).alias("__kept")))
+            .select(F.struct(F.col("of.doc_id").alias("id"), F.col("of.text_key").alias("key")).alias(of)))
     empty = F.length(F.btrim(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
-    some = docs.where(~empty).withColumn("__key", F.xxhash64(F.col(f"`{text_col}`")))
-    kept = some.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept.id")) & (F.col("__key") == F.col("__kept.key")))
-    once = kept.withColumn("__copy", F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), F.col("__key")).orderBy(F.lit(0)))).where("__copy = 1")
-    return once.drop("__copy", "__kept", "__key").unionByName(docs.where(empty))
+    some = docs.where(~empty).withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    kept = some.join(keep, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"{of}.id")) & (F.col(key) == F.col(f"{of}.key")))
+    # rows with the same id and text: the one with the smallest hash of all columns
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.withColumn(copy, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), F.col(key)).orderBy(whole))).where(F.col(copy) == 1)
+    return once.drop(copy, of, key).unionByName(docs.where(empty))

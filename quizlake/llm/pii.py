@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import let
+from .common import fresh, let
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "secret"]  # base kinds first
 N_BASE = 4
@@ -65,6 +65,7 @@ PRIVATE_IP = "0|10|127|192\\.168|169\\.254|172\\.(?:1[6-9]|2[0-9]|3[01])"
 CUES = "e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|credit|pay|ip|server|host|address|ssn|social|password|token|secret|key|login|user"
 AGAINST = "version|isbn|issn|order|invoice|page|section|figure|table|license|licence|copyright"
 
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,votes:string,features:string>>"
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -78,19 +79,49 @@ def luhn(s: Column) -> Column:
             (x.cast("int") * 2) % 10 + F.floor(x.cast("int") / 5).cast("int"))), F.lit(0), lambda a, x: a + x) % 10 == 0)
 
 
-def _starts(lengths: Column) -> Column:
-    """Exclusive running totals of an array, in blocks, so that long arrays do not
-    cost the square of their length."""
+def _before(values: Column, merge, zero: Column) -> Column:
+    """For each item of an array, all items before it put together by ``merge`` (an
+    associative function; ``zero`` for none). Done in blocks, and the blocks' totals
+    likewise, so that long arrays do not cost the square of their length."""
     size = 256
 
-    def of(n):
-        block = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / size).cast("int")),
-                            lambda b: F.aggregate(F.slice(n, b * size + 1, F.lit(size)), F.lit(0), lambda a, x: a + x))
-        return let(block, lambda total: let(
-            F.transform(total, lambda _, b: F.aggregate(F.slice(total, F.lit(1), b), F.lit(0), lambda a, x: a + x)),
-            lambda before: F.transform(n, lambda _, i: F.get(before, F.floor(i / size).cast("int")) + F.aggregate(
-                F.slice(n, F.floor(i / size).cast("int") * size + 1, i % size), F.lit(0), lambda a, x: a + x))))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, of))
+    def fold(items):
+        return F.aggregate(items, zero, merge)
+
+    def scan(v):  # a short array: each item's own prefix
+        return F.transform(v, lambda _, i: fold(F.slice(v, F.lit(1), i)))
+
+    def blocks_of(v):
+        n = F.floor((F.size(v) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda b: fold(F.slice(v, b * size + 1, F.lit(size))))
+
+    def with_blocks(v, before):
+        return F.transform(v, lambda _, i: merge(F.get(before, F.floor(i / size).cast("int")),
+                                                 fold(F.slice(v, F.floor(i / size).cast("int") * size + 1, i % size))))
+    def of(v):
+        return let(blocks_of(v), lambda total: let(scan(total), lambda before: with_blocks(v, before)))
+    return F.when(F.size(values) == 0, F.slice(F.array(zero), F.lit(1), F.lit(0))).otherwise(let(values, of))
+
+
+def _starts(lengths: Column) -> Column:
+    return _before(lengths, lambda a, x: a + x, F.lit(0))
+
+
+PIECE = 1024
+
+
+def _cutter(text: Column, body) -> Column:
+    """``body(piece)`` where ``piece(start, end)`` is that part of the text. The text is
+    taken apart once, into pieces of equal length, so that a part far into a long text
+    does not cost a walk from its start."""
+    def of(pieces):
+        def piece(start, end):
+            first = F.floor(start / PIECE).cast("int")
+            last = F.floor(F.greatest(start, end - 1) / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return F.substring(some, start - first * PIECE + 1, end - start)
+        return body(piece)
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)
 
 
 def _found(text: Column, pattern: str, worth: Column) -> Column:
@@ -136,13 +167,35 @@ def _features(kind: Column, s: Column, before: Column, after: Column) -> Column:
 
 def _spans(text: Column, found: Column, kind) -> Column:
     """Matches with their kind, votes and features."""
-    def one(m):
-        return let(F.struct(kind(m["text"]).alias("kind"), F.substring(text, F.greatest(F.lit(1), m["start"] - 39), F.least(F.lit(40), m["start"])).alias("before"),
-                            F.substring(text, m["end"] + 1, F.lit(1)).alias("after")), lambda c: F.struct(
-            m["start"].alias("start"), F.array_position(F.array(*(F.lit(k) for k in KINDS)), c["kind"]).cast("int").alias("rank"),
-            m["end"].alias("end"), c["kind"].alias("kind"), _votes(c["kind"], m["text"], c["before"], c["after"]).alias("votes"),
-            _features(c["kind"], m["text"], c["before"], c["after"]).alias("features")))
-    return F.transform(found, one)
+    def all_of(piece):
+        def one(m):
+            return let(F.struct(kind(m["text"]).alias("kind"), piece(F.greatest(F.lit(0), m["start"] - 40), m["start"]).alias("before"),
+                                piece(m["end"], m["end"] + 1).alias("after")), lambda c: F.struct(
+                m["start"].alias("start"), F.array_position(F.array(*(F.lit(k) for k in KINDS)), c["kind"]).cast("int").alias("rank"),
+                m["end"].alias("end"), c["kind"].alias("kind"), _votes(c["kind"], m["text"], c["before"], c["after"]).alias("votes"),
+                _features(c["kind"], m["text"], c["before"], c["after"]).alias("features")))
+        return F.transform(found, one)
+    return F.when(F.size(found) > 0, _cutter(text, all_of)).otherwise(F.array().cast(SPANS))
+
+
+def _apart_from(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base`` (sorted by start): a sweep over
+    both by start, with the largest end of the base spans so far and the start of the next."""
+    far = 2**31 - 1
+
+    def sweep(both):
+        ends = F.transform(both, lambda x: F.when(x["own"], x["span"]["end"]).otherwise(0))
+        nexts = F.reverse(F.transform(both, lambda x: F.when(x["own"], x["span"]["start"]).otherwise(far)))
+        n = F.size(both)
+        return let(_before(ends, lambda a, x: F.greatest(a, x), F.lit(0)), lambda ended: let(
+            _before(nexts, lambda a, x: F.least(a, x), F.lit(far)), lambda coming: F.transform(F.filter(
+                both, lambda x, i: ~x["own"] & (F.get(ended, i) <= x["span"]["start"]) & (F.get(coming, n - 1 - i) >= x["span"]["end"])),
+                lambda x: x["span"])))
+
+    def tagged(spans, own):  # at one start the base spans come first
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(not own).alias("later"), F.lit(own).alias("own"), x.alias("span")))
+    either = (F.size(more) > 0) & (F.size(base) > 0)
+    return F.when(either, let(F.array_sort(F.concat(tagged(base, True), tagged(more, False))), sweep)).otherwise(more)
 
 
 def _more_kind(s: Column) -> Column:
@@ -151,7 +204,7 @@ def _more_kind(s: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """struct(base, more): the base spans by start and kind, and the further candidates."""
+    """struct(base, more): the base spans by start and kind, and what else may be one."""
     def of(t):
         has_digit = t.rlike("[0-9]")
         email = _found(t, EMAIL, F.contains(t, F.lit("@")))
@@ -160,11 +213,19 @@ def candidates(text: Column) -> Column:
         phone = F.filter(_found(t, PHONE, F.contains(t, F.lit("+"))), lambda m: F.length(_digits(m["text"])).between(10, 15))
         base = F.array_sort(F.concat(*(_spans(t, f, lambda s, k=k: F.lit(k)) for k, f in zip(KINDS, (email, ip, card, phone)))))
         more = _spans(t, _found(t, MORE, t.rlike("[0-9=:]")), _more_kind)
-        return let(base, lambda b: F.struct(b.alias("base"), F.filter(
-            more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))).alias("more")))
+        return F.struct(base.alias("base"), more.alias("more"))
     return let(F.coalesce(text, F.lit("")), of)
 
 
+def with_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: the base spans and the candidates apart from them.
+    Step by step, as one expression would be nested too deeply for the analyzer."""
+    raw = fresh(docs, f"{name}_raw")
+    found = docs.withColumn(raw, candidates(F.col(f"`{text_col}`")))
+    base, more = F.col(f"`{raw}`.base"), F.col(f"`{raw}`.more")
+    return found.withColumn(name, F.struct(base.alias("base"), _apart_from(more, base).alias("more"))).drop(raw)
+
+
 def fit(patterns: list[tuple[str, str, str, int]], rounds: int = 100) -> dict[str, float]:
     """Log odds by feature value ("" for the prior) from (kind, votes, features,
     count) rows. EM over the vote patterns: one prior a kind, and for each labeler
@@ -227,7 +288,8 @@ def _written(spans: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans per document.
     One pass over the texts; what is learned from and written out are its spans."""
-    found = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), candidates(F.col(f"`{text_col}`")).alias("spans")), "pii-spans")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = stage(with_spans(rows, "text", "spans").select("doc_id", "spans"), "pii-spans")
     odds = learn(found)
     base = F.col("spans.base")
 
@@ -242,19 +304,23 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """The documents with each span replaced by its kind, like ``<EMAIL>`` (of
     spans that overlap, the first names the kind), their length counted anew."""
     text = F.col(f"`{text_col}`")
-    odds = learn(stage(docs.select(candidates(text).alias("spans")), "pii-spans"))
+    odds = learn(stage(with_spans(docs.select(text.alias("text")), "text", "spans").select("spans"), "pii-spans"))
 
     def cut(spans):
-        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-
-        def step(a, x):
-            fresh = F.concat(a["out"], F.substring(text, a["pos"] + 1, x["start"] - a["pos"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-            return F.struct(F.when(x["start"] >= a["pos"], fresh).otherwise(a["out"]).alias("out"),
-                            F.greatest(a["pos"], x["end"]).alias("pos"))
-        return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
-    clean = let(accepted(candidates(text), odds), lambda s: F.when(F.size(s) == 0, text).otherwise(cut(s)))
-    out = docs.withColumn("__clean", clean)
-    new = {text_col: F.col("__clean")}
+        """Pieces between the spans, each followed by the next span's mark: span i takes the
+        text from the largest end before it, and no mark if it begins before that end."""
+        def joined(piece):
+            def with_ends(ended):
+                def part(x, i):
+                    return F.when(x["start"] >= F.get(ended, i), F.concat(piece(F.get(ended, i), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+                last = F.greatest(F.get(ended, F.size(spans) - 1), F.get(spans, F.size(spans) - 1)["end"])
+                return F.concat(F.array_join(F.transform(spans, part), ""), piece(last, F.length(text)))
+            return let(_before(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0)), with_ends)
+        return _cutter(text, joined)
+    name, spans = fresh(docs, "__clean"), fresh(docs, "__spans")
+    out = with_spans(docs, text_col, spans).withColumn(spans, accepted(F.col(spans), odds))
+    out = out.withColumn(name, F.when(F.size(F.col(spans)) == 0, text).otherwise(cut(F.col(spans))))
+    new = {text_col: F.col(name)}
     if length_col in docs.columns:
-        new[length_col] = F.length("__clean").cast(docs.schema[length_col].dataType)
+        new[length_col] = F.length(name).cast(docs.schema[length_col].dataType)
     return out.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns))

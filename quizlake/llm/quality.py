@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 from .mixing import SPACES, WORD_GAP
 
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -29,11 +29,27 @@ WINDOW = 5
 # FIXED VALUES of the line rules
 CLOSING = "[.!?:;…。！？\"'”’»)\\]][\\x20\\x09-\\x0D]*$"
 SENTENCE = "[.!?。！？…][\"'”’»)\\]]?[\\x20\\x09]|" + CLOSING  # a sentence ends in the line, or the line is closed
-NAVIGATION = ("^[\\x20\\x09-\\x0D]*(?:home|menu|log ?in|log ?out|sign (?:in|up)|search|share|next|previous|back to top|read more|"
-              "click here|skip to (?:main )?content|contact(?: us)?|about(?: us)?|site ?map)[\\x20\\x09-\\x0D.!>»|]*$")
+NAVIGATION_LINES = (
+    "home|menu|log ?in|log ?out|sign (?:in|up)|search|share|next|previous|back to top|read more|click here|"
+    "skip to (?:main )?content|contact(?: us)?|about(?: us)?|site ?map",                                                      # English
+    "startseite|menü|anmelden|abmelden|registrieren|suche|suchen|teilen|weiter|zurück|nach oben|mehr lesen|weiterlesen|hier klicken|"
+    "zum inhalt springen|kontakt|über uns|impressum|inhaltsverzeichnis",                                                      # German
+    "accueil|connexion|déconnexion|se connecter|s'inscrire|rechercher|recherche|partager|suivant|précédent|haut de page|lire la suite|"
+    "cliquez ici|aller au contenu|contactez-nous|à propos|plan du site",                                                      # French
+    "inicio|menú|iniciar sesión|cerrar sesión|registrarse|buscar|compartir|siguiente|anterior|volver arriba|leer más|haga clic aquí|"
+    "ir al contenido|contacto|contáctenos|sobre nosotros|quiénes somos|mapa del sitio")                                       # Spanish
+NAVIGATION = f"(?iu)^[\\x20\\x09-\\x0D]*(?:{'|'.join(NAVIGATION_LINES)})[\\x20\\x09-\\x0D.!>»|]*$"
 SEPARATORS = "(?:[|»›•·][^|»›•·]*){2,}"
-BOILERPLATE = ("\\b(?:all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie policy|"
-               "we use cookies|accept (?:all )?cookies|enable javascript|powered by|copyright ©|lorem ipsum|subscribe to our)\\b")
+BOILERPLATE_PHRASES = (
+    "all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|"
+    "accept (?:all )?cookies|enable javascript|powered by|copyright ©|lorem ipsum|subscribe to our",                           # English
+    "alle rechte vorbehalten|lizenziert unter|veröffentlicht unter der|nutzungsbedingungen|datenschutzerklärung|cookie-richtlinie|"
+    "wir verwenden cookies|(?:alle )?cookies akzeptieren|aktivieren sie javascript|abonnieren sie unseren",                     # German
+    "tous droits réservés|sous licence|conditions d['’]utilisation|politique de confidentialité|politique en matière de cookies|"
+    "nous utilisons des cookies|accepter (?:tous )?les cookies|activez javascript|abonnez-vous à notre",                        # French
+    "todos los derechos reservados|bajo (?:la )?licencia|términos de (?:uso|servicio)|condiciones de uso|política de privacidad|"
+    "política de cookies|utilizamos cookies|aceptar (?:todas las )?cookies|active javascript|suscríbase a nuestr[oa]")              # Spanish
+BOILERPLATE = f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(BOILERPLATE_PHRASES)})(?![\\p{{L}}\\p{{N}}])"
 MOST_LOST = 0.6       # of a document's word characters
 MOST_SYMBOLS = 0.25   # symbols to words, in a line
 MOST_SHOUTS = 0.3     # words ending in two or more marks, in a line
@@ -67,7 +83,7 @@ def good_line(line: Column) -> Column:
     shouts = F.when(F.contains(line, F.lit("!!")) | F.contains(line, F.lit("??")), F.size(F.filter(
         F.split(line, WORD_GAP), lambda w: w.rlike("[!?]{2}$")))).otherwise(F.lit(0))
     return (~line.rlike(WORD) |
-            (line.rlike(SENTENCE) & ~((F.length(line) <= 40) & line.rlike("(?i)" + NAVIGATION))
+            (line.rlike(SENTENCE) & ~((F.length(line) <= 40) & line.rlike(NAVIGATION))
              & ~line.rlike(SEPARATORS) & ~((F.length(line) <= 300) & F.lower(line).rlike(BOILERPLATE))
              & (symbols <= MOST_SYMBOLS * n_words) & (shouts <= MOST_SHOUTS * n_words)))
 
@@ -116,7 +132,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", length_col: str | No
     (and their length, if they have that column, counted anew)."""
     columns = docs.columns
     # a generator, so that the measures are not computed once for the filter and again for the text
-    judged = docs.withColumn("__measures", F.explode(F.filter(F.array(measures(F.col(f"`{text_col}`"))), kept)))
-    cleaned = F.col("__measures.cleaned")
+    judgement = fresh(docs, "__measures")
+    judged = docs.withColumn(judgement, F.explode(F.filter(F.array(measures(F.col(f"`{text_col}`"))), kept)))
+    cleaned = F.col(f"{judgement}.cleaned")
     new = {text_col: cleaned} | ({length_col: F.length(cleaned).cast(docs.schema[length_col].dataType)} if length_col in columns else {})
     return judged.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in columns))

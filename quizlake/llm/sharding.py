@@ -34,10 +34,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, slack: float = 0.01, id_co
     total = placed.agg(F.sum("size")).first()[0] or 0
     targets = [total * k / shards for k in range(1, shards)]
     end = F.col("size_before") + F.col("size")
-    held = [F.when((F.col("size_before") < F.lit(t)) & (end > F.lit(t)), F.lit(k)) for k, t in enumerate(targets)]
-    cut_rows = placed.where(F.coalesce(*held).isNotNull()).select(*group).distinct()  # a row a cut at most
+    # the rows on both sides of a cut that falls between two rows
+    touched = [F.when((F.col("size_before") <= F.lit(t)) & (end >= F.lit(t)), F.lit(k)) for k, t in enumerate(targets)]
+    cut_rows = placed.where(F.coalesce(*touched, F.lit(None).cast("int")).isNotNull()).select(*group).distinct()  # two rows a cut at most
     edges = (placed.join(F.broadcast(cut_rows), group, "left_semi").groupBy(*group)
-             .agg(F.min("size_before").alias("first"), F.max(end).alias("last")).collect())  # a row a cut at most
+             .agg(F.min("size_before").alias("first"), F.max(end).alias("last")).collect())  # two rows a cut at most
     cuts = []
     for t in targets:
         near = min((e for g in edges if g["first"] < t < g["last"] for e in (g["first"], g["last"])),

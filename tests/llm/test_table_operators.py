@@ -1,15 +1,17 @@
 """Operators on rows, pairs and urls against brute force: mixing, joins, filters, shards."""
 
+import hashlib
 import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quizlake.llm import common, embed_dedup, mixing, ngram_join, sharding, url_filter
+from quizlake.llm import common, embed_dedup, mixing, ngram_join, pii, quality, sharding, url_filter
 from quizlake.llm import queries as Q
 from tools.oracle_check import duck, frame_rows
 
@@ -154,6 +156,85 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages, rules.limit(0)).where("rule is not null").count() == 0
 
 
+def test_urls_against_all_rules(spark):
+    rnd = random.Random(12)
+    hosts = ["net", "a.net", "b.a.net", "org", "c.org", "x.c.org"]
+    rules = sorted({(rnd.choice(hosts), "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randrange(5))), rnd.choice(["allow", "block"])) for _ in range(60)})
+    urls = [(k, f"http://{rnd.choice(['', 'w.', 'b.', 'zz.b.'])}{rnd.choice(hosts)}/" + "".join(rnd.choice("xyz/") for _ in range(rnd.randrange(7)))) for k in range(900)]
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string").repartition(7),
+                                spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        fit = [(len(h), len(p), v == "block", h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fit)[3:] if fit else (None, "allow")), r
+
+
+def brute_shards(docs, shards, slack=0.01):
+    """Texts by md5 in one line of bytes, cut at equal targets; a cut inside a group of equal
+    texts goes to the nearer end of the group if that is near enough."""
+    rows = sorted(((hashlib.md5((t or "").encode()).hexdigest(), zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, i) for i, t in docs),
+                  key=lambda r: (r[:3], r[3] is not None, r[3]))
+    total, at, group = sum(r[2] for r in rows), 0, {}
+    placed = []
+    for r in rows:
+        placed.append((at, r))
+        first, _ = group.get(r[:3], (at, 0))
+        at += r[2]
+        group[r[:3]] = (first, at)
+    cuts = []
+    for k in range(1, shards):
+        t = total * k / shards
+        near = min((e for a, b in group.values() if a < t < b for e in (a, b)), key=lambda e: abs(e - t), default=t)
+        cuts.append(near if abs(near - t) <= slack * total / shards else t)
+    out, used = [], Counter()
+    for before, (_, crc, size, i) in placed:
+        shard = sum(before + size / 2 >= c for c in cuts)
+        out.append((i, size, crc, shard, used[shard]))
+        used[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8, 40])
+def test_shards_against_brute_force(spark, odd_docs, shards):
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    got = sharding.shard_documents(docs.repartition(5), shards)
+    want = brute_shards([tuple(r) for r in docs.collect()], shards)
+    assert sorted(map(tuple, got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_cut_between_two_equal_texts_moves(spark):
+    docs = spark.createDataFrame([(k, f"text {k // 2:04d}") for k in range(1600)], "doc_id long, text string")
+    where = {}
+    for r in sharding.shard_documents(docs, 8, slack=0.02).join(docs, "doc_id").collect():
+        where.setdefault(r.text, set()).add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_columns_that_clash_with_internal_names(spark, odd_docs):
+    """Stage functions keep a user's columns, whatever they are called."""
+    names = ["__measures", "__clean", "__copy", "__key", "__cut", "__kept", "__spans", "__spans_raw", "k1", "of", "spans", "mix_last", "row"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    for out in (quality.quality_filter(docs), ngram_join.one_of_each(docs), pii.redact(docs), mixing.mixed_documents(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+
+
+def test_one_of_each_picks_the_same_row_again(spark):
+    rows = [(1, "one two three four five six", "en", f"s{k}", 1) for k in range(40)]
+    seen = {tuple(ngram_join.one_of_each(spark.createDataFrame(random.Random(k).sample(rows, 40), "doc_id long, text string, lang string, source string, n_chars long")
+                                         .repartition(k + 1)).collect()[0]) for k in range(4)}
+    assert len(seen) == 1
+
+
+def test_components_of_a_hot_star(spark):
+    """One centre with a hundred thousand edges, half of them through another node."""
+    edges = spark.range(100_000).select(F.lit(5).cast("long").alias("a"), (F.col("id") + 10).alias("b")).unionByName(
+        spark.range(100_000).select((F.col("id") + 10).alias("a"), (F.col("id") + 200_000).alias("b")))
+    got = common.components(edges, "t")
+    assert got.count() == 200_001 and got.where("root <> 5").count() == 0
+
+
 def test_shards(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sharding.shard_documents(docs).join(docs.select("doc_id", "text"), "doc_id").collect()

@@ -178,6 +178,78 @@ def test_pii_base_spans(spark, texts):
     assert all(set(base_spans(r.text or "")) <= set(spans[r.doc_id]) or not base_spans(r.text or "") for r in docs.collect())
 
 
+def test_reliabilities_are_recovered_from_votes():
+    """Votes drawn with known reliabilities: the learned odds separate the spans."""
+    rnd = random.Random(5)
+    right, wrong, prior = [0.95, 0.8, 0.7, 0.9], [0.1, 0.3, 0.2, 0.4], 0.4
+    drawn = Counter()
+    for _ in range(20_000):
+        real = rnd.random() < prior
+        votes = "".join("-" if rnd.random() < 0.15 else "y" if rnd.random() < (right if real else wrong)[j] else "n" for j in range(4))
+        drawn[votes, real] += 1
+    counts = Counter()
+    for (votes, _), n in drawn.items():
+        counts[votes] += n
+    odds = pii.fit([("phone", votes, "kind=phone", n) for votes, n in sorted(counts.items())])
+
+    def score(votes):
+        return odds[""] + odds["kind=phone"] + sum(odds[f"vote{j}={v}"] for j, v in enumerate(votes))
+    good = sum(n for (votes, real), n in drawn.items() if (score(votes) >= 0) == real)
+    best = sum(max(drawn[votes, True], drawn[votes, False]) for votes in counts)  # of any decision by the votes
+    assert good >= 0.99 * best
+    for j in range(4):  # a yes of a reliable labeler says more
+        true = np.log(right[j] / wrong[j])
+        assert abs(odds[f"vote{j}=y"] - true) < 0.35, (j, odds[f"vote{j}=y"], true)
+
+
+def test_candidates_that_overlap_base_spans(spark):
+    rnd = random.Random(10)
+    spans = "array<struct<start:int,rank:int,end:int,kind:string,votes:string,features:string>>"
+
+    def some(n):
+        return sorted((s, 1, s + rnd.randrange(1, 9), "k", "", "") for s in (rnd.randrange(n * 6 + 1) for _ in range(n)))
+    rows = [(k, some(rnd.choice([0, 1, 3, 40, 700])), some(rnd.choice([0, 1, 5, 60, 600]))) for k in range(40)]
+    df = spark.createDataFrame(rows, f"k long, more {spans}, base {spans}")
+    got = {r.k: [(x.start, x.end) for x in r.kept] for r in df.select("k", pii._apart_from(F.col("more"), F.col("base")).alias("kept")).collect()}
+    for k, more, base in rows:
+        assert got[k] == [(m[0], m[2]) for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+
+
+def test_parts_of_a_long_text(spark):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(["a", "é", "🎉", "\n", "日", " "]) for _ in range(9000))
+    at = [sorted(rnd.randrange(9001) for _ in range(2)) for _ in range(200)] + [[0, 0], [0, 9000], [1024, 2048], [9000, 9000]]
+    df = spark.createDataFrame([(text, at)], "t string, at array<array<int>>")
+    got = df.select(pii._cutter(F.col("t"), lambda piece: F.transform("at", lambda x: piece(x[0], x[1]))).alias("x")).first().x
+    assert got == [text[a:b] for a, b in at]
+
+
+def test_long_texts_in_every_text_operator(spark):
+    """A text of 120,000 words with many spans, and the same text once more."""
+    words = [f"word{k % 977}" for k in range(120_000)]
+    for k in range(0, 120_000, 60):
+        words[k] = f"user{k}@mail1.example.com"
+    long = "\n".join(" ".join(words[k:k + 12]).capitalize() + "." for k in range(0, 120_000, 12))
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, long, "en", "s", 1), (3, "short", "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.n_email for r in pii.find_pii(docs).orderBy("doc_id").collect()] == [2000, 2000, 0]
+    clean = pii.redact(docs).orderBy("doc_id").collect()
+    assert clean[0].text.count("<EMAIL>") == 2000 and "@" not in clean[0].text and clean[0].n_chars == len(clean[0].text)
+    assert [r.n_words for r in quality.quality_report(docs).orderBy("doc_id").collect()] == [120_000, 120_000, 1]
+    enc = encoding()
+    want = hashlib.sha256(" ".join(map(str, enc.encode_ordinary(long))).encode()).hexdigest()
+    assert [r.ids_sha256 == want for r in bpe.encode_documents(docs, RANKS, P.PATTERN).orderBy("doc_id").collect()] == [True, True, False]
+
+
+@pytest.mark.parametrize("bad", ["Home", "Startseite.", "Accueil", "Inicio", "All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.",
+                                 "Todos los derechos reservados.", "Über uns", "À propos.", "ÜBER UNS", "Política de privacidad."])
+def test_navigation_and_boilerplate_of_four_languages(spark, bad):
+    good = ["The old house by the river has a garden that is full of light.", "Das alte Haus am Fluss hat einen Garten voller Licht.",
+            "La vieille maison près de la rivière a un jardin plein de lumière.", "La casa vieja junto al río tiene un jardín lleno de luz."]
+    df = spark.createDataFrame([(1, "\n".join([*good[:2], bad, *good[2:]]))], "doc_id long, text string")
+    assert quality.quality_filter(df).first().text == "\n".join(good)
+
+
 def test_pii_redaction(spark, texts):
     more = spark.createDataFrame([(900000, "Write to bob.k@mail1.example.com or +1 (569) 555-6633 4539578763621486 now.")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(texts.unionByName(more)).collect()}
@@ -199,6 +271,76 @@ def test_language_code_lengths_are_those_of_a_distribution():
                        + np.exp2(-m.bits.reshape(-1, m.size)[:, -1]) * (256 - (m.size - 1)), 1, atol=1e-4)
 
 
+def brute_bits(training, text, least):
+    """PPM with escapes, straight from the definition: training and text are bytes by
+    language; a context counts if all languages together saw it ``least`` times."""
+    def grams(texts, k):
+        return Counter((t[i - k:i], t[i:i + 1]) for t in ((b"\n\n\n" + x) for x in texts) for i in range(3, len(t)))
+    counts = {lang: [grams(texts, k) for k in range(4)] for lang, texts in training.items()}
+    seen = {b"\n"} | {s for c in counts.values() for _, s in c[0]}
+    rest = 256 - len(seen)
+    symbols = sorted(seen) + ([None] if rest else [])
+    often = [Counter() for _ in range(4)]
+    for c in counts.values():
+        for k in range(4):
+            for (context, _), n in c[k].items():
+                often[k][context] += n
+    tree = [{b""}, None] + [{x for x, n in often[k].items() if n >= least} for k in (2, 3)]
+
+    def p(lang, context):
+        if len(context) == 3 and (context not in tree[3] or context[1:] not in tree[2]):
+            return p(lang, context[1:])
+        if len(context) == 2 and context not in tree[2]:
+            return p(lang, context[1:])
+        shorter = p(lang, context[1:]) if context else {s: 1 / len(symbols) for s in symbols}
+        own = {s: n for (x, s), n in counts[lang][len(context)].items() if x == context}
+        total, left = sum(own.values()), sum(shorter[s] for s in symbols if s not in own)
+        if not total:
+            return shorter
+        escape = len(own) if left > 0 else 0
+        return {s: own[s] / (total + escape) if s in own else escape / (total + escape) * shorter[s] / left for s in symbols}
+    out = {}
+    for lang in training:
+        t, bits = b"\n\n\n" + text, 0.0
+        for i in range(3, len(t)):
+            s = t[i:i + 1] if t[i:i + 1] in seen else None
+            q = p(lang, t[i - 3:i] if all(t[j:j + 1] in seen for j in range(i - 3, i)) else t[i - 3:i])[s]
+            bits += -np.log2(q / (rest if s is None else 1))
+        out[lang] = bits
+    return out
+
+
+def test_language_code_lengths_against_the_definition(spark):
+    rnd = random.Random(6)
+    training = {"aa": [b"the river and the stone" * 3, b"in the garden"], "bb": [b"der fluss und der stein" * 3, "für".encode()], "cc": [b"la pierre et la rivi"] * 4}
+    rows = [(lang, t.decode()) for lang, ts in training.items() for t in ts]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(3)
+    import quizlake.llm.language as lang_module
+    old, lang_module.LEAST = lang_module.LEAST, 3
+    try:
+        grams = language.map_arrow(df.select("lang", "text"), language._count, language.GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    finally:
+        lang_module.LEAST = old
+    names = sorted(training)
+    m = language.Model(names, [(np.array([r.gram for r in grams if r.lang == x]), np.array([r.n for r in grams if r.lang == x])) for x in names], least=3)
+    texts = ["".join(rnd.choice(["the ", "der ", "la ", "stone", "ü", "x", "é", "\n", "?", "und"]) for _ in range(rnd.randrange(12))).encode() for _ in range(40)]
+    got = m.lengths(texts)
+    for t, bits in zip(texts, got, strict=True):
+        want = brute_bits(training, t, 3)
+        assert np.allclose(bits, [want[x] for x in names], rtol=1e-4, atol=1e-3), t
+
+
+def test_language_keeps_every_context_seen_often_enough():
+    """No cap on contexts and no merging of bytes that were seen."""
+    rnd = np.random.default_rng(7)
+    x = rnd.integers(0, 256, 40_000).astype(np.int64)
+    gram, n = np.unique((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:], return_counts=True)
+    m = language.Model(["x"], [(gram, n)], least=1)
+    assert m.size == 256
+    contexts = len(np.unique(gram >> 8)) + len(np.unique((gram >> 8) & 0xFFFF)) + 256
+    assert m.bits.shape[0] == contexts * 256
+
+
 def test_language_odd_rows(odd_docs):
     model = language.train(odd_docs)
     got = {r.doc_id: r.lang_pred for r in language.predict(odd_docs, model).collect()}
