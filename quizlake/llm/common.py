@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ..session import drop_stage, stage
 
 _SHIPPED: set[str] = set()
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20  # of one Arrow batch between Spark and Python
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20  # of one Arrow batch between Spark and Python
 
 
 def ship(spark: SparkSession) -> None:

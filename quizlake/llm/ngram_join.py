@@ -37,7 +37,7 @@ from ..session import stage
 from .common import anywhere, components, cut_tiles, fresh, map_arrow, small_parts, tile_links
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 100_000  # words of one task (memory bound only)
 _WORDS: dict[bytes, int] = {}
 
 
@@ -97,6 +97,7 @@ def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _shingle(batches, n, threshold):
+    _WORDS.clear()  # idle workers should not hold it
     for b in batches:
         for p in small_parts(b, 2):
             size, keys, sk = [], [], []
@@ -108,6 +109,7 @@ def _shingle(batches, n, threshold):
             yield pa.RecordBatch.from_pydict({"doc_id": p.column(0), "text_key": p.column(1), "n_shingles": pa.array(size, pa.int64()),
                                               "k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64()),
                                               "sketch": pa.array(sk, pa.binary())})
+    _WORDS.clear()
 
 
 def _sets(batches, n):
@@ -118,6 +120,7 @@ def _sets(batches, n):
             ok = [(k, h) for k, *key, h in zip(fp, k1, k2, got, strict=True) if len(h) and _fingerprint(h) == tuple(key)]
             yield pa.RecordBatch.from_pydict({"fp": pa.array([k for k, _ in ok], pa.int64()),
                                               "hashes": pa.array([h.tobytes() for _, h in ok], pa.binary())})
+    _WORDS.clear()
 
 
 def _bitmaps(block: pa.RecordBatch):
