@@ -11,7 +11,8 @@ holds one row for each coarsest block of a group.
 
 The rows move once: the window's partitioning and order serve the join with the carries
 too. The list of large groups (at most rows / ``WHOLE_ROWS`` names) is staged, so that
-its size is known when it is joined. Results equal the plain window exactly for any
+its size is known when it is joined; without any, the plan is the plain windows alone:
+one exchange and no join. Results equal the plain window exactly for any
 levels and sizes (for an order key that is unique within a group). A NULL group is a
 group like any other. The columns of the input are kept apart in a struct, so they may
 have any names.
@@ -51,21 +52,26 @@ def ordered_prefix(df: DataFrame, group: str, order: list[str], value: str, leve
     g = F.struct(F.col(group).alias("k"))
     large = stage(df.select(g.alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole_rows)
                   .select("g", F.lit(True).alias("large")), "large-groups")
-    names = [f"b{k}" for k in range(len(levels))]
+    split = not large.isEmpty()
+    names = [f"b{k}" for k in range(len(levels))] if split else []
     keys = [f"o{k}" for k in range(len(order))]
     rows = df.select(F.struct("*").alias("row"), g.alias("g"), F.col(value).cast("bigint").alias("v"),
-                     *(level.alias(n) for level, n in zip(levels, names, strict=True)),
+                     *(level.alias(n) for level, n in zip(levels, names)),
                      *(F.col(o).alias(k) for o, k in zip(order, keys, strict=True)))
-    rows = rows.join(large, "g", "left").withColumns({n: F.struct(F.when(F.col("large"), F.col(n)).alias("k")) for n in names})
-    totals = rows.where("large").groupBy("g", *names).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("c"))
-    carry = _carry(totals, names).select("g", names[0], "before_n", "before_c", "size")
-    whole = Window.partitionBy("g", names[0])
+    if split:
+        rows = rows.join(large, "g", "left").withColumns({n: F.struct(F.when(F.col("large"), F.col(n)).alias("k")) for n in names})
+    scope = ["g", *names[:1]]
+    whole = Window.partitionBy(*scope)
     w = whole.orderBy(*keys)
-    local = rows.select("row", "g", names[0], F.row_number().over(w).alias("ln"),
+    local = rows.select("row", *scope, F.row_number().over(w).cast("bigint").alias("ln"),
                         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lc"),
                         F.count(F.lit(1)).over(whole).alias("ls"))
-    out = local.join(carry, ["g", names[0]], "left")
-    kept = [c for c in df.columns if c not in (number, running, size)]
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in (number, running, size)]
+    if not split:
+        return local.select(*kept, F.col("ln").alias(number), F.col("lc").alias(running), F.col("ls").alias(size))
+    totals = rows.where("large").groupBy("g", *names).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("c"))
+    carry = _carry(totals, names).select(*scope, "before_n", "before_c", "size")
     zero = F.lit(0).cast("bigint")
-    return out.select(*(F.col("row")[c].alias(c) for c in kept), (F.col("ln") + F.coalesce("before_n", zero)).alias(number),
-                      (F.col("lc") + F.coalesce("before_c", zero)).alias(running), F.coalesce("size", "ls").alias(size))
+    return local.join(carry, scope, "left").select(
+        *kept, (F.col("ln") + F.coalesce("before_n", zero)).alias(number),
+        (F.col("lc") + F.coalesce("before_c", zero)).alias(running), F.coalesce("size", "ls").alias(size))

@@ -5,7 +5,8 @@ Ordered operators are partitioned by session, never global. A session is
 normally one quiz (a few dozen questions); ``ordered.ordered_prefix`` numbers
 it block by block, so that no session has to fit one task, neither one of many
 slots nor one of many rows in a slot. They read the graded rows twice, so these
-are staged once: the grading join runs a single time.
+are staged once: the grading join runs a single time. They stage the columns they
+are given, so select the needed ones first.
 Grading joins the bank by key and leaves the strategy to AQE (broadcast when
 the bank is below the broadcast threshold at run time, otherwise sort-merge
 with skew splitting).

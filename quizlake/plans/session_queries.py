@@ -24,6 +24,10 @@ def _graded(spark, sf):
     return SE.graded_responses(S.responses(spark, sf), S.bank(spark, sf))
 
 
+def _graded_keys(spark, sf):
+    return _graded(spark, sf).select("session_id", *_RESPONSE_ORDER, "is_correct")
+
+
 def _shown(spark, sf):
     return S.presentations(spark, sf).select("qid", "session_id", "shown_at", "correct")
 
@@ -45,11 +49,11 @@ SPARK = {
     "graded_responses": lambda spark, sf: _graded(spark, sf).select(
         "session_id", "student_name", "question_id", "slot", "selected", "answer", "topic", "is_correct"),
     "session_scores": lambda spark, sf: SE.session_scores(_graded(spark, sf)),
-    "question_numbers": lambda spark, sf: SE.question_numbers(_graded(spark, sf), _RESPONSE_ORDER).select(
+    "question_numbers": lambda spark, sf: SE.question_numbers(_graded_keys(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "slot", "question_id", "supplier_key", "question_no"),
-    "running_score": lambda spark, sf: SE.running_score(_graded(spark, sf), _RESPONSE_ORDER).select(
+    "running_score": lambda spark, sf: SE.running_score(_graded_keys(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "question_no", "question_id", "is_correct", "score_before", "score_feedback", "badge"),
-    "session_progress": lambda spark, sf: SE.session_progress(_graded(spark, sf), _RESPONSE_ORDER).select(
+    "session_progress": lambda spark, sf: SE.session_progress(_graded_keys(spark, sf), _RESPONSE_ORDER).select(
         "session_id", "question_no", "n_questions", "progress"),
     "last_answer": lambda spark, sf: SE.last_answer(_graded(spark, sf), _RESPONSE_ORDER),
     "answer_review": lambda spark, sf: SE.answer_review(
