@@ -1,4 +1,4 @@
-"""Write PLANS.md: the executed physical plan shape of every registered query.
+"""Write PLANS.md: the executed physical plan shape of every core query.
 
 Usage: python tools/plan_report.py [sf_dir]
 For each query: shuffles (Exchange), broadcasts, scans with their read
@@ -42,14 +42,15 @@ def summarise(plan: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from quizlake.plans.catalog import spark_queries
     from quizlake.session import build_session
     spark = build_session()
     out = ["# PLANS", "", f"Executed physical plans (AQE final) on `{sf_dir}`, generated by "
-           "`tools/plan_report.py`. Counts are plan nodes; reused exchanges are listed apart.", "",
+           "`tools/plan_report.py`. Counts are plan nodes; reused exchanges are listed apart. Queries that stage a "
+           "table (the ordered and reply operators) show the plan that reads it.", "",
            "| query | shuffles (+reused) | broadcasts (BHJ) | SMJ | hash/sort agg | windows | python | scans (read schema) |",
            "|---|---|---|---|---|---|---|---|"]
-    for name, fn in E.queries().items():
+    for name, fn in spark_queries().items():
         if name in SKIP_EXEC:
             continue
         df = fn(spark, sf_dir)
