@@ -92,7 +92,18 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for
     op1_byte_bpe, op2_mix_sources, op3_embedding_dedup, op4_ngram_jaccard, op5_token_files, op6_quality_rules, op7_url_filter,
     op8_pii, op9_language, op10_shards, op11_hard_negatives, op12_license_scan, op13_source_divergence)}
 
-WORDS_SQL = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
+WORDS = r"[^\x20\x09-\x0D]+"
+WORDS_SQL = f"regexp_extract_all(coalesce({{t}}, ''), '{WORDS}')"
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def boilerplate_re2() -> str:
+    """The boilerplate pattern for an engine without look-around: the same lines match."""
+    return f"(?:^|[^\\p{{L}}\\p{{N}}])(?:{quality.BOILERPLATE_PHRASES})(?:$|[^\\p{{L}}\\p{{N}}])"
+
 
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('{SEED}:' || doc_id) AS k, len({WORDS_SQL.format(t='text')})::BIGINT AS size FROM documents),
@@ -136,6 +147,30 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reac
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, c.component_id FROM g JOIN c ON c.a = g.doc_id"""
 
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS_SQL.format(t='text')} AS w FROM documents),
+x AS (SELECT r, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)]) AS g,
+  unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+again AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) AS s(k) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+m AS (SELECT *, regexp_extract_all(line, '{WORDS}') AS lw, length(line) - length(regexp_replace(line, '{quality.SYMBOLS}', '', 'g')) AS symbols FROM l),
+j AS (SELECT r, line, lw, len(lw) = 0 OR (regexp_matches(line, {quoted(quality.SENTENCE)})
+  AND NOT (length(line) <= 40 AND regexp_matches(line, {quoted(quality.NAVIGATION.replace('(?iu)', '(?i)'))}))
+  AND NOT regexp_matches(line, {quoted(quality.SEPARATORS)})
+  AND NOT (length(line) <= 300 AND regexp_matches(lower(line), {quoted(boilerplate_re2())}))
+  AND symbols <= {quality.MOST_SYMBOLS}::DOUBLE * len(lw)
+  AND CASE WHEN contains(line, '!!') OR contains(line, '??') THEN len(list_filter(lw, lambda v: regexp_matches(v, '[!?]{{2}}$'))) ELSE 0 END
+    <= {quality.MOST_SHOUTS}::DOUBLE * len(lw)) AS good FROM m),
+k AS (SELECT r, coalesce(sum(length(array_to_string(lw, ''))) FILTER (good), 0) AS kept_chars,
+  count(*) FILTER (len(lw) > 0) - count(DISTINCT line) FILTER (len(lw) > 0) AS n_dup_lines FROM j GROUP BY r),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  coalesce(cover.n, 0)::BIGINT AS n_repeat_words, kept_chars FROM d JOIN k ON k.r = d.r LEFT JOIN cover ON cover.r = d.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND kept_chars >= {1 - quality.MOST_LOST}::DOUBLE * word_chars AS kept FROM f"""
+
 OP7_SQL = r"""
 WITH r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
   ('org', '/fr/', 'allow')),
@@ -182,5 +217,5 @@ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
 s AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM o)
 SELECT * FROM s WHERE part = 'pair' OR rank <= 50"""
 
-ORACLE: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op7_url_filter": OP7_SQL,
-                          "op11_hard_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}
+ORACLE: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_quality_rules": OP6_SQL,
+                          "op7_url_filter": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}
