@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -368,3 +369,111 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(last.columns)
     assert last.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def good_line(x):
+    w = re.findall(WORD, x)
+    symbols, shouts = len(re.findall(quality.SYMBOLS, x)), sum(bool(re.search("[!?]{2}$", v)) for v in w)
+    return not w or bool(
+        regex.search(quality.SENTENCE, x) and not (len(x) <= 40 and regex.search(quality.NAVIGATION, x))
+        and not regex.search(quality.SEPARATORS, x) and not (len(x) <= 300 and regex.search(quality.BOILERPLATE, x.lower()))
+        and 4 * symbols <= len(w) and (("!!" not in x and "??" not in x) or 10 * shouts <= 3 * len(w)))
+
+
+def cleaned(docs):
+    out = []
+    for r in docs:
+        text = "\n".join(x for x in (r["text"] or "").split("\n") if good_line(x))
+        left, whole = (sum(map(len, re.findall(WORD, t))) for t in (text, r["text"] or ""))
+        if not base_counts(r["text"])[-1] and 5 * left >= 2 * whole:
+            out.append(r | {"text": text, "n_chars": len(text)})
+    return out
+
+
+def one_of_each(docs):
+    sets, first = [], []
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        w = re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"]))
+        sets.append(({tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)}, r))
+    label = list(range(len(sets)))
+    for i, (a, _) in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j][0]) >= 80 * len(a | sets[j][0]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    for k, (_, r) in enumerate(sets):
+        first += [r] if label[k] == k else []
+    return first
+
+
+def redacted(docs, spans):
+    out = []
+    for r in docs:
+        text, end = "", 0
+        for kind, s, e in (x.split(":") for x in spans[r["doc_id"]]):
+            if int(s) >= end:
+                text += r["text"][end:int(s)] + f"<{kind.upper()}>"
+            end = max(end, int(e))
+        text += r["text"][end:]
+        out.append(r | {"text": text, "n_chars": len(text)})
+    return out
+
+
+def mixed(docs):
+    by, out = {}, []
+    for r in docs:
+        by.setdefault(r["source"], []).append((hashlib.md5(f"{Q.SEED}:{r['doc_id']}".encode()).hexdigest(), len(re.findall(WORD, r["text"])), r))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, _ in by[s]) for s in names}
+    weight = {s: Q.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    target, open_sources, left = {}, set(names), Q.SHARE * sum(size.values())
+    while open_sources:
+        level = left / sum(weight[s] for s in open_sources)
+        full = {s for s in open_sources if weight[s] * level > Q.MOST * size[s]}
+        target |= {s: Q.MOST * size[s] if s in full else weight[s] * level for s in full or open_sources}
+        left -= sum(target[s] for s in full)
+        open_sources = open_sources - full if full else set()
+    for s in names:
+        epochs, rest = divmod(int(target[s]), size[s])
+        before = 0
+        for _, n, r in sorted(by[s], key=lambda x: x[0]):
+            out += [r] * (epochs + (before + n / 2 <= rest and rest > 0))
+            before += n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, scratch):
+    """Each stage on all that its predecessor kept, and run() as a whole, row for row."""
+    rnd = random.Random(21)
+    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    columns, schema = list(docs[0]), spark.read.parquet(f"{SF}/documents.parquet").schema
+    plain = [r for r in docs if r["text"] and len(r["text"]) > 1000][:12]
+    for k, r in enumerate(plain):  # exact and near copies, boilerplate around a text, personal data, other sources
+        w = r["text"].split(" ")
+        w[rnd.randrange(len(w))] = "changed"
+        new = [r["text"], " ".join(w), f"Home\n{r['text']}\nAll rights reserved.", f"{r['text']} Mail a{k}@b.co, 10.0.0.{k}, +1 569 555 66{k:02}."]
+        docs += [r | {"doc_id": 10_000 + 10 * k + i, "text": t, "source": [r["source"], None, "zz", "é"][i]} for i, t in enumerate(new)]
+    folder = scratch("pipeline-docs")
+    given = spark.createDataFrame([tuple(r[c] for c in columns) for r in docs], schema)
+    given.write.parquet(f"{folder}/documents.parquet")
+
+    def key(rows):
+        return sorted(rows, key=repr)
+    df, want, sizes = spark.read.parquet(f"{folder}/documents.parquet"), docs, [len(docs)]
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        if name == "PII":
+            found = {r.doc_id: r for r in pii.find_pii(df).collect()}
+            spans = {i: [x for x in r.spans.split(",") if x] for i, r in found.items()}
+            for r in want:
+                assert set(base_spans(r["text"])) <= set(spans[r["doc_id"]])
+        want = {"quality rules": cleaned, "n-gram Jaccard join": one_of_each, "PII": lambda d: redacted(d, spans), "mixing sources": mixed}[name](want)
+        step(spark, df, folder).write.parquet(f"{folder}/{k}")
+        df = spark.read.parquet(f"{folder}/{k}")
+        assert df.columns == columns, name
+        assert key(tuple(r) for r in df.collect()) == key(tuple(r[c] for c in columns) for r in want), name
+        sizes.append(len(want))
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] != sizes[4]  # every decision took effect
+    assert any("<EMAIL>" in r["text"] for r in want)
+    enc = encoding()
+    ids = [(r["doc_id"], enc.encode_ordinary(r["text"])) for r in want]
+    got = corpus_pipeline.run(spark, folder)
+    assert rows(got, "doc_id", "n_tokens", "ids") == sorted(((i, len(x), x) for i, x in ids), key=str)
