@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import stage
-from .common import anywhere, components, cut_tiles, fresh, map_arrow, small_parts, tile_links
+from .common import anywhere, components, cut_tiles, map_arrow, small_parts, tile_links
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 MEMO_ENTRIES = 100_000  # words of one task (memory bound only)
@@ -243,13 +242,14 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 1
     empty set all stay."""
     g = stage(ngram_groups(docs, n, threshold, id_col=id_col, text_col=text_col), "ngram-result")
     grouped = g.where("root is not null")
-    key, of, copy = fresh(docs, "__key"), fresh(docs, "__kept"), fresh(docs, "__copy")
     keep = (grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("of"))
-            .select(F.struct(F.col("of.doc_id").alias("id"), F.col("of.text_key").alias("key")).alias(of)))
+            .select(F.coalesce("of.doc_id", F.lit(0)).alias("id"), F.col("of.none").alias("none"), F.col("of.text_key").alias("key")))
     empty = F.length(F.btrim(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
-    some = docs.where(~empty).withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
-    kept = some.join(keep, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"{of}.id")) & (F.col(key) == F.col(f"{of}.key")))
-    # rows with the same id and text: the one with the smallest hash of all columns
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    once = kept.withColumn(copy, F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), F.col(key)).orderBy(whole))).where(F.col(copy) == 1)
-    return once.drop(copy, of, key).unionByName(docs.where(empty))
+    # rows with the same id and text become the one with the smallest hash of all columns, in the tasks first, and
+    # stay where the shuffle put them for the join
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    once = (docs.where(~empty).groupBy(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+            .agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("row")))
+    kept = once.join(keep, ["id", "none", "key"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where(empty))

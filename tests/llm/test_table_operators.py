@@ -227,6 +227,16 @@ def test_one_of_each_picks_the_same_row_again(spark):
     assert len(seen) == 1
 
 
+def test_one_of_each_combines_repeated_rows_before_the_shuffle(spark):
+    """A third of all rows are one row: each task passes on one of them at most."""
+    text = F.when(F.col("id") % 3 == 0, F.lit("one two three four five six")).otherwise(F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(f":{k}"))) for k in range(6))))
+    docs = spark.range(0, 6000, 1, 6).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), text.alias("text"))
+    out = ngram_join.one_of_each(docs)
+    assert out.count() == out.select("doc_id").distinct().count() == 4001
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan
+
+
 def test_components_of_a_hot_star(spark):
     """One centre with a hundred thousand edges, half of them through another node."""
     edges = spark.range(100_000).select(F.lit(5).cast("long").alias("a"), (F.col("id") + 10).alias("b")).unionByName(
