@@ -47,17 +47,20 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
                     F.lit("invalid_letter").alias("reason")))
 
 
-def unknown_questions(responses: DataFrame, bank: DataFrame) -> DataFrame:
-    """J1 reject output — valid letters for a question that the bank does not hold."""
-    known = bank.select("question_id").distinct()
-    return (valid_responses(responses).join(known, "question_id", "left_anti")
-            .select("session_id", "student_name", "question_id", "slot", "selected_raw", "selected",
-                    F.lit("unknown_question").alias("reason")))
+def all_rejects(responses: DataFrame, bank: DataFrame) -> DataFrame:
+    """Every response that is not graded, with the reason: with ``graded_responses`` the
+    whole input. One pass: a branch for each reason would read and join the responses anew."""
+    known = bank.select("question_id").distinct().withColumn("is_known", F.lit(True))
+    reason = (F.when(~F.col("is_valid"), F.lit("invalid_letter"))
+              .when(F.col("is_known").isNull(), F.lit("unknown_question")))
+    return (normalise_responses(responses).join(known, "question_id", "left").withColumn("reason", reason)
+            .filter(F.col("reason").isNotNull())
+            .select("session_id", "student_name", "question_id", "slot", "selected_raw", "selected", "reason"))
 
 
-def all_rejects(responses: DataFrame, bank: DataFrame) -> DataFrame:
-    """Every response that is not graded: with ``graded_responses`` the whole input."""
-    return rejected_responses(responses).unionByName(unknown_questions(responses, bank))
+def unknown_questions(responses: DataFrame, bank: DataFrame) -> DataFrame:
+    """J1 reject output — valid letters for a question that the bank does not hold."""
+    return all_rejects(responses, bank).filter(F.col("reason") == "unknown_question")
 
 
 def graded_responses(responses: DataFrame, bank: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def _answered(spark, sf):
 
 
 def _reject_reasons(spark, sf):
-    r, bank = S.responses_with_gaps(spark, sf), S.bank(spark, sf)
+    # the bank is the whole part table here: a hash of a partition's questions, no sort of the responses
+    r, bank = S.responses_with_gaps(spark, sf), S.bank(spark, sf).hint("shuffle_hash")
     graded = SE.graded_responses(r, bank).select("session_id", "slot", "question_id", F.lit("graded").alias("outcome"))
     return graded.unionByName(SE.all_rejects(r, bank).select("session_id", "slot", "question_id", F.col("reason").alias("outcome")))
 

@@ -63,7 +63,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    # hash of a partition's orders: no sort, and no broadcast of what is small only as a compressed file
+    j = li.join(o.hint("shuffle_hash"), li.l_orderkey == o.o_orderkey, "inner")
     wrong = (F.col("l_quantity") > 36).cast("int")
     letter = _letter((F.col("l_partkey") + wrong) % 4)
     selected_raw = (

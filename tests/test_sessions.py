@@ -69,6 +69,35 @@ def test_nothing_is_lost_between_valid_rejected_and_unknown(spark):
     assert SE.answer_review(graded).columns == ["session_id", "question_id", "slot", "line"]
 
 
+def test_rejects_with_repeated_and_missing_questions(spark):
+    """A question held twice or a null one: each reject comes once, and a null question is known to no bank."""
+    r = spark.createDataFrame([(1, "ana", 7, 1, "a"), (1, "ana", 7, 2, "?"), (1, "ana", None, 3, "b"), (1, "ana", None, 4, None),
+                               (2, "ben", 8, 1, " c\t"), (2, "ben", 8, 1, " c\t"), (2, "ben", 9, 2, "")],
+                              "session_id long, student_name string, question_id long, slot int, selected_raw string")
+    bank = spark.createDataFrame([(7,), (7,), (None,)], "question_id long")
+    columns = ["session_id", "student_name", "question_id", "slot", "selected_raw", "selected", "reason"]
+    out = SE.all_rejects(r, bank)
+    unknown = [(1, "ana", None, 3, "b", "B", "unknown_question")] + [(2, "ben", 8, 1, " c\t", "C", "unknown_question")] * 2
+    invalid = [(1, "ana", 7, 2, "?", "?", "invalid_letter"), (1, "ana", None, 4, None, None, "invalid_letter"),
+               (2, "ben", 9, 2, "", "", "invalid_letter")]
+    assert out.columns == columns and sorted(map(tuple, out.collect()), key=str) == sorted(unknown + invalid, key=str)
+    assert sorted(map(tuple, SE.unknown_questions(r, bank).collect()), key=str) == sorted(unknown, key=str)
+
+
+def test_reject_reasons_sort_no_responses(spark):
+    """The responses are read once for the graded and once for all rejects, and no task sorts them
+    or the orders: the reject branches did, in one task, as they are small only once joined."""
+    from quizlake.plans.session_queries import SPARK
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = SPARK["response_outcomes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("FileScan parquet [l_orderkey") == 2
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan and plan.count("ShuffledHashJoin") == 4
+
+
 def test_only_the_earliest_answer_in_time_counts(spark):
     shown = spark.createDataFrame([(1, 1, T0, "A"), (2, 1, T0, "B")], "qid long, session_id long, shown_at timestamp_ntz, correct string")
     answered = spark.createDataFrame([
