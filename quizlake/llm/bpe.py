@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 from itertools import chain
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 
 from .common import growing_tables, map_arrow, small_parts
 
-MEMO_ENTRIES = 300_000  # units, and pieces, kept per worker (memory bound only)
+WORD_ENTRIES, JOINED_ENTRIES = 450_000, 150_000  # matches, and units of several, kept per worker (memory bound only)
 PAIR_ENTRIES = 300_000
-PART_BYTES = 1 << 20    # of text encoded at a time
+TAIL_ENTRIES = 100_000
+PART_BYTES = 4 << 20    # of text encoded at a time
+MARKS = "".join(c for c in string.punctuation if c != "'")  # a run of these behind a word is one match
 
 
 class Vocabulary:
@@ -39,10 +42,13 @@ class Vocabulary:
     def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x)}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.reach: dict[bytes, int] = {}  # longest token by its last bytes, four at most
+        self.sizes = {r: len(t) for t, r in self.ranks.items()}
+        self._longer: dict[bytes, set[int]] = {}  # lengths of the tokens beyond four bytes by their last four
         for t in self.ranks:
-            self.reach[t[-4:]] = max(self.reach.get(t[-4:], 1), len(t))
+            if len(t) > 4:
+                self._longer.setdefault(t[-4:], set()).add(len(t))
         self.width = max(map(len, self.ranks))
+        self.tails: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -86,6 +92,16 @@ class Vocabulary:
             got = self._fits[a, b] = self.reachable(b) and (a < 0 or self._compatible(a, b, 1 << 40))
         return got
 
+    def ending(self, tail: bytes) -> tuple[tuple[int, int], ...]:
+        """(length, token) of all that a prefix with these last four bytes (or fewer, if
+        that is all of it) may end in, longest first; a token of more bytes is still to be
+        looked up (-1)."""
+        if len(self.tails) >= TAIL_ENTRIES:
+            self.tails.clear()
+        short = [(k, self.ranks[tail[-k:]]) for k in range(len(tail), 0, -1) if tail[-k:] in self.ranks]
+        got = self.tails[tail] = (*((k, -1) for k in sorted(self._longer.get(tail, ()), reverse=True)), *short)
+        return got
+
 
 class PrefixTable:
     """The last token of every prefix of one piece; ``ids`` reads an encoding."""
@@ -95,20 +111,26 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
-        v, last = self.vocabulary, self.last
         begin = len(self.data)
-        data = self.data = self.data + more
-        ranks, reach, known, fits = v.ranks.get, v.reach.get, v._fits.get, v.fits
+        self.data += more
+        return self._fill(begin)
+
+    def _fill(self, begin: int) -> PrefixTable:
+        """The last tokens of the prefixes longer than ``begin``."""
+        v, last, data = self.vocabulary, self.last, self.data
+        ranks, tails, known, fits = v.ranks.get, v.tails.get, v._fits.get, v.fits
         for end in range(begin + 1, len(data) + 1):
-            # tokens of four bytes and more end in four known bytes
-            start = end - reach(data[end - 4:end], 3) if end > 3 else 0
-            for start in range(start if start > 0 else 0, end):
-                t = ranks(data[start:end])
-                if t is not None:
-                    ok = known((last[start], t))
-                    if fits(last[start], t) if ok is None else ok:
-                        last.append(t)
-                        break
+            tail = data[end - 4:end] if end > 3 else data[:end]
+            for length, t in tails(tail) or v.ending(tail):
+                if t < 0:
+                    t = ranks(data[end - length:end], -1) if length <= end else -1
+                    if t < 0:
+                        continue
+                before = last[end - length]
+                ok = known((before, t))
+                if fits(before, t) if ok is None else ok:
+                    last.append(t)
+                    break
             else:
                 raise ValueError(f"the vocabulary lacks the byte {data[end - 1]}")
         return self
@@ -120,9 +142,9 @@ class PrefixTable:
             if x != y:
                 break
             k += 1
-        self.data = data[:k]
+        self.data = data
         del self.last[k + 1:]
-        return self.append(data[k:])
+        return self._fill(k)
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
         """Put ``new`` in place of data[start:end]: prefixes up to start stay,
@@ -146,10 +168,11 @@ class PrefixTable:
 
     def ids(self, end: int | None = None) -> list[int]:
         end = len(self.data) if end is None else end
-        out = []
+        last, sizes, out = self.last, self.vocabulary.sizes, []
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
+            t = last[end]
+            out.append(t)
+            end -= sizes[t]
         return out[::-1]
 
 
@@ -176,39 +199,51 @@ class Codec:
 
     ``encode_all`` cuts texts at single spaces first: a space before a character
     that is no white space always starts a match of its own, so such units can be
-    split and encoded once each. Units new to the worker are encoded in sorted
-    order: neighbours share the table of their common prefix.
+    split and encoded once each. A unit stands for a space and itself; most are one
+    match. Matches new to the worker are encoded in sorted order: neighbours share the
+    table of their common prefix.
     """
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.vocabulary = Vocabulary(rank_file)
         self.split = regex.compile(pattern).findall
         self.odd_space = regex.compile(r" (?:\s|$)").search
-        self.units, self.pieces = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)  # a unit stands for " " + unit
+        self.words, self.joined = Memo(WORD_ENTRIES), Memo(JOINED_ENTRIES)  # by ``key`` of the match; by unit
 
     def encode_pieces(self, pieces) -> dict[str, tuple[int, ...]]:
         """Ids by piece."""
         table, out, ranks = PrefixTable(self.vocabulary), {}, self.vocabulary.ranks
-        for raw, piece in sorted((p.encode(), p) for p in pieces):
+        for piece in sorted(pieces):  # by code point, which is the order of the bytes too
+            raw = piece.encode()
             whole = ranks.get(raw)
             out[piece] = (whole,) if whole is not None else tuple(table.turn_to(raw).ids())
         return out
 
+    @staticmethod
+    def key(match: str) -> str:
+        """A match with its leading space taken off, or put on if it has none: a unit that is
+        one match is its own key, and the key of a key is the match."""
+        return match[1:] if match[0] == " " else " " + match
+
     def cut(self, unit: str) -> list[str]:
-        """The matches in a space and a unit; a word, or a word and one mark, needs no pattern."""
-        if unit.isalpha():
-            return [" " + unit]
-        if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
-            return [" " + unit[:-1], unit[-1]]
-        return self.split(" " + unit)
-
-    def learn(self, units) -> None:
-        cut = {u: self.cut(u) for u in units}
-        new = self.pieces.missing(set(chain.from_iterable(cut.values())))
-        pieces = self.pieces.ids
-        pieces.update(self.encode_pieces(new))
-        for u, found in cut.items():
-            self.units.ids[u] = pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable([pieces[p] for p in found]))
+        """The keys of the matches in a space and a unit; a word and marks need no pattern."""
+        word = unit.rstrip(MARKS)
+        if word.isalpha() and word != unit:
+            return [word, " " + unit[len(word):]]
+        return list(map(self.key, self.split(" " + unit)))
+
+    def unit_ids(self, units: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids by unit."""
+        one = {u for u in units if u.isalpha()}
+        more = units - one
+        cut = {u: self.cut(u) for u in self.joined.missing(more)}
+        new = self.words.missing(one.union(*cut.values()))
+        words, joined = self.words.ids, self.joined.ids
+        words.update((self.key(p), ids) for p, ids in self.encode_pieces(map(self.key, new)).items())
+        joined.update((u, tuple(chain.from_iterable([words[k] for k in keys]))) for u, keys in cut.items())
+        out = {u: words[u] for u in one}
+        out.update((u, joined[u]) for u in more)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """One text by itself."""
@@ -220,9 +255,7 @@ class Codec:
         """The ids of each text."""
         odd_space = self.odd_space
         plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and not odd_space(t)}
-        wanted = set(chain.from_iterable([x[1:] for x in plain.values()]))
-        self.learn(self.units.missing(wanted))
-        units, first = self.units.ids, {}
+        units, first = self.unit_ids(set(chain.from_iterable([x[1:] for x in plain.values()]))), {}
         for i, t in enumerate(texts):
             if i in plain:
                 head, *rest = plain[i]

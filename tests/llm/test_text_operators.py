@@ -55,6 +55,30 @@ def test_bpe_random_spacing_marks_and_scripts():
     assert list(c.encode_all(many)) == [enc.encode_ordinary(t) for t in many]
 
 
+def test_bpe_words_with_marks_need_no_pattern_and_are_kept_once():
+    enc, c, rnd = encoding(), bpe.Codec(RANKS, P.PATTERN), random.Random(3)
+    words = ["und", "Straße", "erenesnd", "THONTION", "дом", "èque", "漢字"]
+    marks = ["", ".", ",&&&", "***", "!!", ".)", "###", "%$", '"', "_", "`~"]
+    texts = [" ".join(rnd.choice(words) + rnd.choice(marks) for _ in range(40)) for _ in range(50)]
+    want = [enc.encode_ordinary(t) for t in texts]
+    used, split = [], c.split
+    c.split = lambda x: used.append(x) or split(x)
+    assert list(c.encode_all(texts)) == want
+    assert not [x for x in used if x[0] == " "]  # only first words, which have no space before them
+    assert len(c.words.ids) == len(words) + len(marks) - 1  # each word, each run of marks
+
+
+def test_bpe_small_memos_and_odd_marks(monkeypatch):
+    """Memos that turn over all the time, apostrophes, digits and line breaks behind words."""
+    for name in ("WORD_ENTRIES", "JOINED_ENTRIES", "PAIR_ENTRIES", "TAIL_ENTRIES"):
+        monkeypatch.setattr(bpe, name, 6)
+    enc, c, rnd = encoding(), bpe.Codec(RANKS, P.PATTERN), random.Random(4)
+    alphabet = list("abnettion") + ["'s", "'", "'ll", ".", "!", "²", "7", "\n", "_", "€", "é", "\u0301", "ǅ", "ª"]
+    many = [" ".join("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 9))) for _ in range(400)]
+    for k in range(0, 400, 50):
+        assert list(c.encode_all(many[k:k + 50])) == [enc.encode_ordinary(t) for t in many[k:k + 50]]
+
+
 def test_prefix_table_appends_and_edits_equal_a_new_encoding():
     v, rnd = bpe.Vocabulary(RANKS), random.Random(2)
     for _ in range(150):
