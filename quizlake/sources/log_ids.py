@@ -44,6 +44,8 @@ class IdMarks:
         self._jvm = sc._jvm
         self._folder = f"{root.rstrip('/')}/_id_marks"
         self._fs = self._path("").getFileSystem(sc._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
+        self._no_options = sc._gateway.new_array(self._jvm.java.nio.file.OpenOption, 0)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}" if name else self._folder)
@@ -65,6 +67,13 @@ class IdMarks:
 
     def _create(self, name: str, value: dict) -> bool:
         """False if the file is there already."""
+        if self._local:  # its create() looks first and creates then, so two writers may both succeed
+            file = self._jvm.java.io.File(self._path(name).toUri().getPath())
+            file.getParentFile().mkdirs()
+            if not file.createNewFile():
+                return False
+            self._jvm.java.nio.file.Files.write(file.toPath(), bytearray(json.dumps(value).encode()), self._no_options)
+            return True
         try:
             stream = self._fs.create(self._path(name), False)
         except Exception as e:  # py4j wraps the store's exception

@@ -93,6 +93,19 @@ def test_two_writers_never_get_the_same_ids(spark, scratch):
     assert marks[1].newest()[1] == 240
 
 
+def test_one_mark_is_created_by_one_writer(spark, scratch):
+    """Many writers create one and the same mark at a time: one succeeds, and its value stays."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quizlake.sources.log_ids import IdMarks
+    root = scratch("one-mark")
+    marks = [IdMarks(spark, root) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(1, 101):
+            won = list(pool.map(lambda w: marks[w]._create(f"{k:012d}", {"first": w, "last": w}), range(8)))
+            assert won.count(True) == 1 and marks[0].newest() == (k, won.index(True))
+
+
 def test_an_old_table_gets_the_missing_column(spark, scratch):
     from quizlake.operators import reports as RP
     table, path = "quiz_results_old", scratch("old-table")
