@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import string
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import growing_tables, map_arrow, small_parts
+from .common import growing_tables, kept_in_worker, map_arrow, small_parts
 
 WORD_ENTRIES, JOINED_ENTRIES = 450_000, 150_000  # matches, and units of several, kept per worker (memory bound only)
 PAIR_ENTRIES = 300_000
@@ -252,13 +252,17 @@ class Codec:
         return list(chain.from_iterable([ids[p] for p in found]))
 
     def encode_all(self, texts: list[str | None]):
-        """The ids of each text."""
+        """The ids of each text. Texts are split once for their units and again for their
+        ids, one at a time: the units of all of them are never held together, but once each."""
         odd_space = self.odd_space
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and t[0] != " " and not odd_space(t)}
-        units, first = self.unit_ids(set(chain.from_iterable([x[1:] for x in plain.values()]))), {}
-        for i, t in enumerate(texts):
-            if i in plain:
-                head, *rest = plain[i]
+        plain = [bool(t) and t[0] != " " and not odd_space(t) for t in texts]
+        wanted: set[str] = set()
+        for t in compress(texts, plain):
+            wanted.update(t.split(" ")[1:])
+        units, first = self.unit_ids(wanted), {}
+        for t, by_unit in zip(texts, plain, strict=True):
+            if by_unit:
+                head, *rest = t.split(" ")
                 if head not in first:
                     first[head] = self.encode(head)
                 yield list(chain(first[head], chain.from_iterable([units[u] for u in rest])))
@@ -269,7 +273,7 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = kept_in_worker(__name__)
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window
 from ..session import drop_stage, stage
 
 _SHIPPED: set[str] = set()
+_KEPT: dict[str, dict] = {}  # of this worker process, by the operator's module
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20  # of one Arrow batch between Spark and Python
 
 
@@ -84,11 +86,35 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def kept_in_worker(module: str) -> dict:
+    """The dictionary in which an operator's module keeps what its next task in the same
+    worker process can use again."""
+    return _KEPT.setdefault(module, {})
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def _task(batches, fn, params):
+    """A task of ``fn``. Spark hands worker processes from stage to stage and keeps idle
+    ones: what another operator kept in this one goes first, free memory goes at the end."""
+    if fn.__module__ != __name__:  # the helpers here work for every operator
+        for kept in (d for module, d in _KEPT.items() if module != fn.__module__):
+            kept.clear()
+    yield from fn(batches, **params)
+    give_back()
+
+
 def map_arrow(df: DataFrame, fn, schema: T.StructType, **params) -> DataFrame:
     """``mapInArrow`` with a module-level function and its parameters."""
     ship(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(partial(fn, **params), schema)
+    return df.mapInArrow(partial(_task, fn=fn, params=params), schema)
 
 
 def small_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20):

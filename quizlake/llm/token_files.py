@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, small_parts
+from .common import kept_in_worker, map_arrow, small_parts
 
 MAGIC, BLOCK, HEAD = b"PFR1", 128, struct.Struct("<4sQQQ")
 PERCENTILE = 0.9
@@ -271,7 +271,7 @@ class UnitEncoder:
         return ids, after[np.searchsorted(cuts, ends)] if len(ends) else ends
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[str, UnitEncoder] = kept_in_worker(__name__)
 
 
 def _encoder(tokenizer_json: bytes) -> UnitEncoder:

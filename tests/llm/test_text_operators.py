@@ -4,11 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quizlake.llm import bpe, language, pii, quality, token_files
+from quizlake.llm import bpe, common, language, ngram_join, pii, quality, token_files
 from quizlake.llm import queries as Q
 
 SF, WORD = "/root/testdata/sf0.001", r"[^\x20\x09-\x0D]+"
@@ -79,6 +82,38 @@ def test_bpe_small_memos_and_odd_marks(monkeypatch):
         assert list(c.encode_all(many[k:k + 50])) == [enc.encode_ordinary(t) for t in many[k:k + 50]]
 
 
+def test_bpe_holds_the_words_of_one_text_at_a_time():
+    c, rnd = bpe.Codec(RANKS, P.PATTERN), random.Random(5)
+    words = ["".join(rnd.choice("abnettion") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rnd.choice(words) for _ in range(15_000)) for _ in range(40)]  # 4 MB
+    first = next(c.encode_all(texts[:1]))
+    assert c.decode(first).decode() == texts[0]
+    tracemalloc.start()
+    n = sum(map(len, c.encode_all(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 600_000 and peak < 8 << 20  # 38 MB with all words as strings of their own
+
+
+def test_a_worker_keeps_only_what_its_operator_needs(spark):
+    class Rows:
+        sparkSession = spark
+
+        @staticmethod
+        def mapInArrow(fn, schema):  # noqa: N802
+            return fn
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text_key": pa.array([1], pa.int64()), "text": ["of one text"]})
+    encode = common.map_arrow(Rows, bpe._encode, None, vocabulary=SimpleNamespace(value=RANKS), pattern=P.PATTERN, keep_ids=False)
+    shingle = common.map_arrow(Rows, ngram_join._shingle, None, n=3, threshold=(90, 100))
+    texts = batch.select(["doc_id", "text"])
+    before = [x.to_pylist() for x in encode(iter([texts]))]
+    held = list(bpe._CODECS.values())
+    assert [x.to_pylist() for x in encode(iter([texts]))] == before and list(bpe._CODECS.values()) == held != []  # from task to task
+    assert [x.column(2).to_pylist() for x in shingle(iter([batch]))] == [[1]]
+    assert not bpe._CODECS
+    assert [x.to_pylist() for x in encode(iter([texts]))] == before
+
+
 def test_prefix_table_appends_and_edits_equal_a_new_encoding():
     v, rnd = bpe.Vocabulary(RANKS), random.Random(2)
     for _ in range(150):
